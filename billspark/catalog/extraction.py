@@ -5,9 +5,17 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from billspark.catalog.registry import query
-from billspark.catalog.sql_text import date_of, find, lit, money, over_rendered
-from billspark.functions import fields, fixed_values as V
+from billspark.catalog.sql_text import (
+    FACTS, date_of, find, half_even, lined, lit, money, over_rendered, strip,
+)
+from billspark.functions import fields, fields_loose as loose, fixed_values as V, score
+from billspark.functions.enrich import enrich_invoice
+from billspark.functions.normalize import clean_invoice, with_fields
 from billspark.functions.text import clean_lines, clean_text
+from billspark.functions.validate import strict_errors
+from billspark.operators.items import work_items
+from billspark.operators.stats import batch_statistics
+from billspark.plans.extraction import extract_invoices, process_documents, validated_invoices
 from billspark.sources.rendered import rendered_invoices
 
 AS_OF = "2001-12-31"
@@ -40,9 +48,9 @@ def _field_query(name, column, sql):
 
 _field_query("invoice_number", fields.invoice_number, find("c", V.INVOICE_NUMBER))
 _field_query(
-    "invoice_date", fields.invoice_date,
-    "coalesce(" + ", ".join(date_of(find("c", p)) for p in (V.DATE_LABELLED[0], V.DATE_LABELLED[2]))
-    + ")",
+    "invoice_date", lambda c: fields.invoice_date(c).cast("string"),
+    "CAST(coalesce(" + ", ".join(date_of(find("c", p)) for p in (V.DATE_LABELLED[0], V.DATE_LABELLED[2]))
+    + ") AS VARCHAR)",
 )
 _field_query("utr", fields.utr, find("c", V.UTR))
 _field_query("ni_number", fields.ni_number, find("c", V.NI_NUMBER))
@@ -54,3 +62,451 @@ _field_query("postcode", fields.postcode, f"upper({find('c', V.POSTCODE)})")
 _field_query("city", fields.city, find("c", V.CITY))
 _field_query("sort_code", fields.sort_code, find("c", V.SORT_CODE))
 _field_query("account_number", fields.account_number, find("c", V.ACCOUNT_NUMBER))
+
+
+def _as_text(name, column, sql):
+    """Dates leave queries as text."""
+    @query(name, over_rendered(f"SELECT doc_id, {sql} FROM cleaned"))
+    def run(spark, sf_dir):
+        return _cleaned(spark, sf_dir).select("doc_id", *column(F.col("c")))
+
+    return run
+
+
+def _period(c):
+    p = fields.work_period(c)
+    return [p["start_date"].cast("string").alias("start_date"), p["end_date"].cast("string").alias("end_date")]
+
+
+_START, _END = find("c", V.PERIOD_START), find("c", V.PERIOD_END)
+_as_text(
+    "work_period", _period,
+    f"CAST({date_of(_START)} AS VARCHAR) AS start_date, CAST({date_of(_END)} AS VARCHAR) AS end_date",
+)
+
+_AMOUNTS = {
+    "subtotal": (fields.subtotal, V.SUBTOTAL), "vat_amount": (fields.vat_amount, V.VAT_AMOUNT),
+    "vat_rate": (fields.vat_rate, V.VAT_RATE), "cis_deduction": (fields.cis_deduction, V.CIS_DEDUCTION),
+    "total_due": (fields.total_due, V.TOTAL_DUE),
+}
+
+
+@query(
+    "financial_fields",
+    over_rendered(
+        "SELECT doc_id, "
+        + ", ".join(f"({money(find('c', p))})::DOUBLE AS {n}" for n, (_, p) in _AMOUNTS.items())
+        + " FROM cleaned"
+    ),
+)
+def financial_fields(spark, sf_dir):
+    return _cleaned(spark, sf_dir).select(
+        "doc_id", *[fn(F.col("c")).cast("double").alias(n) for n, (fn, _) in _AMOUNTS.items()]
+    )
+
+
+@query(
+    "all_amounts",
+    over_rendered(
+        f"""SELECT doc_id, len(a) AS n_amounts, CAST(list_sum(list_transform(a,
+        lambda x: CAST(round({money('x')} * 100) AS BIGINT))) AS BIGINT) AS total_cents
+        FROM (SELECT doc_id, regexp_extract_all(c, {lit(V.MONEY_2DP)}, 0) AS a FROM cleaned)"""
+    ),
+)
+def all_amounts(spark, sf_dir):
+    a = fields.all_amounts(F.col("c"))
+    total = F.aggregate("a", F.lit(0).cast("bigint"), lambda acc, x: acc + (x * 100).cast("bigint"))
+    return _cleaned(spark, sf_dir).select("doc_id", a.alias("a")).select(
+        "doc_id", F.size("a").cast("bigint").alias("n_amounts"), total.alias("total_cents")
+    )
+
+
+_HEAD = "list_transform(string_split(lined, chr(10))[1:5], lambda x: " + strip("x") + ")"
+_NAME_LINE = (
+    f"list_filter({_HEAD}, lambda x: regexp_matches(x, {lit(V.COMPANY_WORD)}) AND length(x) > 3 "
+    "AND NOT starts_with(lower(x), 'invoice'))[1]"
+)
+
+
+@query(
+    "contractor_name",
+    over_rendered(
+        f"SELECT doc_id, {_NAME_LINE} AS text_name, {find('c', V.NAME_PATTERNS_PAGED[0])} AS paged_name "
+        f"FROM (SELECT *, {lined('text')} AS lined FROM cleaned)"
+    ),
+)
+def contractor_name(spark, sf_dir):
+    return _cleaned(spark, sf_dir).select(
+        "doc_id",
+        fields.contractor_name(F.col("lined"), F.col("c")).alias("text_name"),
+        fields.contractor_name(F.col("lined"), F.col("c"), paged=True).alias("paged_name"),
+    )
+
+
+@query(
+    "work_items",
+    over_rendered(
+        f"""SELECT doc_id, CAST(n AS BIGINT) AS item_no, plots[n] AS plot_number,
+        nullif({strip(f"regexp_extract(lined, {lit(V.PLOT_DESCRIPTION_HEAD)} || plots[n] || {lit(V.PLOT_DESCRIPTION_TAIL)}, 1)")}, '') AS description
+        FROM (SELECT *, regexp_extract_all(lined, {lit(V.PLOT)}, 1) AS plots
+          FROM (SELECT *, {lined('text')} AS lined FROM cleaned)), range(1, 9) t(n) WHERE n <= len(plots)"""
+    ),
+)
+def work_items_query(spark, sf_dir):
+    items = _cleaned(spark, sf_dir).select("doc_id", F.posexplode(work_items(F.col("lined"))).alias("n", "i"))
+    return items.select(
+        "doc_id", (F.col("n") + 1).cast("bigint").alias("item_no"), "i.plot_number", "i.description"
+    )
+
+
+# ---- from base columns: the whole path, without reading the text in SQL ------------------------------------
+
+_BASE = f"""
+base AS (
+  SELECT o_orderkey AS doc_id, o_orderkey AS k, o_custkey AS cu, n_items, vat_c, total_c,
+    CAST(o_orderdate AS DATE) AS d, c_name,
+    CASE WHEN o_orderkey % 17 = 0 THEN NULL WHEN o_orderkey % 19 = 0 THEN (sub_c // 100) * 100 ELSE sub_c END AS s_c
+  FROM facts),
+checked AS (
+  SELECT *, CAST(k AS VARCHAR) AS num,
+    concat_ws('; ',
+      CASE WHEN length(CAST(k AS VARCHAR)) < 3 THEN 'Invoice number seems too short' END,
+      CASE WHEN d > DATE '{AS_OF}' THEN 'invoice date is in the future' END,
+      CASE WHEN d < DATE '{AS_OF}' - 1825 THEN 'invoice date is more than 5 years old' END,
+      CASE WHEN d - 14 > DATE '{AS_OF}' THEN 'period start is in the future' END,
+      CASE WHEN d - 14 < DATE '{AS_OF}' - 1825 THEN 'period start is more than 5 years old' END,
+      CASE WHEN d - 1 > DATE '{AS_OF}' THEN 'period end is in the future' END,
+      CASE WHEN d - 1 < DATE '{AS_OF}' - 1825 THEN 'period end is more than 5 years old' END,
+      CASE WHEN k % 5 = 0 AND cu % 17 = 0 THEN 'NI number has invalid prefix: GB' END,
+      CASE WHEN k % 5 = 0 AND cu % 23 = 0 THEN 'NI number has invalid suffix: Z' END) AS errors,
+    concat_ws('; ',
+      CASE WHEN abs(vat_c - s_c / 5.0) > 10 THEN 'VAT amount doesn''t match expected ('
+        || printf('%d.%02d', {half_even("s_c * 20", 100)} // 100, {half_even("s_c * 20", 100)} % 100) || ')' END,
+      CASE WHEN abs(total_c - s_c) > 10 THEN 'Total doesn''t match expected calculation ('
+        || printf('%d.%02d', s_c // 100, s_c % 100) || ')' END,
+      CASE WHEN total_c > 100000000 THEN 'Total amount seems unusually large' END) AS warnings,
+    (2.0 + 1.0 + CASE WHEN k % 11 <> 0 THEN 0.5 ELSE 0 END + least(n_items * 0.5, 2.0)
+      + CASE WHEN coalesce(s_c, 0) <> 0 THEN 1.0 ELSE 0 END + 0.5 + 1.0)::DOUBLE / 8.5 AS score
+  FROM base)
+"""
+
+
+def over_base(select: str) -> str:
+    return f"WITH {FACTS}, {_BASE} {select}"
+
+
+def _docs(spark, sf_dir):
+    return rendered_invoices(spark, sf_dir).select("doc_id", "text")
+
+
+@query(
+    "invoice_validation",
+    over_base(
+        """SELECT doc_id, num AS invoice_number, CAST(d AS VARCHAR) AS invoice_date,
+        CASE WHEN k % 11 <> 0 THEN lpad(cu::VARCHAR, 10, '0') END AS utr,
+        s_c / 100.0::DOUBLE AS subtotal, vat_c / 100.0::DOUBLE AS vat_amount, total_c / 100.0::DOUBLE AS total_due,
+        n_items, round(score, 6) AS score, errors = '' AS valid, errors, warnings, 'S' AS vat_code, 'L' AS cis_code
+        FROM checked"""
+    ),
+)
+def invoice_validation(spark, sf_dir):
+    fin = F.col("financials")
+    return validated_invoices(_docs(spark, sf_dir), AS_OF).select(
+        "doc_id", "invoice_number", F.col("invoice_date").cast("string").alias("invoice_date"),
+        F.col("contractor.utr").alias("utr"),
+        *[fin[c].cast("double").alias(c) for c in ("subtotal", "vat_amount", "total_due")],
+        F.size("work_items").cast("bigint").alias("n_items"),
+        F.round("extraction_confidence", 6).alias("score"),
+        "valid", F.array_join("errors", "; ").alias("errors"),
+        F.array_join("rule_warnings", "; ").alias("warnings"), fin["vat_code"].alias("vat_code"),
+        fin["cis_code"].alias("cis_code"),
+    )
+
+
+@query(
+    "process_documents",
+    over_base(
+        """SELECT doc_id, true AS success, 'text_extraction' AS best_method, round(score, 6) AS confidence,
+        'INV-' || k AS invoice_number, 1 AS n_attempts FROM checked"""
+    ),
+)
+def process_documents_query(spark, sf_dir):
+    return process_documents(_docs(spark, sf_dir)).select(
+        "doc_id", "success", "best_method", F.round("confidence", 6).alias("confidence"),
+        "invoice_number", F.col("n_attempts").cast("bigint").alias("n_attempts"),
+    )
+
+
+@query("completeness_score", over_base("SELECT doc_id, round(score, 6) AS score FROM checked"))
+def completeness_score(spark, sf_dir):
+    return extract_invoices(_docs(spark, sf_dir)).select(
+        "doc_id", F.round("extraction_confidence", 6).alias("score")
+    )
+
+
+@query(
+    "extraction_confidence",
+    over_base(
+        """SELECT doc_id, round(least(0.15 + 0.15 + 0.15 + 0.2 + 0.1 + least(n_items * 0.1, 0.25), 1.0), 6)::DOUBLE AS score
+        FROM checked"""
+    ),
+)
+def extraction_confidence_query(spark, sf_dir):
+    kept = _docs(spark, sf_dir).withColumn("t", F.col("text"))
+    return extract_invoices(kept).select(
+        "doc_id", F.round(score.extraction_confidence(F.col("t")), 6).alias("score")
+    )
+
+
+@query(
+    "accept_band",
+    over_base(
+        """SELECT CASE WHEN score > 0.85 THEN 'auto' WHEN score >= 0.6 THEN 'verify' ELSE 'manual' END AS band,
+        count(*) AS n FROM checked GROUP BY 1"""
+    ),
+)
+def accept_band(spark, sf_dir):
+    found = extract_invoices(_docs(spark, sf_dir))
+    return found.groupBy(score.accept_band(F.col("extraction_confidence")).alias("band")).agg(
+        F.count(F.lit(1)).alias("n")
+    )
+
+
+@query(
+    "valid_invoices",
+    over_base("SELECT doc_id, true AS is_valid FROM checked"),
+)
+def valid_invoices(spark, sf_dir):
+    return extract_invoices(_docs(spark, sf_dir)).select("doc_id", score.is_valid_invoice().alias("is_valid"))
+
+
+@query(
+    "clean_invoices",
+    over_base(
+        """SELECT doc_id, num AS invoice_number, 'Customer#' || split_part(c_name, '#', 2) || ' Ltd' AS name,
+        CASE WHEN cu % 29 <> 0 THEN 'customer' || cu || '@example.com' END AS email,
+        CASE WHEN cu < 1000000000 THEN '+447' || lpad(cu::VARCHAR, 9, '0') END AS phone,
+        CASE WHEN k % 5 = 0 THEN CASE WHEN cu % 17 = 0 THEN 'GB' ELSE 'AB' END
+          || lpad((cu % 1000000)::VARCHAR, 6, '0') || CASE WHEN cu % 23 = 0 THEN 'Z' ELSE 'C' END END AS ni_number,
+        'EC' || (cu % 9 + 1) || 'A ' || (cu % 10) || 'BB' AS postcode,
+        lpad(cu::VARCHAR, 8, '0') AS account FROM checked"""
+    ),
+)
+def clean_invoices(spark, sf_dir):
+    c = F.col("contractor")
+    return clean_invoice(extract_invoices(_docs(spark, sf_dir))).select(
+        "doc_id", "invoice_number", c["name"].alias("name"), c["email"].alias("email"),
+        c["phone"].alias("phone"), c["ni_number"].alias("ni_number"),
+        c["address"]["postcode"].alias("postcode"), c["bank_details"]["account_number"].alias("account"),
+    )
+
+
+@query(
+    "enrich_financials",
+    over_base(
+        f"""SELECT doc_id, s_c / 100.0::DOUBLE AS subtotal, ({half_even("coalesce(s_c, 0) * 20", 100)}) / 100.0::DOUBLE AS vat_amount,
+        (s_c + {half_even("s_c * 20", 100)} - vat_c) / 100.0::DOUBLE AS total_due, 'S' AS vat_code, 'L' AS cis_code
+        FROM checked WHERE s_c IS NOT NULL"""
+    ),
+)
+def enrich_financials(spark, sf_dir):
+    """VAT and total are taken out first, so enrichment has to put them back."""
+    fin = F.col("financials")
+    none = F.lit(None).cast("decimal(24,6)")
+    found = extract_invoices(_docs(spark, sf_dir)).withColumn(
+        "financials", with_fields(fin, vat_amount=none, total_due=none)
+    )
+    return enrich_invoice(found.filter(fin["subtotal"].isNotNull())).select(
+        "doc_id", *[fin[c].cast("double").alias(c) for c in ("subtotal", "vat_amount", "total_due")],
+        fin["vat_code"].alias("vat_code"), fin["cis_code"].alias("cis_code"),
+    )
+
+
+@query(
+    "strict_rules",
+    over_base(
+        """SELECT doc_id, concat_ws(',',
+        CASE WHEN k % 5 = 0 AND (cu % 17 = 0 OR cu % 23 = 0) AND cu % 23 = 0 THEN 'ni_number' END,
+        CASE WHEN abs(vat_c - s_c / 5.0) > 1 THEN 'vat_calculation' END,
+        CASE WHEN abs(vat_c - s_c / 5.0) > 1 THEN 'cis_calculation' END,
+        CASE WHEN abs(total_c - s_c) > 1 THEN 'total_calculation' END) AS broken FROM checked"""
+    ),
+)
+def strict_rules(spark, sf_dir):
+    c, fin = F.col("contractor"), F.col("financials")
+    row = {
+        "utr": c["utr"], "ni_number": c["ni_number"], "email": c["email"],
+        "sort_code": F.replace(c["bank_details"]["sort_code"], F.lit("-"), F.lit("")),
+        "account_number": c["bank_details"]["account_number"], "postcode": c["address"]["postcode"],
+        "vat_rate": fin["vat_rate"], "cis_rate": F.lit(20), "subtotal": fin["subtotal"],
+        "vat_amount": fin["vat_amount"], "cis_deduction": fin["cis_deduction"], "total_due": fin["total_due"],
+    }
+    found = clean_invoice(extract_invoices(_docs(spark, sf_dir)))
+    return found.select("doc_id", F.array_join(strict_errors(row), ",").alias("broken"))
+
+
+@query(
+    "batch_statistics",
+    over_base(
+        """SELECT file_type, count(*) AS total_files, count(*) AS successful, 0::BIGINT AS failed,
+        round(avg(score), 6) AS avg_confidence, 1.0::DOUBLE AS success_rate
+        FROM (SELECT CASE WHEN k % 4 = 0 THEN 'pdf' ELSE 'text' END AS file_type, score FROM checked)
+        GROUP BY ROLLUP (file_type)"""
+    ),
+)
+def batch_statistics_query(spark, sf_dir):
+    results = process_documents(_docs(spark, sf_dir)).withColumn(
+        "file_type", F.when(F.col("doc_id") % 4 == 0, "pdf").otherwise("text")
+    )
+    return batch_statistics(results).select(
+        "file_type", "total_files", "successful", "failed",
+        F.round("avg_confidence", 6).alias("avg_confidence"), "success_rate",
+    )
+
+
+@query(
+    "merge_confidence",
+    over_base(
+        """SELECT k % 50 AS grp, round(sum(score * score) / sum(score), 6) AS merged FROM checked GROUP BY 1"""
+    ),
+)
+def merge_confidence_query(spark, sf_dir):
+    found = extract_invoices(_docs(spark, sf_dir))
+    return found.groupBy((F.col("doc_id") % 50).alias("grp")).agg(
+        F.round(score.merge_confidence(F.col("extraction_confidence")), 6).alias("merged")
+    )
+
+
+# ---- other profiles over the same texts -----------------------------------------------------------------------
+
+
+def _plain(pattern, group=0):
+    return f"regexp_extract(text, {lit(pattern)}, {group})"
+
+
+def _loose_amount(pattern):
+    return f"coalesce(TRY_CAST(replace({_plain(pattern, 1)}, ',', '') AS DECIMAL(18,2)), 0)"
+
+
+_LOOSE_DATES = f"list_transform(regexp_extract_all(text, {lit(V.LOOSE_DATE)}, 0), lambda x: replace(x, '-', '/'))"
+
+
+@query(
+    "loose_fields",
+    over_rendered(
+        f"""SELECT doc_id, {_plain(V.LOOSE_EMAIL)} AS contractor_email, {_plain(V.LOOSE_UTR)} AS contractor_utr,
+        {_plain(V.LOOSE_NI)} AS contractor_ni, {_plain(V.LOOSE_SORT_CODE)} AS sort_code,
+        {_plain(V.LOOSE_ACCOUNT)} AS bank_account, {_plain(V.LOOSE_INVOICE_NUMBER, 1)} AS invoice_number,
+        coalesce(ds[1], '') AS invoice_date, coalesce(ds[2], '') AS work_start_date, coalesce(ds[3], '') AS work_end_date,
+        s::DOUBLE AS subtotal, v::DOUBLE AS vat_amount, c::DOUBLE AS cis_amount,
+        (CASE WHEN t = 0 THEN s + v - c ELSE t END)::DOUBLE AS total, c_name || ' LTD' AS contractor_name
+        FROM (SELECT *, {_LOOSE_DATES} AS ds, {_loose_amount(V.LOOSE_SUBTOTAL)} AS s, {_loose_amount(V.LOOSE_VAT)} AS v,
+          {_loose_amount(V.LOOSE_CIS)} AS c, {_loose_amount(V.LOOSE_TOTAL)} AS t FROM rendered)"""
+    ),
+)
+def loose_fields_query(spark, sf_dir):
+    out = loose.loose_fields(_docs(spark, sf_dir))
+    return out.select(
+        "doc_id", "contractor_email", "contractor_utr", "contractor_ni", "sort_code", "bank_account",
+        "invoice_number", "invoice_date", "work_start_date", "work_end_date", "contractor_name",
+        *[F.col(c).cast("double").alias(c) for c in ("subtotal", "vat_amount", "cis_amount", "total")],
+    )
+
+
+@query(
+    "heuristic_quality",
+    over_rendered(
+        f"""SELECT doc_id, round((2.0 + CASE WHEN {_plain(V.LOOSE_EMAIL)} <> '' THEN 2.0 ELSE 0 END + 1.5 + 1.0
+        + CASE WHEN {_loose_amount(V.LOOSE_SUBTOTAL)} > 0 THEN 1.25 ELSE 0 END + 1.25) / 10, 6)::DOUBLE AS quality FROM rendered"""
+    ),
+)
+def heuristic_quality_query(spark, sf_dir):
+    out = loose.loose_fields(_docs(spark, sf_dir))
+    q = score.heuristic_quality(
+        F.col("contractor_name"), F.col("contractor_email"), F.col("contractor_address"),
+        F.col("invoice_number"), F.col("invoice_date"), F.col("subtotal"), F.col("total"),
+    )
+    return out.select("doc_id", F.round(q, 6).alias("quality"))
+
+
+_GENERIC_AMOUNTS = " || ".join(f"regexp_extract_all(text, {lit(p)}, 1)" for p in V.GENERIC_AMOUNT)
+_GENERIC_NUMBER = "coalesce(" + ", ".join(f"nullif({_plain(p, 1)}, '')" for p in V.GENERIC_NUMBER) + ")"
+_GENERIC_CURRENCY = "coalesce(" + ", ".join(f"nullif({_plain(p)}, '')" for p in V.GENERIC_CURRENCY) + ")"
+
+
+@query(
+    "generic_invoice",
+    over_rendered(
+        f"""SELECT doc_id, {_GENERIC_NUMBER} AS invoice_number, ds[1] AS invoice_date, ds[2] AS due_date,
+        (am[1])::DOUBLE AS total_amount, (am[2])::DOUBLE AS subtotal, {_GENERIC_CURRENCY} AS currency, c_name || ' LTD' AS vendor_name,
+        (3 + CASE WHEN am[1] IS NULL THEN 0 ELSE 1 END) / 4.0::DOUBLE AS confidence
+        FROM (SELECT *, regexp_extract_all(text, {lit(V.GENERIC_DATE)}, 1) AS ds,
+          list_reverse_sort(list_distinct(list_transform({_GENERIC_AMOUNTS},
+            lambda x: CAST(replace(x, ',', '') AS DECIMAL(18,2))))) AS am FROM rendered)"""
+    ),
+)
+def generic_invoice_query(spark, sf_dir):
+    return loose.generic_invoice(_docs(spark, sf_dir)).select(
+        "doc_id", "invoice_number", "invoice_date", "due_date", F.col("total_amount").cast("double").alias("total_amount"),
+        F.col("subtotal").cast("double").alias("subtotal"), "currency", "vendor_name", "confidence",
+    )
+
+
+_ITEM_LINES = f"""list_transform(list_filter(list_transform(string_split(text, chr(10)), lambda x: {strip('x')}),
+  lambda x: length(x) >= 10), lambda x: {{'d': regexp_extract(x, {lit(V.GENERIC_ITEM)}, 1),
+  'q': TRY_CAST(regexp_extract(x, {lit(V.GENERIC_ITEM)}, 2) AS BIGINT),
+  'p': TRY_CAST(replace(regexp_extract(x, {lit(V.GENERIC_ITEM)}, 3), ',', '') AS DECIMAL(18,2))}})"""
+
+
+@query(
+    "generic_items",
+    over_rendered(
+        f"""SELECT doc_id, CAST(n AS BIGINT) AS item_no, {strip("items[n].d")}[1:200] AS description, items[n].q AS quantity,
+        items[n].p::DOUBLE AS unit_price
+        FROM (SELECT doc_id, list_filter({_ITEM_LINES}, lambda i: i.q IS NOT NULL AND i.p IS NOT NULL) AS items FROM rendered),
+        range(1, 21) t(n) WHERE n <= len(items)"""
+    ),
+)
+def generic_items_query(spark, sf_dir):
+    rows = _docs(spark, sf_dir).select("doc_id", F.posexplode(loose.generic_items(F.col("text"))).alias("n", "i"))
+    return rows.select(
+        "doc_id", (F.col("n") + 1).cast("bigint").alias("item_no"), "i.description", "i.quantity",
+        F.col("i.unit_price").cast("double").alias("unit_price"),
+    )
+
+
+@query(
+    "top_amounts",
+    over_rendered(
+        f"""SELECT doc_id, CAST(len(am) AS BIGINT) AS n_amounts, (am[1])::DOUBLE AS largest, (am[2])::DOUBLE AS second
+        FROM (SELECT doc_id, list_reverse_sort(list_distinct(list_transform({_GENERIC_AMOUNTS},
+            lambda x: CAST(replace(x, ',', '') AS DECIMAL(18,2))))) AS am FROM rendered)"""
+    ),
+)
+def top_amounts_query(spark, sf_dir):
+    a = _docs(spark, sf_dir).select("doc_id", loose.top_amounts(F.col("text")).alias("a"))
+    return a.select(
+        "doc_id", F.size("a").cast("bigint").alias("n_amounts"),
+        F.try_element_at("a", F.lit(1)).cast("double").alias("largest"),
+        F.try_element_at("a", F.lit(2)).cast("double").alias("second"),
+    )
+
+
+_DEGRADED = "coalesce(" + ", ".join(
+    f"TRY_CAST(replace(nullif({_plain(p, 1)}, ''), ',', '') AS DECIMAL(18,2))" for p in V.DEGRADED_AMOUNT
+) + ")"
+
+
+@query(
+    "degraded_extract",
+    over_rendered(
+        f"""SELECT doc_id, ({_DEGRADED})::DOUBLE AS amount, coalesce(nullif({_plain(V.GENERIC_DATE, 1)}, ''),
+        nullif({_plain(V.GENERIC_DATE_ISO, 1)}, '')) AS date
+        FROM (SELECT doc_id, replace(text, '£', '$') AS text FROM rendered)"""
+    ),
+)
+def degraded_extract_query(spark, sf_dir):
+    d = loose.degraded_extract(F.replace(F.col("text"), F.lit("£"), F.lit("$")))
+    return _docs(spark, sf_dir).select("doc_id", d.alias("d")).select(
+        "doc_id", F.col("d.amount").cast("double").alias("amount"), "d.date"
+    )
