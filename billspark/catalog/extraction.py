@@ -304,9 +304,9 @@ def clean_invoices(spark, sf_dir):
 @query(
     "enrich_financials",
     over_base(
-        f"""SELECT doc_id, s_c / 100.0::DOUBLE AS subtotal, ({half_even("coalesce(s_c, 0) * 20", 100)}) / 100.0::DOUBLE AS vat_amount,
-        (s_c + {half_even("s_c * 20", 100)} - vat_c) / 100.0::DOUBLE AS total_due, 'S' AS vat_code, 'L' AS cis_code
-        FROM checked WHERE s_c IS NOT NULL"""
+        f"""SELECT doc_id, s_c / 100.0::DOUBLE AS subtotal, ({half_even("s_c * 20", 100)}) / 100.0::DOUBLE AS vat_amount,
+        (s_c + {half_even("s_c * 20", 100)} - vat_c) / 100.0::DOUBLE AS total_due,
+        CASE WHEN s_c IS NULL THEN 'N' ELSE 'S' END AS vat_code, 'L' AS cis_code FROM checked"""
     ),
 )
 def enrich_financials(spark, sf_dir):
@@ -316,7 +316,7 @@ def enrich_financials(spark, sf_dir):
     found = extract_invoices(_docs(spark, sf_dir)).withColumn(
         "financials", with_fields(fin, vat_amount=none, total_due=none)
     )
-    return enrich_invoice(found.filter(fin["subtotal"].isNotNull())).select(
+    return enrich_invoice(found).select(
         "doc_id", *[fin[c].cast("double").alias(c) for c in ("subtotal", "vat_amount", "total_due")],
         fin["vat_code"].alias("vat_code"), fin["cis_code"].alias("cis_code"),
     )
@@ -417,7 +417,10 @@ def loose_fields_query(spark, sf_dir):
     "heuristic_quality",
     over_rendered(
         f"""SELECT doc_id, round((2.0 + CASE WHEN {_plain(V.LOOSE_EMAIL)} <> '' THEN 2.0 ELSE 0 END + 1.5 + 1.0
-        + CASE WHEN {_loose_amount(V.LOOSE_SUBTOTAL)} > 0 THEN 1.25 ELSE 0 END + 1.25) / 10, 6)::DOUBLE AS quality FROM rendered"""
+        + CASE WHEN s > 0 THEN 1.25 ELSE 0 END + CASE WHEN CASE WHEN t = 0 THEN s + v - c ELSE t END > 0 THEN 1.25 ELSE 0 END)
+        / 10, 6)::DOUBLE AS quality
+        FROM (SELECT *, {_loose_amount(V.LOOSE_SUBTOTAL)} AS s, {_loose_amount(V.LOOSE_VAT)} AS v,
+          {_loose_amount(V.LOOSE_CIS)} AS c, {_loose_amount(V.LOOSE_TOTAL)} AS t FROM rendered)"""
     ),
 )
 def heuristic_quality_query(spark, sf_dir):

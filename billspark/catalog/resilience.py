@@ -789,13 +789,16 @@ def cost_usage(spark, sf_dir):
 
 @query(
     "running_latency",
-    f"""WITH {I.CALLS} SELECT event_id, round(avg(latency_ms) OVER (PARTITION BY tier ORDER BY ts, event_id
-      ROWS UNBOUNDED PRECEDING), 6) AS running_latency_ms FROM calls WHERE ok""",
+    f"""WITH {I.CALLS} SELECT event_id, CAST(floor(1000 * avg(latency_ms) OVER (PARTITION BY tier ORDER BY ts, event_id
+      ROWS UNBOUNDED PRECEDING) + 0.00001) AS BIGINT) AS running_latency_us FROM calls WHERE ok""",
 )
 def running_latency(spark, sf_dir):
     return usage.running_latency(
         I.model_calls(spark, sf_dir), "tier", ["ts", "event_id"], rows_per_slice=1000
-    ).select("event_id", F.round("running_latency_ms", 6).alias("running_latency_ms"))
+    ).select(
+        "event_id",
+        F.floor(F.col("running_latency_ms") * 1000 + 0.00001).alias("running_latency_us"),
+    )
 
 
 @query(

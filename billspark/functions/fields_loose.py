@@ -164,16 +164,25 @@ def generic_items(t: Column, limit: int = 20, width: int = 200) -> Column:
     """First items of the text: description, quantity, unit price, total."""
     lines = F.filter(F.transform(split_lines(t), strip), lambda x: F.length(x) >= 10)
 
+    # one pass per line: the three groups come out side by side, a line without a match stays whole
+    marked = rf"(?s)^{V.GENERIC_ITEM}.*\z"
+
     def item(line):
-        quantity = F.regexp_extract(line, V.GENERIC_ITEM, 2).try_cast("bigint")
-        price = _amount(F.regexp_extract(line, V.GENERIC_ITEM, 3))
+        return F.split(F.regexp_replace(line, marked, "$1\x01$2\x01$3"), "\x01")
+
+    def typed(parts):
+        quantity = F.try_element_at(parts, F.lit(2)).try_cast("bigint")
+        price = _amount(F.try_element_at(parts, F.lit(3)))
         return F.struct(
-            F.substring(strip(F.regexp_extract(line, V.GENERIC_ITEM, 1)), 1, width).alias("description"),
+            F.substring(strip(parts[0]), 1, width).alias("description"),
             quantity.alias("quantity"), price.alias("unit_price"),
             (quantity.cast("decimal(18,0)") * price).cast("decimal(28,2)").alias("total"),
         )
 
-    return F.slice(F.filter(F.transform(lines, item), lambda x: x["total"].isNotNull()), 1, limit)
+    found = F.filter(F.transform(lines, item), lambda p: F.size(p) == 3)
+    return F.slice(
+        F.filter(F.transform(found, typed), lambda x: x["total"].isNotNull()), 1, limit
+    )
 
 
 def generic_invoice(df: DataFrame, text: str = "text") -> DataFrame:

@@ -7,70 +7,62 @@ from pyspark.sql import functions as F
 
 from billspark.functions import fixed_values as V
 from billspark.functions.text import (
-    blank_to_null, let, normalize_whitespace, strip, title_case,
+    blank_to_null, let_sql, normalize_whitespace, strip, title_case,
 )
 
 MONEY = "decimal(18,2)"
 WIDE = "decimal(24,6)"
 
 
-def _two_digit_year(s: Column, fmt: str) -> Column:
-    """Two-digit years pivot at 69: 69-99 are 19xx."""
-    parsed = F.try_to_date(s, fmt)
-    return F.when(F.year(parsed) >= 2069, F.add_months(parsed, -1200)).otherwise(parsed)
+def _date_sql(compact: bool) -> str:
+    """The format is chosen by the shape of the text, so no parser is tried in vain.
 
+    Two-digit years pivot at 69: 69-99 are 19xx.
+    """
+    def read(fmt):
+        return f"try_to_date(x, '{fmt}')"
 
-def _by_shape(s: Column, compact: bool) -> Column:
-    """The format is chosen by the shape of the text, so no parser is tried in vain."""
-    out = F.when(s.rlike(r"^\d{1,2}/\d{1,2}/\d{4}$"), F.try_to_date(s, "d/M/yyyy"))
-    for sep in "-.":
-        esc = "\\" + sep
-        out = out.when(
-            s.rlike(rf"^\d{{1,2}}{esc}\d{{1,2}}{esc}\d{{4}}$"),
-            F.try_to_date(s, f"d{sep}M{sep}yyyy"),
-        )
+    def short(fmt):
+        day = read(fmt)
+        return f"CASE WHEN year({day}) >= 2069 THEN add_months({day}, -1200) ELSE {day} END"
+
+    shapes = []
     for sep in "/-.":
-        esc = "\\" + sep
-        out = out.when(
-            s.rlike(rf"^\d{{4}}{esc}\d{{1,2}}{esc}\d{{1,2}}$"),
-            F.try_to_date(s, f"yyyy{sep}M{sep}d"),
-        ).when(
-            s.rlike(rf"^\d{{1,2}}{esc}\d{{1,2}}{esc}\d{{2}}$"),
-            _two_digit_year(s, f"d{sep}M{sep}yy"),
-        )
-    out = out.when(
-        s.rlike(r"^[A-Za-z]+ \d{1,2}, \d{4}$"),
-        F.coalesce(F.try_to_date(s, "MMMM d, yyyy"), F.try_to_date(s, "MMM d, yyyy")),
-    ).when(
-        s.rlike(r"^\d{1,2} [A-Za-z]+ \d{4}$"),
-        F.coalesce(F.try_to_date(s, "d MMMM yyyy"), F.try_to_date(s, "d MMM yyyy")),
-    )
+        e = f"[{sep}]"
+        shapes += [
+            (f"^[0-9]{{1,2}}{e}[0-9]{{1,2}}{e}[0-9]{{4}}$", read(f"d{sep}M{sep}yyyy")),
+            (f"^[0-9]{{4}}{e}[0-9]{{1,2}}{e}[0-9]{{1,2}}$", read(f"yyyy{sep}M{sep}d")),
+            (f"^[0-9]{{1,2}}{e}[0-9]{{1,2}}{e}[0-9]{{2}}$", short(f"d{sep}M{sep}yy")),
+        ]
+    for shape, long, brief in (
+        ("^[A-Za-z]+ [0-9]{1,2}, [0-9]{4}$", "MMMM d, yyyy", "MMM d, yyyy"),
+        ("^[0-9]{1,2} [A-Za-z]+ [0-9]{4}$", "d MMMM yyyy", "d MMM yyyy"),
+    ):
+        shapes.append((shape, f"coalesce({read(long)}, {read(brief)})"))
     if compact:
-        out = out.when(
-            s.rlike(r"^\d{8}$"),
-            F.coalesce(F.try_to_date(s, "ddMMyyyy"), F.try_to_date(s, "yyyyMMdd")),
-        )
-    return out
+        shapes.append(("^[0-9]{8}$", f"coalesce({read('ddMMyyyy')}, {read('yyyyMMdd')})"))
+    return "CASE " + " ".join(f"WHEN x RLIKE '{p}' THEN {v}" for p, v in shapes) + " END"
+
+
+_DATE_13, _DATE_15 = _date_sql(compact=False), _date_sql(compact=True)
+_MONEY_SQL = (
+    "if(x RLIKE '^[-(]', -1, 1) * try_cast(translate(x, '-()', '') AS decimal(24,6))"
+)
 
 
 def parse_date(c: Column) -> Column:
     """First of 13 formats that fits, day before month."""
-    return let(normalize_whitespace(c), lambda s: _by_shape(s, compact=False))
+    return let_sql(normalize_whitespace(c), _DATE_13)
 
 
 def parse_date_flexible(c: Column) -> Column:
     """As ``parse_date`` plus the two compact forms; any letter case of month names."""
-    return let(normalize_whitespace(c), lambda s: _by_shape(s, compact=True))
+    return let_sql(normalize_whitespace(c), _DATE_15)
 
 
 def parse_money(c: Column) -> Column:
     """Amount from text: currency signs, commas and blanks go; a leading - or ( is negative."""
-
-    def read(bare):
-        value = F.regexp_replace(bare, r"[\-()]", "").try_cast(WIDE)
-        return F.when(bare.rlike(r"^[-(]"), -value).otherwise(value).cast(WIDE)
-
-    return let(F.regexp_replace(c, r"[£$€,\s\p{Z}]", ""), read)
+    return let_sql(F.regexp_replace(c, r"[£$€,\s\p{Z}]", ""), _MONEY_SQL).cast(WIDE)
 
 
 def parse_decimal_field(c: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from billspark.functions.fixed_values import WS
+from billspark.functions.fixed_values import WS, WS_CHARS
 
 
 def blank_to_null(c: Column) -> Column:
@@ -17,15 +17,20 @@ def let(c: Column, body) -> Column:
     return F.element_at(F.transform(F.array(c), body), 1)
 
 
+def let_sql(c: Column, body: str) -> Column:
+    """As ``let`` with the body as SQL over ``x``: one expression to build, however long it is."""
+    return F.element_at(F.call_function("transform", F.array(c), F.expr(f"x -> {body}")), 1)
+
+
 def strip(c: Column) -> Column:
-    """Both-side strip over Unicode whitespace (``trim`` removes spaces only)."""
-    return F.regexp_replace(c, rf"^{WS}+|{WS}+\z", "")
+    """Both-side strip over Unicode whitespace (plain ``trim`` removes spaces only)."""
+    return F.trim(c, F.lit(WS_CHARS))
 
 
 def clean_text(c: Column) -> Column:
     """Whitespace runs become one space, control characters go, ends are stripped; null gives ''."""
     spaced = F.regexp_replace(F.coalesce(c, F.lit("")), rf"{WS}+", " ")
-    return strip(F.regexp_replace(spaced, r"[\x00-\x08\x0b-\x0c\x0e-\x1f]", ""))
+    return F.trim(F.regexp_replace(spaced, r"[\x00-\x08\x0b-\x0c\x0e-\x1f]", ""))
 
 
 def clean_lines(c: Column) -> Column:
@@ -36,7 +41,7 @@ def clean_lines(c: Column) -> Column:
 
 
 def normalize_whitespace(c: Column) -> Column:
-    return strip(F.regexp_replace(F.coalesce(c, F.lit("")), rf"{WS}+", " "))
+    return F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), rf"{WS}+", " "))
 
 
 def split_lines(c: Column) -> Column:

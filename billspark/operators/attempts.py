@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from billspark.functions import fixed_values as V
 from billspark.functions.text import strip
+from billspark.session import materialize
 
 GATE = 0.3
 AGENT_MINIMUM, AGENT_GOOD = 0.4, 0.65
@@ -36,10 +37,18 @@ def run_until_accepted(
     docs: DataFrame, strategies: list[Callable[[DataFrame], DataFrame]], key: str = "doc_id",
     threshold: float = GATE,
 ) -> DataFrame:
-    """Strategies in order; each next one reads only the documents that none has passed yet."""
+    """Strategies in order; each next one reads only the documents that none has passed yet.
+
+    A rung's attempts are used twice, as output and as the list of documents that are done, so
+    they are written once instead of being extracted twice.
+    """
     parts, left = [], docs
-    for strategy in strategies:
+    for i, strategy in enumerate(strategies):
         got = strategy(left)
+        if i == len(strategies) - 1:
+            parts.append(got)
+            break
+        got = materialize(got, "attempts")
         parts.append(got)
         left = left.join(got.filter(passes_gate(threshold)).select(key), key, "left_anti")
     return union_attempts(parts)

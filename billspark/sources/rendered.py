@@ -125,9 +125,15 @@ def rendered_text() -> Column:
 
 
 def rendered_invoices(spark: SparkSession, folder: str, *keep: str) -> DataFrame:
-    """``doc_id``, ``path``, ``text`` and any fact columns named in ``keep``."""
+    """``doc_id``, ``path``, ``text`` and any fact columns named in ``keep``.
+
+    What follows is heavy on CPU and light on bytes, so the compact facts are spread over all
+    partitions before text is made; by size alone they would be merged into a few tasks. (Two
+    columns, as a repartition by the join key alone is taken out as redundant.)
+    """
     key = F.col("o_orderkey")
-    return invoice_facts(spark, folder).select(
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return invoice_facts(spark, folder).repartition(n, "o_orderkey", "o_custkey").select(
         key.alias("doc_id"),
         F.concat(F.lit("/landing/inv-"), key.cast("string"), F.lit(".txt")).alias("path"),
         rendered_text().alias("text"),
