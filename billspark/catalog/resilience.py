@@ -651,16 +651,16 @@ def active_sessions(spark, sf_dir):
 
 @query(
     "load_state_layered",
-    f"""WITH s AS (SELECT user_id, {I.sql_pick(["redis", "file", "memory", "gone"], "event_id")} AS layer,
-      max(event_id) AS body FROM events WHERE event_id % 97 < 40 GROUP BY ALL)
-    SELECT user_id, layer, body FROM s WHERE layer <> 'gone' QUALIFY row_number() OVER (PARTITION BY user_id
+    f"""WITH {I.EVENTS}, s AS (SELECT user_id || '-' || k AS session_id,
+      {I.sql_pick(["redis", "file", "memory", "gone"], "event_id")} AS layer, max(event_id) AS body FROM ev GROUP BY ALL)
+    SELECT session_id, layer, body FROM s WHERE layer <> 'gone' QUALIFY row_number() OVER (PARTITION BY session_id
       ORDER BY CASE layer WHEN 'memory' THEN 1 WHEN 'file' THEN 2 ELSE 3 END) = 1""",
 )
 def load_state_layered(spark, sf_dir):
     layer = I.pick(["redis", "file", "memory", "gone"], F.col("event_id")).alias("layer")
-    held = I.events(spark, sf_dir).filter("event_id % 97 < 40")
-    states = held.groupBy("user_id", layer).agg(F.max("event_id").alias("body"))
-    return sessions.load_state_layered(states, "user_id", ["memory", "file", "redis"], ["body"])
+    session = F.concat_ws("-", F.col("user_id").cast("string"), F.col("k").cast("string")).alias("session_id")
+    states = I.events(spark, sf_dir).groupBy(session, layer).agg(F.max("event_id").alias("body"))
+    return sessions.load_state_layered(states, "session_id", ["memory", "file", "redis"], ["body"])
 
 
 @query(
