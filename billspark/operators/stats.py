@@ -10,18 +10,36 @@ SLOW_RESPONSE_S = 5.0
 
 
 def batch_statistics(results: DataFrame) -> DataFrame:
-    """Per file type and overall (file_type null)."""
+    """Per file type and overall (file_type null); the overall row is there for an empty batch too.
+
+    The overall row adds up the few per-type rows, so the results are read once.
+    """
     with_data = F.col("success") & F.col("confidence").isNotNull()
-    stats = results.groupingSets([[], [F.col("file_type")]], "file_type").agg(
-        F.count(F.lit(1)).alias("total_files"),
-        F.count_if("success").alias("successful"),
-        F.count_if(~F.col("success")).alias("failed"),
-        F.coalesce(F.avg(F.when(with_data, F.col("confidence"))), F.lit(0.0)).alias("avg_confidence"),
-        F.coalesce(F.sum("total_ms"), F.lit(0)).alias("total_ms"),
+    sums = {
+        "total_files": F.count(F.lit(1)),
+        "successful": F.count_if("success"),
+        "failed": F.count_if(~F.col("success")),
+        "_score": F.sum(F.when(with_data, F.col("confidence"))),
+        "_scored": F.count_if(with_data),
+        "total_ms": F.sum("total_ms"),
+    }
+    by_type = results.groupBy("file_type").agg(*[v.alias(k) for k, v in sums.items()])
+    overall = by_type.agg(*[F.sum(k).alias(k) for k in sums]).withColumn(
+        "file_type", F.lit(None).cast("string")
     )
-    n = F.col("total_files")
-    return stats.withColumn("success_rate", F.when(n > 0, F.col("successful") / n).otherwise(0.0)).withColumn(
-        "avg_ms", F.when(n > 0, F.col("total_ms") / n).otherwise(0.0)
+    both = by_type.unionByName(overall)
+    n = F.coalesce("total_files", F.lit(0))
+
+    def share(part: str, whole):
+        return F.when(whole > 0, F.coalesce(part, F.lit(0)) / whole).otherwise(0.0)
+
+    return both.select(
+        "file_type",
+        *[F.coalesce(c, F.lit(0)).alias(c) for c in ("total_files", "successful", "failed")],
+        share("successful", n).alias("success_rate"),
+        share("_score", F.coalesce("_scored", F.lit(0))).alias("avg_confidence"),
+        F.coalesce("total_ms", F.lit(0)).alias("total_ms"),
+        share("total_ms", n).alias("avg_ms"),
     )
 
 
