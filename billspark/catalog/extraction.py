@@ -146,10 +146,12 @@ def contractor_name(spark, sf_dir):
 @query(
     "work_items",
     over_rendered(
-        f"""SELECT doc_id, CAST(n AS BIGINT) AS item_no, plots[n] AS plot_number,
-        nullif({strip(f"regexp_extract(lined, {lit(V.PLOT_DESCRIPTION_HEAD)} || plots[n] || {lit(V.PLOT_DESCRIPTION_TAIL)}, 1)")}, '') AS description
-        FROM (SELECT *, regexp_extract_all(lined, {lit(V.PLOT)}, 1) AS plots
-          FROM (SELECT *, {lined('text')} AS lined FROM cleaned)), range(1, 9) t(n) WHERE n <= len(plots)"""
+        f"""SELECT doc_id, CAST(n AS BIGINT) AS item_no, plot_number,
+        CASE WHEN length(body) >= 50 THEN nullif({strip("body")}, '') END AS description
+        FROM (SELECT doc_id, n, plot_number, substr(rest, position(chr(10) IN rest) + 1, 200) AS body
+          FROM (SELECT doc_id, n, plots[n] AS plot_number, substr(lined, position('Plot ' || plots[n] IN lined)) AS rest
+            FROM (SELECT *, regexp_extract_all(lined, {lit(V.PLOT)}, 1) AS plots
+              FROM (SELECT *, {lined('text')} AS lined FROM rendered)), unnest(range(1, len(plots) + 1)) t(n)))"""
     ),
 )
 def work_items_query(spark, sf_dir):

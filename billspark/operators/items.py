@@ -7,10 +7,24 @@ from pyspark.sql import functions as F
 
 from billspark.functions import fixed_values as V
 from billspark.functions.normalize import WIDE, parse_money
-from billspark.functions.text import blank_to_null, strip
+from billspark.functions.text import blank_to_null, let_sql, strip
 from billspark.schemas import WORK_ITEM
 
 
+# x.t is the text, x.m the plot labels found in it. A plot's description starts on the line after
+# the first "plot" or "property" label whose number begins with the plot's number, and is the next 50
+# to 200 characters.
+_NUMBER = "([0-9]+[A-Za-z]?)$"
+_FROM_PLOTS = f"""
+transform(transform(transform(
+  transform(x.m, f -> struct(regexp_extract(f, '{_NUMBER}', 1) AS p, lower(regexp_extract(f, '{_NUMBER}', 1)) AS n)),
+  y -> struct(y.p, try_element_at(filter(x.m, g -> lower(left(g, 1)) = 'p'
+    AND startswith(lower(regexp_extract(g, '{_NUMBER}', 1)), y.n)), 1) AS hit)),
+  y -> struct(y.p, substring(x.t, instr(x.t, y.hit) + length(y.hit)) AS rest)),
+  y -> struct(y.p, if(instr(y.rest, char(10)) > 0, substring(y.rest, instr(y.rest, char(10)) + 1, 200), '') AS body))
+"""
+
+
 def _item(**fields: Column) -> Column:
     def typed(name, kind):
         return fields.get(name, F.lit(None)).cast(kind).alias(name)
@@ -24,18 +38,19 @@ def _item(**fields: Column) -> Column:
 
 def work_items(lined: Column) -> Column:
     """One item per plot label, described by what follows its line; else one per operative."""
-    plots = F.regexp_extract_all(lined, F.lit(V.PLOT), F.lit(1))
-
-    def from_plot(p):
-        pattern = F.concat(F.lit(V.PLOT_DESCRIPTION_HEAD), p, F.lit(V.PLOT_DESCRIPTION_TAIL))
-        text = F.call_function("regexp_extract", lined, pattern, F.lit(1))
-        return _item(plot_number=p, description=blank_to_null(strip(text)), operative_names=F.array())
-
+    labels = F.regexp_extract_all(lined, F.lit(V.PLOT), F.lit(0))
+    found = let_sql(F.struct(lined.alias("t"), labels.alias("m")), _FROM_PLOTS)
+    from_plots = F.transform(
+        found,
+        lambda y: _item(
+            plot_number=y["p"],
+            description=F.when(F.length(y["body"]) >= 50, blank_to_null(strip(y["body"]))),
+            operative_names=F.array(),
+        ),
+    )
     operatives = F.regexp_extract_all(lined, F.lit(V.OPERATIVE), F.lit(1))
     by_name = F.transform(operatives, lambda o: _item(operative_names=F.array(o)))
-    return F.when(F.size(plots) > 0, F.transform(plots, from_plot)).otherwise(by_name).cast(
-        f"array<{WORK_ITEM}>"
-    )
+    return F.when(F.size(labels) > 0, from_plots).otherwise(by_name).cast(f"array<{WORK_ITEM}>")
 
 
 def table_scores(cells: DataFrame, keys: list[str]) -> DataFrame:
