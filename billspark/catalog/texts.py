@@ -147,17 +147,28 @@ def title_case(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", X.title_case(head).alias("name"))
 
 
+@query(
+    "distinct_lines",
+    f"""WITH l AS (SELECT DISTINCT source, {strip('line')} AS line FROM documents, unnest(string_split(text, chr(10))) t(line))
+    SELECT source, md5(line) AS line, length(line) AS n FROM l WHERE length(line) > 3""",
+)
+def distinct_lines(spark, sf_dir):
+    lines = X.distinct_lines(table(spark, sf_dir, "documents", "source", "text"), ["source"])
+    return lines.select("source", _md5(F.col("line")).alias("line"), F.length("line").cast("bigint").alias("n"))
+
+
 @query(
     "distinct_merge",
-    f"""WITH v AS (SELECT source, text FROM documents),
-    l AS (SELECT DISTINCT source, {strip('line')} AS line FROM v, unnest(string_split(text, chr(10))) t(line)),
-    m AS (SELECT source, md5(string_agg(line, chr(10) ORDER BY length(line) DESC, encode(line))) AS body FROM l WHERE length(line) > 3 GROUP BY source),
-    c AS (SELECT source, count(*) AS n, md5(min(text)) AS sole FROM v GROUP BY source)
-    SELECT source, CASE WHEN n = 1 THEN sole ELSE coalesce(body, md5('')) END AS body FROM c LEFT JOIN m USING (source)""",
+    f"""WITH v AS (SELECT conv_id, text FROM conversations),
+    l AS (SELECT DISTINCT conv_id, {strip('line')} AS line FROM v, unnest(string_split(text, chr(10))) t(line)),
+    m AS (SELECT conv_id, md5(string_agg(line, chr(10) ORDER BY length(line) DESC, encode(line))) AS body FROM l WHERE length(line) > 3 GROUP BY conv_id),
+    c AS (SELECT conv_id, count(*) AS n, md5(min(text)) AS sole FROM v GROUP BY conv_id)
+    SELECT conv_id, CASE WHEN n = 1 THEN sole ELSE coalesce(body, md5('')) END AS body FROM c LEFT JOIN m USING (conv_id)""",
 )
 def distinct_merge(spark, sf_dir):
-    merged = X.distinct_merge(table(spark, sf_dir, "documents", "source", "text"), "source")
-    return merged.select("source", _md5(F.col("text")).alias("body"))
+    """The turns of a conversation as readings of one document."""
+    merged = X.distinct_merge(table(spark, sf_dir, "conversations", "conv_id", "text"), "conv_id")
+    return merged.select("conv_id", _md5(F.col("text")).alias("body"))
 
 
 @query("document_emails", f"SELECT doc_id, lower(nullif({strip('regexp_extract(text, ' + lit(V.EMAIL) + ', 0)')}, '')) AS email FROM documents")

@@ -108,17 +108,29 @@ def find_nearby_text(c: Column, keyword: str, context_chars: int = 100) -> Colum
 
 
 def extract_with_context(df: DataFrame, text: str, pattern: str, context_lines: int = 2) -> DataFrame:
-    """One row per matching line: match, line, surrounding lines, zero-based line number."""
-    lines = df.withColumn("_lines", split_lines(F.col(text)))
-    rows = lines.select(*[c for c in lines.columns if c != text], F.posexplode("_lines").alias("line_number", "line"))
-    first = F.greatest(F.col("line_number") - context_lines, F.lit(0))
-    last = F.least(F.col("line_number") + context_lines, F.size("_lines") - 1)
-    return (
-        rows.filter(F.col("line").rlike(pattern))
-        .withColumn("match", F.regexp_extract("line", pattern, 0))
-        .withColumn("context", F.array_join(F.slice("_lines", first + 1, last - first + 1), "\n"))
-        .drop("_lines")
-    )
+    """One row per matching line: match, line, surrounding lines, zero-based line number.
+
+    Hits are found inside the row; only they are exploded, so a long text is not repeated per line.
+    """
+    n = F.lit(context_lines)
+
+    def hit(lines, h):
+        first = F.greatest(h["i"] - n, F.lit(0))
+        last = F.least(h["i"] + n, F.size(lines) - 1)
+        return F.struct(
+            h["i"].alias("line_number"), h["l"].alias("line"),
+            F.regexp_extract(h["l"], pattern, 0).alias("match"),
+            F.array_join(F.slice(lines, first + 1, last - first + 1), "\n").alias("context"),
+        )
+
+    def hits(lines):
+        numbered = F.transform(lines, lambda l, i: F.struct(l.alias("l"), i.alias("i")))
+        found = F.filter(numbered, lambda x: x["l"].rlike(pattern))
+        return F.transform(found, lambda h: hit(lines, h))
+
+    kept = [c for c in df.columns if c != text]
+    rows = df.select(*kept, F.explode(let(split_lines(F.col(text)), hits)).alias("_h"))
+    return rows.select(*kept, "_h.*")
 
 
 def merge_pages(
@@ -174,22 +186,26 @@ def title_case(c: Column) -> Column:
     return F.array_join(F.transform(runs, F.initcap), "")
 
 
+def distinct_lines(variants: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
+    """Distinct stripped lines longer than 3 characters, one row each: no group is gathered."""
+    lines = variants.select(*keys, F.explode(split_lines(F.col(text))).alias("_l"))
+    return (
+        lines.select(*keys, strip(F.col("_l")).alias("line")).filter(F.length("line") > 3).distinct()
+    )
+
+
 def distinct_merge(variants: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """Union of the distinct stripped lines (longer than 3 characters) of several readings.
+    """Several readings of a document as one text of their distinct lines.
 
     A document with one reading keeps its text. Lines are deduplicated before any of them are
-    gathered, so a much-copied line costs one row. Order: longest first, then alphabetical.
+    gathered, so a much-copied line costs one row; what is gathered is the resulting text itself.
+    Where a key is more than a document, use ``distinct_lines``. Order: longest first, then alphabetical.
     """
     counts = variants.groupBy(key).agg(F.count(F.lit(1)).alias("_n"), F.min(text).alias("_only"))
     single = counts.filter("_n = 1").select(key, F.col("_only").alias("text"))
-    lines = (
-        variants.select(key, F.explode(split_lines(F.col(text))).alias("_l"))
-        .select(key, strip(F.col("_l")).alias("_l"))
-        .filter(F.length("_l") > 3)
-        .distinct()
-    )
     merged = (
-        lines.select(key, F.struct((-F.length("_l")).alias("n"), F.col("_l").alias("l")).alias("_l"))
+        distinct_lines(variants, [key], text)
+        .select(key, F.struct((-F.length("line")).alias("n"), F.col("line").alias("l")).alias("_l"))
         .groupBy(key)
         .agg(F.array_sort(F.collect_list("_l")).alias("_l"))
         .select(key, F.array_join(F.transform("_l", lambda p: p["l"]), "\n").alias("text"))
