@@ -11,7 +11,7 @@ from billspark.catalog.sql_text import (
 from billspark.functions import fields, fields_loose as loose, fixed_values as V, score
 from billspark.functions.enrich import enrich_invoice
 from billspark.functions.normalize import clean_invoice, with_fields
-from billspark.functions.text import clean_lines, clean_text
+from billspark.functions.text import clean_lines, clean_text, split_lines
 from billspark.functions.validate import strict_errors
 from billspark.operators.items import work_items
 from billspark.operators.stats import batch_statistics
@@ -515,3 +515,29 @@ def degraded_extract_query(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", d.alias("d")).select(
         "doc_id", F.col("d.amount").cast("double").alias("amount"), "d.date"
     )
+
+
+@query(
+    "items_section",
+    f"""WITH {FACTS}, {_BASE}
+    SELECT l_orderkey AS doc_id, 'Plot' AS description, l_linenumber::DOUBLE AS amount FROM item
+    UNION ALL
+    SELECT doc_id, CASE WHEN s_c IS NULL THEN 'VAT @' ELSE 'Subtotal:' END,
+      CASE WHEN s_c IS NULL THEN 20 ELSE s_c / 100.0 END::DOUBLE FROM base WHERE s_c IS NULL OR s_c > 0""",
+)
+def items_section_query(spark, sf_dir):
+    """The unlabelled profile takes the first number of a line, so a plot's number is its amount."""
+    found = loose.items_section(split_lines(F.col("text")))
+    rows = _docs(spark, sf_dir).select("doc_id", F.explode(found).alias("i"))
+    return rows.select("doc_id", "i.description", F.col("i.amount").cast("double").alias("amount"))
+
+
+@query(
+    "address_block",
+    over_rendered(
+        "SELECT doc_id, c_name || ' LTD, ' || split_part(text, chr(10), 2) || ', ' || split_part(text, chr(10), 3) AS address FROM rendered"
+    ),
+)
+def address_block_query(spark, sf_dir):
+    marked = F.concat(F.lit("Address:\n\n"), F.col("text"))
+    return _docs(spark, sf_dir).select("doc_id", loose.address_block(split_lines(marked)).alias("address"))

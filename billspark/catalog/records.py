@@ -700,3 +700,20 @@ def event_log_scan(spark, sf_dir):
     return parse_event_lines(lines).select("event_id", "event", "user_id", "rejected")
 
 
+
+
+@query(
+    "flatten_rows",
+    f"""WITH {LINES} SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber,
+    l_returnflag || ' | ' || l_partkey || CASE WHEN l_linestatus = 'F' THEN '' ELSE ' | ' || l_linestatus END AS line FROM lines""",
+)
+def flatten_rows(spark, sf_dir):
+    from billspark.functions.text import flatten_cells
+
+    cells = F.array(
+        F.concat(F.lit(" "), "l_returnflag"), F.lit("\t"), F.col("l_partkey").cast("string"),
+        F.when(F.col("l_linestatus") == "F", "").otherwise(F.col("l_linestatus")),
+    )
+    return latest_lines(spark, sf_dir).select(
+        "l_orderkey", F.col("l_linenumber").cast("bigint").alias("l_linenumber"), flatten_cells(cells).alias("line")
+    )
