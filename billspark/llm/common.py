@@ -95,4 +95,10 @@ def keep_ids(df: DataFrame, ids: DataFrame, column: str = "doc_id", most: int =
     return df.join(F.broadcast(ids) if few else ids.hint("shuffle_hash"), column, "left_semi")
 
 
-__all__ = ["keep_ids", "map_batches", "map_partitions", "materialize", "sha", "table", "texts_of", "utf8_of"]
+def drop_ids(df: DataFrame, ids: DataFrame, column: str = "doc_id", most: int = BROADCAST_IDS) -> DataFrame:
+    """Rows of ``df`` whose ``column`` is not in ``ids``; as ``keep_ids``. Rows without an id stay."""
+    few = ids.limit(most + 1).count() <= most
+    return df.join(F.broadcast(ids) if few else ids.hint("shuffle_hash"), column, "left_anti")
+
+
+__all__ = ["drop_ids", "keep_ids", "map_batches", "map_partitions", "materialize", "sha", "table", "texts_of", "utf8_of"]

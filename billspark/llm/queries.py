@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from billspark.llm.bpe import encode_documents
 from billspark.llm.common import table
+from billspark.llm.minhash import fingerprint_documents, near_duplicates
+from billspark.llm.ngram_join import ngram_components
 from billspark.llm.pii import find_pii
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -36,3 +38,18 @@ def op1_pii(spark: SparkSession, folder: str) -> DataFrame:
 @query("op2_bpe")
 def op2_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return encode_documents(table(spark, folder, "documents", "doc_id", "text"), VOCABULARY)
+
+
+@query("op4_fingerprints")
+def op4_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    return fingerprint_documents(table(spark, folder, "documents", "doc_id", "text"))
+
+
+@query("minhash_classes")
+def minhash_classes(spark: SparkSession, folder: str) -> DataFrame:
+    return near_duplicates(table(spark, folder, "documents", "doc_id", "text"))
+
+
+@query("op7_ngram_join")
+def op7_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
+    return ngram_components(table(spark, folder, "documents", "doc_id", "text"), n=3, percent=90)
