@@ -9,9 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from billspark.llm.bpe import encode_documents
 from billspark.llm.common import table
+from billspark.llm.decontaminate import contamination
+from billspark.llm.line_dedup import drop_repeated_lines
 from billspark.llm.minhash import fingerprint_documents, near_duplicates
 from billspark.llm.ngram_join import ngram_components
 from billspark.llm.pii import find_pii
+from billspark.llm.quality import rate
+from billspark.llm.sql import CONTAMINATION, NGRAM_COMPONENTS, REPEATED_LINES
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -50,6 +54,21 @@ def minhash_classes(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(table(spark, folder, "documents", "doc_id", "text"))
 
 
-@query("op7_ngram_join")
+@query("op6_quality")
+def op6_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return rate(table(spark, folder, "documents", "doc_id", "text"), table(spark, folder, "labels"))
+
+
+@query("op7_ngram_join", NGRAM_COMPONENTS)
 def op7_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_components(table(spark, folder, "documents", "doc_id", "text"), n=3, percent=90)
+
+
+@query("op8_line_dedup", REPEATED_LINES)
+def op8_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return drop_repeated_lines(table(spark, folder, "documents", "doc_id", "text"))
+
+
+@query("op10_decontamination", CONTAMINATION)
+def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return contamination(table(spark, folder, "documents", "doc_id", "text"), table(spark, folder, "benchmark"))

@@ -43,13 +43,19 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of every word, and for each text where its words begin (n + 1 offsets)."""
+def word_hashes(
+    data: np.ndarray, offsets: np.ndarray, letters: np.ndarray = _WORD, heads: tuple[int, ...] = ()
+) -> tuple[np.ndarray, ...]:
+    """Hash of every word, and for each text where its words begin (n + 1 offsets).
+
+    ``letters`` says for each lower-cased byte whether it belongs to a word. For each number of bytes in
+    ``heads`` an array follows with the hash of each word's beginning (the whole of shorter words).
+    """
     size = len(data)
     if not size:
-        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
+        return (np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64), *[np.zeros(0, np.uint64)] * len(heads))
     low = _LOWER[data]
-    word = _WORD[low]
+    word = letters[low]
     edge = np.zeros(size + 1, bool)
     edge[offsets] = True
     begins = word.copy()
@@ -60,7 +66,9 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     powers, inverse = _powers(size + 1)
     sums = np.zeros(size + 1, np.uint64)
     np.cumsum((low.astype(np.uint64) + np.uint64(1)) * powers[:size], out=sums[1:])
-    return mix((sums[stops] - sums[starts]) * inverse[starts]), np.searchsorted(starts, offsets)
+    back = inverse[starts]
+    begun = [mix((sums[np.minimum(stops, starts + k)] - sums[starts]) * back) for k in heads]
+    return (mix((sums[stops] - sums[starts]) * back), np.searchsorted(starts, offsets), *begun)
 
 
 def ngram_hashes(words: np.ndarray, at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
