@@ -6,22 +6,27 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from billspark.llm.bpe import encode_documents
 from billspark.llm.common import table
 from billspark.llm.decontaminate import contamination
 from billspark.llm.line_dedup import drop_repeated_lines
+from billspark.llm.licenses import CLASSES, CONTAINMENT, TEMPLATES, find_licenses
 from billspark.llm.minhash import fingerprint_documents, near_duplicates
 from billspark.llm.ngram_join import ngram_components
 from billspark.llm.pii import find_pii
 from billspark.llm.quality import rate
-from billspark.llm.sql import CONTAMINATION, NGRAM_COMPONENTS, REPEATED_LINES
+from billspark.llm.sql import CONTAMINATION, NGRAM_COMPONENTS, REPEATED_LINES, URL_VERDICTS, license_sql
+from billspark.llm.token_counts import count_document_tokens
+from billspark.llm.urls import filter_pages
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 #: The vocabulary of the token queries.
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
+END_OF_DOCUMENT = 50256
 
 
 def query(name: str, sql: str | None = None):
@@ -44,6 +49,11 @@ def op2_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return encode_documents(table(spark, folder, "documents", "doc_id", "text"), VOCABULARY)
 
 
+@query("op3_licenses", license_sql(TEMPLATES, CLASSES, CONTAINMENT))
+def op3_licenses(spark: SparkSession, folder: str) -> DataFrame:
+    return find_licenses(table(spark, folder, "documents", "doc_id", "text"))
+
+
 @query("op4_fingerprints")
 def op4_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     return fingerprint_documents(table(spark, folder, "documents", "doc_id", "text"))
@@ -54,6 +64,14 @@ def minhash_classes(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(table(spark, folder, "documents", "doc_id", "text"))
 
 
+@query("op5_url_filter", URL_VERDICTS)
+def op5_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    """The outcome of a page is the label of the document with its id."""
+    labels = table(spark, folder, "labels").filter("quality IS NOT NULL AND toxic IS NOT NULL")
+    outcomes = labels.select(F.col("doc_id").alias("page_id"), F.expr("quality = 1 AND toxic = 0").alias("good"))
+    return filter_pages(table(spark, folder, "pages", "page_id", "url"), outcomes)
+
+
 @query("op6_quality")
 def op6_quality(spark: SparkSession, folder: str) -> DataFrame:
     return rate(table(spark, folder, "documents", "doc_id", "text"), table(spark, folder, "labels"))
@@ -69,6 +87,11 @@ def op8_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return drop_repeated_lines(table(spark, folder, "documents", "doc_id", "text"))
 
 
+@query("op9_token_counts")
+def op9_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return count_document_tokens(table(spark, folder, "documents", "doc_id", "text"), VOCABULARY, END_OF_DOCUMENT)
+
+
 @query("op10_decontamination", CONTAMINATION)
 def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return contamination(table(spark, folder, "documents", "doc_id", "text"), table(spark, folder, "benchmark"))

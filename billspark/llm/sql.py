@@ -65,3 +65,76 @@ SELECT d.doc_id, len(d.ws)::BIGINT AS n_words, coalesce(hit.n, 0)::BIGINT AS n_h
   sha256(coalesce(it.names, '')) AS items_sha256, coalesce(hit.n, 0) > 0 AS contaminated
 FROM d LEFT JOIN hit ON d.doc_id = hit.doc_id LEFT JOIN it ON d.doc_id = it.doc_id
 """
+
+URL_VERDICTS = r"""
+WITH p AS (
+  SELECT page_id, translate(regexp_extract(coalesce(url, ''), '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(coalesce(url, ''), '://[^/?#]*([^?#]*)', 1) AS path
+  FROM pages
+),
+o AS (
+  SELECT doc_id, count(*) AS n, count(*) FILTER (WHERE quality = 1 AND toxic = 0) AS good
+  FROM labels WHERE quality IS NOT NULL AND toxic IS NOT NULL GROUP BY doc_id
+),
+h AS (
+  SELECT host, coalesce(sum(n), 0)::DOUBLE AS n, coalesce(sum(good), 0)::DOUBLE AS good,
+    array_to_string(string_split(host, '.')[-2:], '.') AS domain, string_split(host, '.')[-1] AS suffix
+  FROM p LEFT JOIN o ON p.page_id = o.doc_id GROUP BY host
+),
+root AS (SELECT (sum(good) + 1) / (sum(n) + 2) AS rate FROM h),
+s AS (SELECT suffix, sum(n) AS n, sum(good) AS good, (SELECT rate FROM root) AS p FROM h GROUP BY suffix),
+sm AS (
+  SELECT CASE WHEN v > 0 THEN least(greatest(c / v - 1, 2), 1000) ELSE 1000 END AS m
+  FROM (SELECT sum(n * p * (1 - p)) AS c, sum((good - n * p) ^ 2 / n - p * (1 - p)) AS v FROM s WHERE n > 0)
+),
+sr AS (SELECT suffix, (good + m * p) / (n + m) AS rate FROM s, sm),
+d AS (SELECT domain, suffix, sum(n) AS n, sum(good) AS good, any_value(rate) AS p FROM h JOIN sr USING (suffix) GROUP BY domain, suffix),
+dm AS (
+  SELECT CASE WHEN v > 0 THEN least(greatest(c / v - 1, 2), 1000) ELSE 1000 END AS m
+  FROM (SELECT sum(n * p * (1 - p)) AS c, sum((good - n * p) ^ 2 / n - p * (1 - p)) AS v FROM d WHERE n > 0)
+),
+dr AS (SELECT domain, (good + m * p) / (n + m) AS rate FROM d, dm),
+hh AS (SELECT host, n, good, rate AS p FROM h JOIN dr USING (domain)),
+hm AS (
+  SELECT CASE WHEN v > 0 THEN least(greatest(c / v - 1, 2), 1000) ELSE 1000 END AS m
+  FROM (SELECT sum(n * p * (1 - p)) AS c, sum((good - n * p) ^ 2 / n - p * (1 - p)) AS v FROM hh WHERE n > 0)
+),
+hr AS (SELECT host, (good + m * p) / (n + m) AS rate, n + m AS weight FROM hh, hm),
+v AS (SELECT host, CASE WHEN rate + 2 * sqrt(rate * (1 - rate) / (weight + 1)) < 0.6 THEN 'block' ELSE 'allow' END AS by_host FROM hr),
+r AS (
+  SELECT p.*, CASE
+      WHEN (host = 'example.org' OR host LIKE '%.example.org') AND starts_with(path, '/en/1') THEN 'example.org/en/1'
+      WHEN (host = 'example.org' OR host LIKE '%.example.org') AND starts_with(path, '/es/') THEN 'example.org/es/'
+      WHEN (host = 'com' OR host LIKE '%.com') AND starts_with(path, '/fr/') THEN 'com/fr/'
+      WHEN (host = 'com' OR host LIKE '%.com') AND starts_with(path, '/de/') THEN 'com/de/'
+      WHEN (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/') THEN 'org/' END AS rule
+  FROM p
+)
+SELECT page_id, r.host, path, rule,
+  CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' ELSE by_host END AS verdict
+FROM r JOIN v ON r.host = v.host
+"""
+
+
+def license_sql(templates, classes, containment) -> str:
+    """Exact containment of the templates' shingles in every window, without MinHash."""
+    words = "regexp_extract_all(lower(coalesce({}, '')), '[a-z0-9]+')"
+    grams = "list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2])"
+    rows = ", ".join("('{}', '{}')".format(n, t.replace("'", "''")) for n, t in templates)
+    case = " ".join(f"WHEN len(g) <= {c} THEN {c}" for c in classes)
+    return f"""
+    WITH t AS (SELECT license, list_distinct({grams}) AS g FROM (SELECT license, {words.format('notice')} AS ws FROM (VALUES {rows}) AS x(license, notice))),
+    tg AS (SELECT license, len(g) AS size, CASE {case} END AS class, unnest(g) AS gram FROM t),
+    d AS (SELECT doc_id, {words.format('text')} AS ws FROM documents),
+    dg AS (SELECT doc_id, unnest(range(0, len(ws) - 2)) AS pos, unnest({grams}) AS gram FROM d WHERE len(ws) >= 3),
+    hit AS (SELECT doc_id, license, size, class, tg.gram, pos // class AS w FROM dg JOIN tg ON dg.gram = tg.gram),
+    win AS (SELECT * FROM hit UNION ALL SELECT doc_id, license, size, class, gram, w - 1 FROM hit WHERE w > 0),
+    found AS (
+      SELECT doc_id, license, max(share) AS share
+      FROM (SELECT doc_id, license, w, count(DISTINCT gram) / any_value(size) AS share FROM win GROUP BY ALL)
+      WHERE share >= {containment} GROUP BY ALL
+    ),
+    per AS (SELECT doc_id, count(*) AS n, string_agg(license, ',' ORDER BY license) AS names, max(share) AS share FROM found GROUP BY 1)
+    SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_licenses, coalesce(names, '') AS licenses, coalesce(share, 0.0)::DOUBLE AS containment
+    FROM documents AS d LEFT JOIN per ON d.doc_id = per.doc_id
+    """
