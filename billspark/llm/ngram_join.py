@@ -5,7 +5,8 @@
 2. Each distinct set is represented by its smallest document; two similar sets must share an n-gram of
    their prefixes (about a tenth of the set at 0.9), so sets meet in the buckets of prefix n-grams that
    at least two sets have.
-3. In a bucket the rest of the shared prefixes is stored in a trie. Each set walks the trie once, sharing
+3. A set leaves the buckets in which no other has a fitting size and enough shared prefix to come.
+   In the others the rest of the shared prefixes is stored in a trie. Each set walks the trie once, sharing
    overlaps along common paths; a subtree is left as soon as the overlap so far, what can still be
    shared and what may lie beyond the prefix stay under the overlap that the sizes ask for. A set
    that is already connected to everything in the tree is not walked: a bucket gives at most as many
@@ -244,12 +245,59 @@ def units_of(rows: DataFrame, key: str, members: str, block: int) -> DataFrame:
     return cut.withColumn("i", F.least("_own", "_other")).withColumn("j", F.greatest("_own", "_other")).drop("_own", "_other")
 
 
+def pairs_possible(sizes: np.ndarray, last: np.ndarray, left: np.ndarray, percent: int) -> np.ndarray:
+    """Which sets of a bucket have another that they can be similar to, if the bucket's n-gram is the
+    first that they share: at most the smaller ``left`` shared prefix n-grams can follow it."""
+    beyond = -(-percent * sizes // 100) - 1
+    out = np.zeros(len(sizes), bool)
+    for first in range(0, len(sizes), 256):
+        mine = slice(first, first + 256)
+        one, other = sizes[mine, None], sizes[None, :]
+        rest = np.where(last[mine, None] <= last[None, :], beyond[mine, None], beyond[None, :])
+        possible = np.minimum(left[mine, None], left[None, :]) + rest >= -(-percent * (one + other) // (100 + percent))
+        possible &= 100 * np.minimum(one, other) >= percent * np.maximum(one, other)
+        possible[np.arange(len(possible)), first + np.arange(len(possible))] = False
+        out[mine] = possible.any(1)
+    return out
+
+
+def useful_buckets(own: DataFrame, percent: int) -> DataFrame:
+    """``doc_id, size, last, token``: the buckets in which a set has a possible partner.
+
+    Only numbers are shuffled here. Of the sets that share a passage and little else few are left.
+    """
+    narrow = own.select("doc_id", "size", "last", F.posexplode("own.token").alias("place", "token"), F.size("own").alias("n"))
+    narrow = narrow.select("token", "doc_id", "size", "last", (F.col("n") - F.col("place")).alias("left"))
+    narrow = narrow.repartition("token").sortWithinPartitions("token")
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
+        held: list[list[np.ndarray]] = []
+        for parts in by_unit(batches, 1):
+            columns = [np.concatenate([p.column(k).to_numpy(zero_copy_only=False) for p in parts]) for k in range(5)]
+            if len(columns[0]) <= 2 * BUCKET:  # larger ones are all kept
+                chosen = pairs_possible(*(c.astype(np.int64) for c in (columns[2], columns[3], columns[4])), percent)
+                columns = [c[chosen] for c in columns]
+            if len(columns[0]):
+                held.append([columns[1], columns[2], columns[3], columns[0]])
+            if len(held) > 5_000:
+                yield [pa.array(np.concatenate(c)) for c in zip(*held)]
+                held = []
+        if held:
+            yield [pa.array(np.concatenate(c)) for c in zip(*held)]
+
+    return map_partitions(narrow, narrow.columns, keep, "doc_id long, size int, last long, token long")
+
+
 def candidate_links(sets: DataFrame, percent: int) -> DataFrame:
     """``a, b`` of sets (one row each, as from ``prefixes``) that can be similar; connects all that can."""
     tokens = sets.select("doc_id", "size", "last", F.explode("prefix").alias("token"))
     shared = tokens.withColumn("members", F.count("*").over(Window.partitionBy("token"))).filter("members > 1")
     own = shared.groupBy("doc_id", "size", "last").agg(F.sort_array(F.collect_list(F.struct("token", "members"))).alias("own"))
-    suffixes = own.select("doc_id", "size", "last", F.posexplode("own").alias("place", "first"), "own").select(
+    own = materialize(own, "shared")
+    useful = useful_buckets(own, percent).groupBy("doc_id", "size", "last").agg(F.collect_list("token").alias("useful"))
+    suffixes = own.join(useful, ["doc_id", "size", "last"]).select(
+        "doc_id", "size", "last", F.posexplode("own").alias("place", "first"), "own", "useful"
+    ).filter(F.array_contains("useful", F.col("first.token"))).select(
         F.col("first.token").alias("token"), F.col("first.members").alias("members"), "doc_id", "size", "last",
         F.expr("slice(own.token, place + 1, size(own))").alias("rest"),
     )
@@ -316,7 +364,6 @@ def ngram_components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFram
     known = sets.filter("size > 0 AND doc_id IS NOT NULL")
     classes = materialize(known.groupBy("d1", "d2").agg(F.min("doc_id").alias("first")), "classes")
     firsts = known.join(classes.select("d1", "d2", F.col("first").alias("doc_id")), ["d1", "d2", "doc_id"], "left_semi")
-    firsts = firsts.dropDuplicates(["d1", "d2"])
     candidates = connected_components(candidate_links(firsts, percent))
     links = connected_components(verified_links(docs, candidates, n, percent))
     named = classes.join(links.withColumnRenamed("vertex", "first"), "first", "left").select(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import public_tokenizers
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,14 +20,11 @@ from billspark.llm.quality import rate
 from billspark.llm.sql import CONTAMINATION, NGRAM_COMPONENTS, REPEATED_LINES, URL_VERDICTS, license_sql
 from billspark.llm.token_counts import count_document_tokens
 from billspark.llm.urls import filter_pages
+from billspark.llm.vocabularies import BYTE_BPE, END_OF_DOCUMENT
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
-#: The vocabulary of the token queries.
-VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
-END_OF_DOCUMENT = 50256
-
 
 def query(name: str, sql: str | None = None):
     def register(fn):
@@ -46,7 +43,7 @@ def op1_pii(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("op2_bpe")
 def op2_bpe(spark: SparkSession, folder: str) -> DataFrame:
-    return encode_documents(table(spark, folder, "documents", "doc_id", "text"), VOCABULARY)
+    return encode_documents(table(spark, folder, "documents", "doc_id", "text"), BYTE_BPE)
 
 
 @query("op3_licenses", license_sql(TEMPLATES, CLASSES, CONTAINMENT))
@@ -89,9 +86,14 @@ def op8_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("op9_token_counts")
 def op9_token_counts(spark: SparkSession, folder: str) -> DataFrame:
-    return count_document_tokens(table(spark, folder, "documents", "doc_id", "text"), VOCABULARY, END_OF_DOCUMENT)
+    return count_document_tokens(table(spark, folder, "documents", "doc_id", "text"), BYTE_BPE, END_OF_DOCUMENT)
 
 
 @query("op10_decontamination", CONTAMINATION)
 def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return contamination(table(spark, folder, "documents", "doc_id", "text"), table(spark, folder, "benchmark"))
+
+
+@query("pipeline", corpus_pipeline.ORACLE_SQL)
+def pipeline(spark: SparkSession, folder: str) -> DataFrame:
+    return corpus_pipeline.run(spark, folder)
