@@ -11,7 +11,7 @@ joined by shuffle, where Spark splits the partitions of large hosts.
 
 Defined cases: a missing url, or one without ``://``, has an empty host and path; the empty host is a host of
 its own with an empty domain and suffix; hosts without outcomes take their domain's posterior, and
-so on upwards; without any outcome the rate is one half; repeated rows are judged once each and
+so on upwards; without any outcome the rate is one, as nothing speaks against a page; repeated rows are judged once each and
 their outcomes all count; pages without an outcome do not count.
 """
 
@@ -103,7 +103,9 @@ def host_reputation(pages: DataFrame, outcomes: DataFrame) -> DataFrame:
     counts = counts.withColumn("domain", domain_of(F.col("host"))).withColumn("suffix", suffix_of(F.col("host")))
     counts = materialize(counts.withColumn("all", F.lit(1)), "hosts")
     totals = [F.sum("n").alias("n"), F.sum("good").alias("good")]
-    root = counts.groupBy("all").agg(*totals).withColumn("rate", (F.col("good") + 1) / (F.col("n") + 2))
+    root = counts.groupBy("all").agg(*totals).withColumn(
+        "rate", F.when(F.col("n") > 0, (F.col("good") + 1) / (F.col("n") + 2)).otherwise(1.0)
+    )
     suffixes = _shrunk(counts.groupBy("suffix", "all").agg(*totals), root, "all")
     domains = _shrunk(counts.groupBy("domain", "suffix").agg(*totals), suffixes, "suffix")
     return _shrunk(counts.select("host", "domain", "n", "good"), domains, "domain").select("host", "rate", "weight")
