@@ -27,7 +27,7 @@ from billspark.llm.common import keep_ids, map_batches, materialize, utf8_of
 from billspark.llm.shingles import blocks, mix, word_hashes
 
 #: Most rated documents that the model is fitted on, and most features it keeps.
-SAMPLE, FEATURES = 10_000, 1 << 15
+SAMPLE, FEATURES = 4_000, 1 << 15
 #: Documents of the sample that a feature must be in, and standard deviations that it must pull the grade.
 LEAST_DOCS, LEAST_PULL = 5, 4.0
 STEPS, RATE, RIDGE = 150, 0.06, 3e-4
@@ -93,7 +93,7 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, n_grades: int) -> OrdinalMod
     if not rows:
         return OrdinalModel(np.zeros(0, np.uint64), np.zeros(0), np.linspace(-1, 1, n_grades - 1))
     flat = np.concatenate(rows)
-    owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    owner = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r) for r in rows])
     features, place, counts = np.unique(flat, return_inverse=True, return_counts=True)
     share = np.cumsum([(grades == k).mean() for k in range(n_grades)])[:-1].clip(0.01, 0.99)
     thresholds = np.log(share / (1 - share))
@@ -153,7 +153,7 @@ def fit_documents(docs: DataFrame, ratings: DataFrame, n_grades: int, sample: in
         return [batch.column(0), [f.tobytes() for f in text_features(*utf8_of(batch.column(1)))]]
 
     features = map_batches(texts, ["doc_id", "text"], cut, "doc_id long, features binary")
-    rows = features.join(F.broadcast(chosen), "doc_id").orderBy("doc_id", "grade", "features").select("grade", "features").collect()
+    rows = sorted(features.join(F.broadcast(chosen), "doc_id").select("doc_id", "grade", "features").collect())
     grades = np.array([r.grade for r in rows], np.int64)
     return fit([np.frombuffer(r.features, np.uint64) for r in rows], grades, n_grades)
 
