@@ -473,7 +473,8 @@ _ITEM_LINES = f"""list_transform(list_filter(list_transform(string_split(text, c
     ),
 )
 def generic_items_query(spark, sf_dir):
-    rows = _docs(spark, sf_dir).select("doc_id", F.posexplode(loose.generic_items(F.col("text"))).alias("n", "i"))
+    items = loose.cap_items(loose.generic_items(F.col("text")))
+    rows = _docs(spark, sf_dir).select("doc_id", F.posexplode(items).alias("n", "i"))
     return rows.select(
         "doc_id", (F.col("n") + 1).cast("bigint").alias("item_no"), "i.description", "i.quantity",
         F.col("i.unit_price").cast("double").alias("unit_price"),

@@ -128,10 +128,11 @@ dq_item AS (
     max(priority) AS priority, max(max_retries) AS max_retries, count(*) AS n_events
   FROM dq LEFT JOIN dq_reset ON dq.id = dq_reset.id GROUP BY dq.id),
 item AS (
-  SELECT *, CASE last_action WHEN 'enqueue' THEN 'PENDING' WHEN 'processing_started' THEN 'PROCESSING'
+  SELECT *, CASE WHEN last_action = 'scheduled_retry' AND retry_count >= max_retries THEN 'FAILED' ELSE
+    CASE last_action WHEN 'enqueue' THEN 'PENDING' WHEN 'processing_started' THEN 'PROCESSING'
     WHEN 'scheduled_retry' THEN 'RETRYING' WHEN 'success' THEN 'SUCCESS' WHEN 'failed' THEN 'FAILED'
-    WHEN 'discarded' THEN 'DISCARDED' WHEN 'manual_retry' THEN 'PENDING' END AS status,
-    CASE WHEN retry_count > 0 THEN retried_at
+    WHEN 'discarded' THEN 'DISCARDED' WHEN 'manual_retry' THEN 'PENDING' END END AS status,
+    CASE WHEN retry_count > 0 AND NOT (last_action = 'scheduled_retry' AND retry_count >= max_retries) THEN retried_at
       + to_seconds(CAST(least(60 * pow(2, retry_count - 1), 3600) AS BIGINT)) END AS next_retry_at
   FROM dq_item)
 """

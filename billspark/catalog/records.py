@@ -622,7 +622,7 @@ def assign_invoice_numbers(spark, sf_dir):
         "prefix", F.when(F.col("o_orderkey") % 10 == 0, "CR").otherwise("INV")
     )
     existing = table(spark, sf_dir, "customer", "c_custkey").select(F.lit("INV").alias("prefix"))
-    return numbering.assign_invoice_numbers(new, existing, ["o_orderdate", "o_orderkey"], rows_per_slice=4000).select(
+    return numbering.assign_invoice_numbers(new, existing, ["o_orderdate", "o_orderkey"]).select(
         "o_orderkey", "invoice_number"
     )
 

@@ -368,7 +368,7 @@ def dlq_with_handler(spark, sf_dir):
     "dlq_handlers",
     f"""WITH {I.DLQ} SELECT id, CASE WHEN operation_type = 'notify_client' THEN 'discarded'
       WHEN operation_type = 'extract_fields' AND priority <= 5 THEN 'success'
-      WHEN retry_count < max_retries THEN 'scheduled_retry' ELSE 'failed' END AS action FROM item""",
+      WHEN retry_count + 1 < max_retries THEN 'scheduled_retry' ELSE 'failed' END AS action FROM item""",
 )
 def dlq_handlers(spark, sf_dir):
     handlers = dlq.Handlers()
@@ -451,7 +451,7 @@ def breaker_timeline(spark, sf_dir):
 @query("breaker_timeline_hot_service", _breaker_sql("'svc' || (user_id % 3)", 2, 900_000_000, 2, 2, _TIMELINE))
 def breaker_timeline_hot(spark, sf_dir):
     service = F.concat(F.lit("svc"), (F.col("user_id") % 3).cast("string"))
-    return _timeline(spark, sf_dir, _HOT, service, rows_per_slice=1500).select(*_SHOWN)
+    return _timeline(spark, sf_dir, _HOT, service).select(*_SHOWN)
 
 
 @query(
@@ -545,7 +545,7 @@ FROM o"""
 def consecutive_runs(spark, sf_dir):
     service = (F.col("user_id") % 2).cast("string")
     return sessions.consecutive_runs(
-        I.outcomes(spark, sf_dir, service), "service", ["ts", "event_id"], rows_per_slice=2000
+        I.outcomes(spark, sf_dir, service), "service", ["ts", "event_id"]
     ).select("event_id", "consecutive_failures", "consecutive_successes")
 
 
@@ -584,7 +584,7 @@ def _conversation_events(spark, sf_dir):
 )
 def transition_log(spark, sf_dir):
     return sessions.transition_log(
-        _conversation_events(spark, sf_dir), ["user_id"], ["ts", "event_id"], rows_per_slice=3000
+        _conversation_events(spark, sf_dir), ["user_id"], ["ts", "event_id"]
     ).select("event_id", "old_state", F.col("state").alias("new_state"), "duration_s", "changed")
 
 
@@ -794,7 +794,7 @@ def cost_usage(spark, sf_dir):
 )
 def running_latency(spark, sf_dir):
     return usage.running_latency(
-        I.model_calls(spark, sf_dir), "tier", ["ts", "event_id"], rows_per_slice=1000
+        I.model_calls(spark, sf_dir), "tier", ["ts", "event_id"]
     ).select(
         "event_id",
         F.floor(F.col("running_latency_ms") * 1000 + 0.00001).alias("running_latency_us"),

@@ -144,12 +144,12 @@ def stuck_task_watch(spark, sf_dir):
 @query(
     "dlq_stream",
     f"""WITH {I.EVENTS}, s AS (SELECT event_id AS id, epoch_ms(ts) AS t0, k % 8 AS need, a AS attempt,
-      epoch_ms(ts) + CAST(list_sum(list_transform(range(0, a), lambda i: least(60 * pow(2, i), 3600))) AS BIGINT) * 1000 AS due FROM ev, range(0, 6) t(a))
-    SELECT id, attempt, CASE WHEN attempt >= need THEN 'success' WHEN attempt < 5 THEN 'scheduled_retry' ELSE 'failed' END AS action
+      epoch_ms(ts) + CAST(list_sum(list_transform(range(0, a), lambda i: least(60 * pow(2, i), 3600))) AS BIGINT) * 1000 AS due FROM ev, range(0, 5) t(a))
+    SELECT id, attempt, CASE WHEN attempt >= need THEN 'success' WHEN attempt < 4 THEN 'scheduled_retry' ELSE 'failed' END AS action
     FROM (SELECT id, attempt, need, coalesce(due, t0) AS due FROM s) WHERE attempt <= need AND due <= epoch_ms({WM})""",
 )
 def dlq_stream(spark, sf_dir):
-    """A handler that works from the (k % 8)-th try on; five retries are allowed."""
+    """A handler that works from the (k % 8)-th try on; five tries are allowed."""
     items = _stream(spark, sf_dir).select(
         F.col("event_id").alias("id"), "ts", (F.col("k") % 8).cast("string").alias("payload"), F.lit(5).alias("max_retries")
     )

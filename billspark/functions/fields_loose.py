@@ -89,12 +89,29 @@ def items_section(lines: Column, drop_terminator: bool = False) -> Column:
 
     A description is the text before the amount, or else the line above.
     """
-    lowered = F.transform(lines, lambda x: F.lower(strip(x)))
+    # every line is marked once; what follows looks the marks up
+    return let(_marked_lines(lines), lambda marked: _items_between(marked, drop_terminator))
+
+
+def _marked_lines(lines: Column) -> Column:
+    """The lines, and which of them are start markers and end markers."""
+
+    def marks(x):
+        return let(
+            F.lower(strip(x)),
+            lambda y: F.struct(_any(y, V.ITEMS_START).alias("starts"), _any(y, V.ITEMS_END).alias("ends")),
+        )
+
+    return F.struct(lines.alias("lines"), F.transform(lines, marks).alias("marks"))
+
+
+def _items_between(marked: Column, drop_terminator: bool) -> Column:
+    lines = marked["lines"]
     n = F.size(lines)
-    marks = F.transform(lowered, lambda x: _any(x, V.ITEMS_START))
+    marks = F.transform(marked["marks"], lambda m: m["starts"])
     begin = F.array_position(marks, True)
     # start-marker lines are skipped before they are looked at as ends
-    ends = F.zip_with(lowered, marks, lambda x, m: _any(x, V.ITEMS_END) & ~m)
+    ends = F.transform(marked["marks"], lambda m: m["ends"] & ~m["starts"])
     after = F.array_position(F.slice(ends, F.greatest(begin, F.lit(1)).cast("int") + 1, F.greatest(n, F.lit(1))), True)
     last = F.when(after > 0, begin + after).otherwise(n).cast("int")
     if drop_terminator:
@@ -110,7 +127,7 @@ def items_section(lines: Column, drop_terminator: bool = False) -> Column:
         above = F.when(i > 1, strip(F.element_at(lines, F.greatest(i - 1, F.lit(1)))))
         return F.struct(
             F.when(before != "", before).otherwise(F.coalesce(above, F.lit(""))).alias("description"),
-            F.when(~F.element_at(marks, i), amount).alias("amount"),
+            F.when(~F.element_at(marked["marks"], i)["starts"], amount).alias("amount"),
         )
 
     items = F.transform(numbers, item)
@@ -160,8 +177,13 @@ def top_amounts(t: Column) -> Column:
     return F.sort_array(F.array_distinct(amounts), asc=False)
 
 
-def generic_items(t: Column, limit: int = 20, width: int = 200) -> Column:
-    """First items of the text: description, quantity, unit price, total."""
+def cap_items(items: Column, limit: int = 20, width: int = 200) -> Column:
+    """The first items with shortened descriptions, as a step of its own; the defaults are the known profile's."""
+    return F.transform(F.slice(items, 1, limit), lambda x: x.withField("description", F.substring(x["description"], 1, width)))
+
+
+def generic_items(t: Column) -> Column:
+    """Items of the text: description, quantity, unit price, total; all of them (see ``cap_items``)."""
     lines = F.filter(F.transform(split_lines(t), strip), lambda x: F.length(x) >= 10)
 
     # one pass per line: the three groups come out side by side, a line without a match stays whole
@@ -174,15 +196,13 @@ def generic_items(t: Column, limit: int = 20, width: int = 200) -> Column:
         quantity = F.try_element_at(parts, F.lit(2)).try_cast("bigint")
         price = _amount(F.try_element_at(parts, F.lit(3)))
         return F.struct(
-            F.substring(strip(parts[0]), 1, width).alias("description"),
+            strip(parts[0]).alias("description"),
             quantity.alias("quantity"), price.alias("unit_price"),
             (quantity.cast("decimal(18,0)") * price).cast("decimal(28,2)").alias("total"),
         )
 
     found = F.filter(F.transform(lines, item), lambda p: F.size(p) == 3)
-    return F.slice(
-        F.filter(F.transform(found, typed), lambda x: x["total"].isNotNull()), 1, limit
-    )
+    return F.filter(F.transform(found, typed), lambda x: x["total"].isNotNull())
 
 
 def generic_invoice(df: DataFrame, text: str = "text") -> DataFrame:

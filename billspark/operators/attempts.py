@@ -88,6 +88,17 @@ def select_attempt(
     )
 
 
+def only_attempt(attempts: DataFrame, key: str = "doc_id", payload: list[str] | None = None) -> DataFrame:
+    """``select_attempt`` for documents whose one attempt passed: a projection, nothing is gathered."""
+    empty = F.array().cast("array<string>")
+    return attempts.select(
+        key, F.lit(True).alias("success"), F.lit(0).alias("attempt_no"), F.col("method").alias("best_method"),
+        "confidence", *(payload or []), F.lit(1).alias("n_attempts"),
+        F.coalesce("processing_time_ms", F.lit(0)).cast("bigint").alias("total_ms"),
+        empty.alias("errors"), empty.alias("warnings"),
+    )
+
+
 def healing_ladder(
     attempts: DataFrame, key: str = "doc_id", minimum: float = AGENT_MINIMUM
 ) -> DataFrame:

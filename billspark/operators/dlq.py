@@ -54,7 +54,7 @@ def dlq_apply_events(events: DataFrame) -> DataFrame:
 
     Only aggregates that combine before the shuffle: last action, last reset, and the retries
     after it. Needs id, operation_type, ts, event_no, action, error, priority, max_retries.
-    The last allowed retry that fails makes the item FAILED, by its own ``failed`` action.
+    An item whose allowed retries are used up is FAILED, whether or not a ``failed`` action follows.
     """
     order = F.struct("ts", "event_no")
     resets = (
@@ -82,7 +82,13 @@ def dlq_apply_events(events: DataFrame) -> DataFrame:
     due = F.timestamp_micros(
         F.unix_micros(F.col("_retried_at").cast("timestamp")) + (wait * 1_000_000).cast("bigint")
     )
-    return items.withColumn("next_retry_at", F.when(F.col("retry_count") > 0, due)).drop("_retried_at")
+    spent = (F.col("status") == "RETRYING") & (F.col("retry_count") >= F.col("max_retries"))
+    return items.withColumns(
+        {
+            "next_retry_at": F.when((F.col("retry_count") > 0) & ~spent, due),
+            "status": F.when(spent, "FAILED").otherwise(F.col("status")),
+        }
+    ).drop("_retried_at")
 
 
 def dlq_history(events: DataFrame) -> DataFrame:
@@ -92,7 +98,7 @@ def dlq_history(events: DataFrame) -> DataFrame:
 
 def next_action(ok: Column) -> Column:
     """What a handler's outcome leads to; the last allowed failure ends the item."""
-    left = F.col("retry_count") < F.col("max_retries")
+    left = F.col("retry_count") + 1 < F.col("max_retries")
     return F.when(ok, "success").when(left, "scheduled_retry").otherwise("failed")
 
 

@@ -9,12 +9,12 @@ from billspark.functions.enrich import validate_and_clean
 from billspark.functions.fields import extract_flat, nest
 from billspark.functions.score import completeness
 from billspark.functions.text import strip
-from billspark.operators.attempts import GATE, run_until_accepted, select_attempt
+from billspark.operators.attempts import GATE, only_attempt, passes_gate, select_attempt, union_attempts
 from billspark.operators.items import work_items
+from billspark.session import materialize
 
 INVOICE = ["invoice_number", "invoice_date", "contractor", "work_period", "work_items", "financials"]
 TEXT_METHOD, PAGED_METHOD = "text_extraction", "paged_extraction"
-RAW_TEXT, ATTEMPT_TEXT = 5000, 2000
 
 
 def extract_invoices(docs: DataFrame, text: str = "text", paged: bool = False) -> DataFrame:
@@ -25,10 +25,14 @@ def extract_invoices(docs: DataFrame, text: str = "text", paged: bool = False) -
     return out.drop(text)
 
 
-def as_attempts(docs: DataFrame, method: str, key: str = "doc_id", paged: bool = False) -> DataFrame:
+def as_attempts(
+    docs: DataFrame, method: str, key: str = "doc_id", paged: bool = False, keep_text: bool = False
+) -> DataFrame:
     """One attempt per document; a blank text is a failure."""
     blank = strip(F.coalesce(F.col("text"), F.lit(""))) == ""
     marked = docs.select(key, "text", blank.alias("_blank"))
+    if keep_text:
+        marked = marked.withColumn("_text", F.col("text"))
     found = extract_invoices(marked, paged=paged)
     ok = ~F.col("_blank")
     return found.select(
@@ -39,20 +43,24 @@ def as_attempts(docs: DataFrame, method: str, key: str = "doc_id", paged: bool =
         F.when(~ok, "No text extracted from file").alias("error_message"),
         F.lit(0).cast("bigint").alias("processing_time_ms"),
         *[F.when(ok, F.col(c)).alias(c) for c in INVOICE],
+        *([F.col("_text").alias("text")] if keep_text else []),
     )
 
 
 def process_documents(docs: DataFrame, key: str = "doc_id", threshold: float = GATE) -> DataFrame:
-    """Text rules first, paged rules only for the documents they did not get through the gate."""
-    attempts = run_until_accepted(
-        docs,
-        [
-            lambda d: as_attempts(d, TEXT_METHOD, key),
-            lambda d: as_attempts(d, PAGED_METHOD, key, paged=True),
-        ],
-        key, threshold,
-    )
-    return select_attempt(attempts, key, INVOICE, threshold)
+    """Text rules first, paged rules only for the documents they did not get through the gate.
+
+    The first pass is written once, with the text of the documents that failed beside their attempt; the
+    second reads those rows alone. No text is shuffled or joined, and documents that passed have one
+    attempt, so only the attempts of the failed ones are gathered.
+    """
+    first = as_attempts(docs, TEXT_METHOD, key, keep_text=True)
+    failed = ~F.coalesce(passes_gate(threshold), F.lit(False))
+    first = materialize(first.withColumn("text", F.when(failed, F.col("text"))), "attempts")
+    rest = first.filter(failed)
+    second = as_attempts(rest.select(key, "text"), PAGED_METHOD, key, paged=True)
+    chosen = select_attempt(union_attempts([rest.drop("text"), second]), key, INVOICE, threshold)
+    return chosen.unionByName(only_attempt(first.filter(~failed).drop("text"), key, INVOICE))
 
 
 def validated_invoices(docs: DataFrame, as_of: str, zero_rate_is_zero: bool = False) -> DataFrame:

@@ -5,33 +5,48 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from billspark.functions.files import decode_text, detect_file_type, reject_reason
+from billspark.functions.files import decode_text, detect_file_type, file_kind_six, reject_reason
+from billspark.functions.fixed_values import MAX_FILE_BYTES
 from billspark.schemas import EVENT_LOG
 
 BINARY = "path string, modificationTime timestamp, length bigint, content binary"
 
 
 def scan_documents(
-    spark: SparkSession, folder: str, glob: str = "*", recursive: bool = True,
+    spark: SparkSession, paths: str | list[str], glob: str = "*", recursive: bool = True,
 ) -> DataFrame:
-    """Files under a folder with their kind; content is read only by what selects it."""
+    """Files of a folder, or of a list of folders and files, with their kind.
+
+    The kind comes from the extension, from the content only where that is unknown.
+    """
     reader = spark.read.format("binaryFile").option("pathGlobFilter", glob).option(
         "recursiveFileLookup", str(recursive).lower()
     )
-    return reader.load(folder).withColumn("file_type", detect_file_type(F.col("path"), F.col("content")))
+    return reader.load(paths).withColumn("file_type", detect_file_type(F.col("path"), F.col("content")))
+
+
+def split_supported(files: DataFrame, max_bytes: int = MAX_FILE_BYTES) -> tuple[DataFrame, DataFrame]:
+    """(files to process, rejects with a reason).
 
+    The size is a plain filter on ``length``, which the file source applies before it opens a file; rejects
+    select no content. Together with ``pending_documents`` every file has exactly one fate: text,
+    pending or reject.
+    """
+    path, length = F.col("path"), F.col("length")
+    good = files.filter(length <= max_bytes).filter(file_kind_six(path) != "unknown")
+    marked = files.select("path", "length", reject_reason(path, length, max_bytes).alias("reject_reason"))
+    return good, marked.filter(F.col("reject_reason").isNotNull())
 
-def split_supported(files: DataFrame, max_bytes: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """(files to process, rejects with a reason). The size test needs no content."""
-    args = {} if max_bytes is None else {"max_bytes": max_bytes}
-    marked = files.withColumn("reject_reason", reject_reason(F.col("path"), F.col("length"), **args))
-    good = marked.filter(F.col("reject_reason").isNull()).drop("reject_reason")
-    bad = marked.filter(F.col("reject_reason").isNotNull()).select("path", "length", "reject_reason")
-    return good, bad
+
+def pending_documents(files: DataFrame) -> DataFrame:
+    """Supported files whose text must come from elsewhere (a PDF reader, OCR): path, kind and why."""
+    return files.filter(F.col("file_type") != "text").select(
+        "path", "length", "file_type", F.lit("needs_text_extraction").alias("pending_reason")
+    )
 
 
 def text_documents(files: DataFrame) -> DataFrame:
-    """Decoded text of the text files; ``doc_id`` is a hash of the path."""
+    """Decoded text of the text files; ``doc_id`` is a hash of the path. See ``pending_documents`` for the rest."""
     return files.filter(F.col("file_type") == "text").select(
         F.xxhash64("path").alias("doc_id"), "path", decode_text(F.col("content")).alias("text")
     )

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from billspark.plans.extraction import validated_invoices
 from billspark.session import shared_folder
-from billspark.sources.documents import BINARY, split_supported, text_documents
+from billspark.sources.documents import BINARY, pending_documents, split_supported, text_documents
 from billspark.functions.files import detect_file_type
 
 
@@ -41,7 +41,7 @@ def landing_files(spark: SparkSession, folder: str, files_per_trigger: int = 100
 def landing_stream(
     spark: SparkSession, folder: str, out: str, progress: str, as_of: str, once: bool = True
 ):
-    """New files -> kind -> text -> invoices, with rejects beside them; the batch functions do the work.
+    """New files -> kind -> text -> invoices; rejects and files that need a reader beside them.
 
     Every batch writes its own folder and overwrites it when replayed, so a retry adds nothing twice.
     """
@@ -53,6 +53,7 @@ def landing_stream(
         found = validated_invoices(docs, as_of)
         found.write.mode("overwrite").parquet(f"{out}/invoices/batch={batch_id}")
         bad.write.mode("overwrite").parquet(f"{out}/rejects/batch={batch_id}")
+        pending_documents(good).write.mode("overwrite").parquet(f"{out}/pending/batch={batch_id}")
         batch.unpersist()
 
     writer = landing_files(spark, folder).writeStream.foreachBatch(each).option(
@@ -66,15 +67,26 @@ def state_sync(
     changes: DataFrame, out: str, progress: str, keys: list[str], order: list[str],
     every: str = "60 seconds", once: bool = False,
 ):
-    """Latest state per key, written at most once per interval."""
-    columns = [c for c in changes.columns if c not in keys]
+    """Latest state per key of each interval, written at most once per interval.
+
+    ``current_state`` reads one row per key over all intervals.
+    """
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        latest = batch.groupBy(*keys).agg(
-            F.max_by(F.struct(*columns), F.struct(*order)).alias("_r")
-        ).select(*keys, "_r.*")
+        latest = _latest(batch, keys, order)
         latest.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
     writer = changes.writeStream.foreachBatch(each).option("checkpointLocation", progress)
     writer = writer.trigger(availableNow=True) if once else writer.trigger(processingTime=every)
     return writer.start()
+
+
+def _latest(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    columns = [c for c in rows.columns if c not in keys]
+    latest = rows.groupBy(*keys).agg(F.max_by(F.struct(*columns), F.struct(*order)).alias("_r"))
+    return latest.select(*keys, "_r.*")
+
+
+def current_state(spark: SparkSession, out: str, keys: list[str], order: list[str]) -> DataFrame:
+    """The newest row of each key over everything ``state_sync`` has written to ``out``."""
+    return _latest(spark.read.parquet(out).drop("batch"), keys, order)

@@ -188,33 +188,37 @@ def dlq_stream(
 
     ``items``: id, ts, payload, max_retries. ``handler(payload, attempt)`` tells whether it worked;
     the failure of the last allowed retry ends the item. All tries that fall due by the watermark
-    are made in order, however far the watermark jumps.
+    are made in order, however far the watermark jumps. Each row of an id is an entry of its own: rows
+    that come while others wait join them.
     """
 
     def fold(key, batches, state):
-        held = _load(state, None)
-        if held is None:
+        waiting = _load(state, [])
+        if not state.hasTimedOut:
             rows = _rows(batches, ["ts"])
-            first = rows.iloc[0]
-            held = [0, _ms(first["ts"]), first["payload"], int(first["max_retries"])]
-        attempt, due, payload, limit = held
+            for ts, payload, limit in zip(rows["ts"], rows["payload"], rows["max_retries"]):
+                waiting.append([0, _ms(ts), payload, int(limit)])
         watermark_ms = state.getCurrentWatermarkMs()
-        out, done = [], False
-        while due <= watermark_ms and not done:
-            if handler(payload, attempt):
-                action, done = "success", True
-            elif attempt < limit:
-                action = "scheduled_retry"
-            else:
-                action, done = "failed", True
-            out.append((key[0], attempt, pd.Timestamp(due, unit="ms"), action))
-            due += min(base_s * 2**attempt, max_s) * 1000
-            attempt += 1
-        if done:
-            state.remove() if state.exists else None
-        else:
-            state.update((json.dumps([attempt, due, payload, limit]),))
-            state.setTimeoutTimestamp(max(due, watermark_ms + 1))
+        out, left = [], []
+        for attempt, due, payload, limit in waiting:
+            done = False
+            while due <= watermark_ms and not done:
+                if handler(payload, attempt):
+                    action, done = "success", True
+                elif attempt + 1 < limit:
+                    action = "scheduled_retry"
+                else:
+                    action, done = "failed", True
+                out.append((key[0], attempt, pd.Timestamp(due, unit="ms"), action))
+                due += min(base_s * 2**attempt, max_s) * 1000
+                attempt += 1
+            if not done:
+                left.append([attempt, due, payload, limit])
+        if left:
+            state.update((json.dumps(left),))
+            state.setTimeoutTimestamp(max(min(entry[1] for entry in left), watermark_ms + 1))
+        elif state.exists:
+            state.remove()
         yield pd.DataFrame(out, columns=["id", "attempt", "ts", "action"])
 
     return (

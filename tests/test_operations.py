@@ -54,8 +54,20 @@ def test_dlq_fold(spark):
 
 
 def test_dlq_ends_as_failed(spark):
-    df = spark.createDataFrame([(5, 5), (4, 5)], "retry_count int, max_retries int")
-    assert [r[0] for r in df.select(dlq.next_action(F.lit(False))).collect()] == ["failed", "scheduled_retry"]
+    df = spark.createDataFrame([(5, 5), (4, 5), (3, 5)], "retry_count int, max_retries int")
+    assert [r[0] for r in df.select(dlq.next_action(F.lit(False))).collect()] == ["failed", "failed", "scheduled_retry"]
+    r = dlq.dlq_apply_events(dlq_events(spark, ["enqueue"] + ["scheduled_retry"] * 5)).first()
+    assert (r.status, r.retry_count, r.next_retry_at) == ("FAILED", 5, None)
+
+
+def test_dlq_stream_acts_on_every_row(spark, tmp_path):
+    rows = [(1, at(0), "2", 5), (1, at(5), "0", 5), (2, at(7), "9", 3), (3, at(100_000), "0", 5), (4, at(200_000), "0", 5)]
+    df = spark.createDataFrame(rows, "id int, ts timestamp, payload string, max_retries int")
+    df.repartition(1).write.parquet(str(tmp_path / "a"))
+    stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "a"))
+    got = jobs.run_available(stateful.dlq_stream(stream, lambda p, n: n >= int(p)), "dlq").collect()
+    assert sorted((r.attempt, r.action) for r in got if r.id == 1) == [(0, "scheduled_retry"), (0, "success"), (1, "scheduled_retry"), (2, "success")]
+    assert sorted((r.attempt, r.action) for r in got if r.id == 2) == [(0, "scheduled_retry"), (1, "scheduled_retry"), (2, "failed")]
 
 
 def test_sessions(spark):
@@ -112,19 +124,34 @@ def test_scan_and_landing(spark, tmp_path):
     out = str(tmp_path / "out")
     jobs.landing_stream(spark, str(src), out, str(tmp_path / "progress"), "2024-06-30").awaitTermination()
     found = spark.read.parquet(f"{out}/invoices").collect()
-    assert {r.invoice_number for r in found} == {"2024-007", "8"}
+    assert {r.invoice_number for r in found} == {"2023-007", "8"}
     rejects = spark.read.parquet(f"{out}/rejects").collect()
     assert [r.reject_reason for r in rejects] == ["unsupported_format"]
+    pending = spark.read.parquet(f"{out}/pending").collect()
+    assert [(r.path.rsplit("/", 1)[1], r.file_type, r.pending_reason) for r in pending] == [("d.pdf", "pdf", "needs_text_extraction")]
+    assert len(found) + len(rejects) + len(pending) == 4
+
+
+def test_large_files_are_not_opened(spark, tmp_path):
+    for name, size in (("small.txt", 10), ("large.txt", 5000), ("odd.csv", 10)):
+        (tmp_path / name).write_text("x" * size)
+    good, bad = documents.split_supported(documents.scan_documents(spark, [str(tmp_path)]), max_bytes=100)
+    plan = good._jdf.queryExecution().executedPlan().toString()
+    assert "LessThanOrEqual(length,100)" in plan
+    assert [r.path.rsplit("/", 1)[1] for r in documents.text_documents(good).collect()] == ["small.txt"]
+    assert sorted(r.reject_reason for r in bad.collect()) == ["too_large", "unsupported_format"]
 
 
 def test_state_sync(spark, tmp_path):
     src = str(tmp_path / "changes")
     df = spark.createDataFrame([("s", 1, "a"), ("s", 2, "b"), ("t", 1, "c")], "session_id string, version int, body string")
-    df.write.parquet(src)
-    stream = spark.readStream.schema(df.schema).parquet(src)
-    out = str(tmp_path / "out")
-    jobs.state_sync(stream, out, str(tmp_path / "progress"), ["session_id"], ["version"], once=True).awaitTermination()
-    assert {(r.session_id, r.body) for r in spark.read.parquet(out).collect()} == {("s", "b"), ("t", "c")}
+    out, later = str(tmp_path / "out"), spark.createDataFrame([("s", 3, "d"), ("u", 1, "e")], df.schema)
+    for rows in (df, later):
+        rows.write.mode("append").parquet(src)
+        stream = spark.readStream.schema(df.schema).parquet(src)
+        jobs.state_sync(stream, out, str(tmp_path / "progress"), ["session_id"], ["version"], once=True).awaitTermination()
+    got = jobs.current_state(spark, out, ["session_id"], ["version"]).collect()
+    assert sorted(map(tuple, got)) == [("s", 3, "d"), ("t", 1, "c"), ("u", 1, "e")]
 
 
 def test_form_conversation(spark, tmp_path):
