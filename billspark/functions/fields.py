@@ -11,65 +11,74 @@ from pyspark.sql import functions as F
 from billspark.functions import fixed_values as V
 from billspark.functions.normalize import WIDE, parse_date_flexible, parse_money
 from billspark.functions.text import (
-    clean_lines, clean_text, extract_pattern, split_lines, strip,
+    blank_to_null, clean_lines, clean_text, extract_pattern, let, split_lines, strip,
 )
 
 
-def invoice_number(clean: Column) -> Column:
-    return extract_pattern(clean, V.INVOICE_NUMBER)
+def _once(clean: Column, pattern: str, group: int = 1) -> Column:
+    """``extract_pattern`` for patterns that are tried only when others gave nothing: searched once."""
+    return let(strip(F.regexp_extract(clean, pattern, group)), blank_to_null)
+
+
+def invoice_number(clean: Column, take=extract_pattern) -> Column:
+    return take(clean, V.INVOICE_NUMBER)
 
 
 def invoice_date(clean: Column) -> Column:
     """First labelled pattern whose text parses."""
-    return F.coalesce(
-        *[parse_date_flexible(extract_pattern(clean, p)) for p in V.DATE_LABELLED]
-    )
+    return F.coalesce(*[parse_date_flexible(_once(clean, p)) for p in V.DATE_LABELLED])
 
 
-def work_period(clean: Column) -> Column:
-    start = extract_pattern(clean, V.PERIOD_START)
-    end = extract_pattern(clean, V.PERIOD_END)
-    labelled = F.struct(
-        parse_date_flexible(start).alias("start_date"), parse_date_flexible(end).alias("end_date")
+def _period(start: Column, end: Column) -> Column:
+    return F.struct(parse_date_flexible(start).alias("start_date"), parse_date_flexible(end).alias("end_date"))
+
+
+def work_period(clean: Column, take=extract_pattern) -> Column:
+    """Labelled start and end, else the two ends of the first range that has a date."""
+    start, end = take(clean, V.PERIOD_START), take(clean, V.PERIOD_END)
+    range_ends = F.struct(
+        F.regexp_extract(clean, V.DATE_RANGE, 1).alias("s"), F.regexp_extract(clean, V.DATE_RANGE, 2).alias("e")
     )
-    range_start = parse_date_flexible(extract_pattern(clean, V.DATE_RANGE, 1))
-    range_end = parse_date_flexible(extract_pattern(clean, V.DATE_RANGE, 2))
-    ranged = F.struct(range_start.alias("start_date"), range_end.alias("end_date"))
-    return F.when(start.isNotNull() | end.isNotNull(), labelled).when(
-        range_start.isNotNull() | range_end.isNotNull(), ranged
+    ranged = let(
+        range_ends,
+        lambda r: let(
+            _period(blank_to_null(strip(r["s"])), blank_to_null(strip(r["e"]))),
+            lambda d: F.when(d["start_date"].isNotNull() | d["end_date"].isNotNull(), d),
+        ),
     )
+    return F.when(start.isNotNull() | end.isNotNull(), _period(start, end)).otherwise(ranged)
 
 
-def utr(clean: Column) -> Column:
-    return extract_pattern(clean, V.UTR)
+def utr(clean: Column, take=extract_pattern) -> Column:
+    return take(clean, V.UTR)
 
 
-def ni_number(clean: Column) -> Column:
-    return extract_pattern(clean, V.NI_NUMBER)
+def ni_number(clean: Column, take=extract_pattern) -> Column:
+    return take(clean, V.NI_NUMBER)
 
 
-def vat_number(clean: Column) -> Column:
-    return extract_pattern(clean, V.VAT_NUMBER)
+def vat_number(clean: Column, take=extract_pattern) -> Column:
+    return take(clean, V.VAT_NUMBER)
 
 
-def company_number(clean: Column) -> Column:
-    return extract_pattern(clean, V.COMPANY_NUMBER)
+def company_number(clean: Column, take=extract_pattern) -> Column:
+    return take(clean, V.COMPANY_NUMBER)
 
 
-def email(clean: Column) -> Column:
-    return F.lower(extract_pattern(clean, V.EMAIL, 0))
+def email(clean: Column, take=extract_pattern) -> Column:
+    return F.lower(take(clean, V.EMAIL, 0))
 
 
-def phone(clean: Column) -> Column:
-    return extract_pattern(clean, V.PHONE)
+def phone(clean: Column, take=extract_pattern) -> Column:
+    return take(clean, V.PHONE)
 
 
-def postcode(clean: Column) -> Column:
-    return F.upper(extract_pattern(clean, V.POSTCODE))
+def postcode(clean: Column, take=extract_pattern) -> Column:
+    return F.upper(take(clean, V.POSTCODE))
 
 
-def city(clean: Column) -> Column:
-    return extract_pattern(clean, V.CITY)
+def city(clean: Column, take=extract_pattern) -> Column:
+    return take(clean, V.CITY)
 
 
 def address(clean: Column) -> Column:
@@ -79,32 +88,32 @@ def address(clean: Column) -> Column:
     )
 
 
-def sort_code(clean: Column) -> Column:
-    return extract_pattern(clean, V.SORT_CODE)
+def sort_code(clean: Column, take=extract_pattern) -> Column:
+    return take(clean, V.SORT_CODE)
 
 
-def account_number(clean: Column) -> Column:
-    return extract_pattern(clean, V.ACCOUNT_NUMBER)
+def account_number(clean: Column, take=extract_pattern) -> Column:
+    return take(clean, V.ACCOUNT_NUMBER)
 
 
-def subtotal(clean: Column) -> Column:
-    return parse_money(extract_pattern(clean, V.SUBTOTAL))
+def subtotal(clean: Column, take=extract_pattern) -> Column:
+    return parse_money(take(clean, V.SUBTOTAL))
 
 
-def vat_amount(clean: Column) -> Column:
-    return parse_money(extract_pattern(clean, V.VAT_AMOUNT))
+def vat_amount(clean: Column, take=extract_pattern) -> Column:
+    return parse_money(take(clean, V.VAT_AMOUNT))
 
 
-def vat_rate(clean: Column) -> Column:
-    return parse_money(extract_pattern(clean, V.VAT_RATE))
+def vat_rate(clean: Column, take=extract_pattern) -> Column:
+    return parse_money(take(clean, V.VAT_RATE))
 
 
-def cis_deduction(clean: Column) -> Column:
-    return parse_money(extract_pattern(clean, V.CIS_DEDUCTION))
+def cis_deduction(clean: Column, take=extract_pattern) -> Column:
+    return parse_money(take(clean, V.CIS_DEDUCTION))
 
 
-def total_due(clean: Column) -> Column:
-    return parse_money(extract_pattern(clean, V.TOTAL_DUE))
+def total_due(clean: Column, take=extract_pattern) -> Column:
+    return parse_money(take(clean, V.TOTAL_DUE))
 
 
 def all_amounts(text: Column) -> Column:
@@ -116,7 +125,7 @@ def all_amounts(text: Column) -> Column:
 def _name_from_patterns(clean: Column, patterns: list[str], exclude: bool) -> Column:
     found = []
     for p in patterns:
-        name = extract_pattern(clean, p)
+        name = _once(clean, p)
         if exclude:
             name = F.when(~F.lower(name).rlike("|".join(V.NAME_EXCLUDED_WORDS)), name)
         found.append(name)
@@ -146,29 +155,25 @@ def extract_flat(df: DataFrame, text: str = "text", paged: bool = False) -> Data
         "_lined", clean_lines(F.col(text))
     )
     c = F.col("_clean")
-    return df.withColumns(
-        {
-            "invoice_number": invoice_number(c),
-            "invoice_date": invoice_date(c),
-            "work_period": work_period(c),
-            "contractor_name": contractor_name(F.col("_lined"), c, paged),
-            "utr": utr(c),
-            "ni_number": ni_number(c),
-            "vat_number": vat_number(c),
-            "company_number": company_number(c),
-            "email": email(c),
-            "phone": phone(c),
-            "postcode": postcode(c),
-            "city": city(c),
-            "sort_code": sort_code(c),
-            "account_number": account_number(c),
-            "subtotal": subtotal(c),
-            "vat_amount": vat_amount(c),
-            "vat_rate": vat_rate(c),
-            "cis_deduction": cis_deduction(c),
-            "total_due": total_due(c),
-        }
-    )
+    raw: dict[str, Column] = {}
+
+    def take(clean: Column, pattern: str, group: int = 1) -> Column:
+        """One search per pattern, in a projection of its own; the fields read its column."""
+        name = f"_raw_{len(raw)}"
+        raw[name] = strip(F.regexp_extract(clean, pattern, group))
+        return blank_to_null(F.col(name))
+
+    fields = {
+        "invoice_number": invoice_number(c, take),
+        "invoice_date": invoice_date(c),
+        "work_period": work_period(c, take),
+        "contractor_name": contractor_name(F.col("_lined"), c, paged),
+        **{f.__name__: f(c, take) for f in (
+            utr, ni_number, vat_number, company_number, email, phone, postcode, city, sort_code,
+            account_number, subtotal, vat_amount, vat_rate, cis_deduction, total_due,
+        )},
+    }
+    return df.withColumns(raw).withColumns(fields).drop(*raw)
 
 
 def nest(df: DataFrame) -> DataFrame:
