@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from billspark.llm.common import drop_ids, keep_ids, map_batches, map_partitions, materialize, utf8_of
+from billspark.llm.common import BROADCAST_IDS, drop_ids, keep_ids, map_batches, map_partitions, materialize, utf8_of
 from billspark.llm.components import connected_components
 from billspark.llm.shingles import ngram_sets, ngrams
 
@@ -299,7 +299,8 @@ def candidate_links(sets: DataFrame, percent: int) -> DataFrame:
         "doc_id", "size", "last", F.posexplode("own").alias("place", "first"), "own", "useful"
     ).filter(F.array_contains("useful", F.col("first.token"))).select(
         F.col("first.token").alias("token"), F.col("first.members").alias("members"), "doc_id", "size", "last",
-        F.expr("slice(own.token, place + 1, size(own))").alias("rest"),
+        # 31 bits are enough here: equal ones by chance only add candidates
+        F.expr("transform(slice(own.token, place + 1, size(own)), t -> cast(t & 2147483647 as int))").alias("rest"),
     )
     units = units_of(suffixes, "token", "members", BUCKET)
     units = units.select("token", "i", "j", "doc_id", "size", "last", "rest")
@@ -309,7 +310,7 @@ def candidate_links(sets: DataFrame, percent: int) -> DataFrame:
         a: list[int] = []
         b: list[int] = []
         for parts in by_unit(batches, 3):
-            unit = [row for p in parts for row in zip(*(p.column(k).to_pylist() for k in range(3, 7)))]
+            unit = [(d, n, last, sorted(rest)) for p in parts for d, n, last, rest in zip(*(p.column(k).to_pylist() for k in range(3, 7)))]
             for x, y in candidates_of(unit, percent):
                 a.append(x)
                 b.append(y)
@@ -332,7 +333,8 @@ def verified_links(docs: DataFrame, groups: DataFrame, n: int, percent: int) ->
 
     sets = map_batches(texts, ["doc_id", "text"], whole, "doc_id long, grams binary")
     placed = groups.join(sizes, "component").select(F.col("vertex").alias("doc_id"), "component", "members")
-    units = units_of(sets.join(placed, "doc_id"), "component", "members", GROUP)
+    few = groups.count() <= BROADCAST_IDS  # then whole sets are shuffled once, to their groups
+    units = units_of(sets.join(F.broadcast(placed) if few else placed, "doc_id"), "component", "members", GROUP)
     units = units.select("component", "i", "j", "doc_id", "grams")
     units = units.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j")
 
