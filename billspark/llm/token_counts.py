@@ -121,7 +121,7 @@ def pack_tokens(docs: DataFrame, path: str, eod: int, block_tokens: int = BLOCK_
         encoder = worker_encoder(shared.value, False)
         file, block, held = f"part-{TaskContext.get().partitionId():06d}", 0, np.zeros(0, np.uint16)
         first = 0
-        for batch in batches:
+        for batch in (b.slice(at, 1000) for b in batches for at in range(0, b.num_rows, 1000)):
             parts = [held]
             for packed in encoder.encode_many(texts_of(batch.column(1))):
                 parts += [np.frombuffer(packed, np.uint32).astype(np.uint16), np.array([eod], np.uint16)]
