@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from billspark.session import materialize
 
+#: Rows that a task's Python code works on at a time; what it builds for them is what it holds.
+ROWS_AT_A_TIME = 1_000
 #: Rows of one id column that may be broadcast (8 MB); more ids are joined by shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -28,14 +30,17 @@ def sha(data: bytes) -> str:
 def map_batches(
     df: DataFrame, columns: list[str], fn: Callable[[pa.RecordBatch], list], schema: str
 ) -> DataFrame:
-    """``fn`` takes a batch of ``columns`` and returns one list or array for each field of ``schema``."""
+    """``fn`` takes a batch of ``columns`` and returns one list or array for each field of ``schema``.
+
+    Batches are cut to ``ROWS_AT_A_TIME`` rows.
+    """
     spark = df.sparkSession
     arrow = _arrow_schema(spark, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                out = fn(batch)
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS_AT_A_TIME):
+                out = fn(whole.slice(at, ROWS_AT_A_TIME))
                 yield pa.RecordBatch.from_arrays(
                     [c if isinstance(c, pa.Array) else pa.array(c, type=f.type) for c, f in zip(out, arrow)],
                     schema=arrow,
