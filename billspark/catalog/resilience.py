@@ -379,7 +379,8 @@ def dlq_handlers(spark, sf_dir):
 
 
 _SPLIT = """SELECT o_orderkey, 'ValueError' AS error_type, 'total out of range' AS error_message,
-  'PENDING' AS status FROM orders WHERE o_totalprice > 400000"""
+  'PENDING' AS status FROM orders WHERE o_totalprice > 400000
+  UNION ALL SELECT o_orderkey, NULL, NULL, 'good' FROM orders WHERE o_totalprice <= 400000 OR o_totalprice IS NULL"""
 
 
 @query("quarantine_split", _SPLIT)
@@ -391,8 +392,10 @@ def quarantine_split(spark, sf_dir):
         F.col("o_totalprice") > 400000,
         F.struct(F.lit("ValueError").alias("error_type"), F.lit("total out of range").alias("error_message")),
     )
-    _, bad = dlq.quarantine_split(rows, problem, "store_invoice", as_of(), ["o_orderkey", "o_totalprice"])
-    return bad.select("o_orderkey", "error_type", "error_message", "status")
+    good, bad = dlq.quarantine_split(rows, problem, "store_invoice", as_of(), ["o_orderkey", "o_totalprice"])
+    none = F.lit(None).cast("string")
+    passed = good.select("o_orderkey", none.alias("error_type"), none.alias("error_message"), F.lit("good").alias("status"))
+    return bad.select("o_orderkey", "error_type", "error_message", "status").unionByName(passed)
 
 
 # ---- breakers -------------------------------------------------------------------------------------------------
