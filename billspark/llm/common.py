@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from billspark.session import materialize
@@ -27,6 +27,22 @@ def sha(data: bytes) -> str:
     return hashlib.sha256(data).hexdigest()
 
 
+def quoted(name: str) -> Column:
+    """A column by its whole name, dots and backticks included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def _by_place(df: DataFrame, columns: list[str]) -> DataFrame:
+    """``columns`` under plain names; functions over batches take them by place."""
+    return df.select(*[quoted(c).alias(f"c{i}") for i, c in enumerate(columns)])
+
+
+def fields_of(df: DataFrame, columns: list[str]) -> str:
+    """The schema of some columns as text."""
+    kinds = dict(df.dtypes)
+    return ", ".join("`" + c.replace("`", "``") + "` " + kinds[c] for c in columns)
+
+
 def map_batches(
     df: DataFrame, columns: list[str], fn: Callable[[pa.RecordBatch], list], schema: str
 ) -> DataFrame:
@@ -46,7 +62,7 @@ def map_batches(
                     schema=arrow,
                 )
 
-    return df.select(*columns).mapInArrow(run, schema)
+    return _by_place(df, columns).mapInArrow(run, schema)
 
 
 def map_partitions(
@@ -62,7 +78,7 @@ def map_partitions(
                 schema=arrow,
             )
 
-    return df.select(*columns).mapInArrow(run, schema)
+    return _by_place(df, columns).mapInArrow(run, schema)
 
 
 def _arrow_schema(spark: SparkSession, schema: str) -> pa.Schema:
@@ -106,4 +122,4 @@ def drop_ids(df: DataFrame, ids: DataFrame, column: str = "doc_id", most: int =
     return df.join(F.broadcast(ids) if few else ids.hint("shuffle_hash"), column, "left_anti")
 
 
-__all__ = ["drop_ids", "keep_ids", "map_batches", "map_partitions", "materialize", "sha", "table", "texts_of", "utf8_of"]
+__all__ = ["drop_ids", "fields_of", "keep_ids", "map_batches", "map_partitions", "materialize", "quoted", "sha", "table", "texts_of", "utf8_of"]

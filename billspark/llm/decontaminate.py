@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from billspark.llm.common import map_batches, texts_of
+from billspark.llm.common import fields_of, map_batches, texts_of
 
 #: Words of test items that one automaton holds (about 600 bytes each).
 SHARD_WORDS = 200_000
@@ -270,15 +270,13 @@ def decontaminate(
     What is left after a cut is searched again until nothing is hit, so no window is put together by a
     cut. ``n_chars``, if there is one, is set anew for changed texts. Other columns are kept.
     """
-    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
     for shard in item_shards(items, shard_words):
-        docs = _cleaned(docs, Automaton(shard, window), most_share, rest)
+        docs = _cleaned(docs, Automaton(shard, window), most_share)
     return docs
 
 
-def _cleaned(docs: DataFrame, automaton: Automaton, most_share: float, rest: list[str]) -> DataFrame:
+def _cleaned(docs: DataFrame, automaton: Automaton, most_share: float) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(automaton)
-    kinds = dict(docs.dtypes)
     columns = docs.columns
     where = columns.index("text")
     chars = columns.index("n_chars") if "n_chars" in columns else None
@@ -303,5 +301,4 @@ def _cleaned(docs: DataFrame, automaton: Automaton, most_share: float, rest: lis
                 out[chars] = pa.array([len(changed[i]) if i in changed else counts[i] for i in keep], pa.int64())
         return out
 
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in columns)
-    return map_batches(docs, columns, clean, schema)
+    return map_batches(docs, columns, clean, fields_of(docs, columns))

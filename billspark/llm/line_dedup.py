@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from billspark.llm.common import map_batches, materialize, sha, texts_of
+from billspark.llm.common import fields_of, map_batches, materialize, quoted, sha, texts_of
 
 MIN_CHARS, MIN_DOCS = 20, 3
 #: Keys of one filter shard (about 3 bytes each); filters of all shards up to ``FILTER_BYTES`` are broadcast.
@@ -263,10 +263,9 @@ def split_lines(
     drop = lines_to_drop(docs.select("doc_id", "text"), min_docs, min_chars)
     columns = ["doc_id", "text"] if digest else docs.columns
     names = {c: f"c{i}" for i, c in enumerate(columns)}  # any name of the caller's may clash with "drop"
-    joined = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in names.items())).join(
+    joined = docs.select(*(quoted(c).alias(n) for c, n in names.items())).join(
         drop.select(F.col("doc_id").alias(names["doc_id"]), "drop").hint("shuffle_hash"), names["doc_id"], "left"
     )
-    kinds = dict(docs.dtypes)
     where, chars = columns.index("text"), columns.index("n_chars") if "n_chars" in columns and not digest else None
     some = [*names.values(), "drop"]
 
@@ -301,8 +300,7 @@ def split_lines(
 
     if digest:
         return map_batches(joined, some, cut, "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in columns)
-    return map_batches(joined, some, cut, schema)
+    return map_batches(joined, some, cut, fields_of(docs, columns))
 
 
 def drop_repeated_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS) -> DataFrame:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from billspark.llm.common import keep_ids, map_batches, materialize, utf8_of
+from billspark.llm.common import fields_of, keep_ids, map_batches, materialize, utf8_of
 from billspark.llm.shingles import blocks, mix, word_hashes
 
 #: Most rated documents that the model is fitted on, and most features it keeps.
@@ -200,11 +200,11 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are good enough, all columns kept; texts are scored where they are."""
     model = fit_documents(docs, grades_of(labels), 3)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    where, kinds = docs.columns.index("text"), dict(docs.dtypes)
+    where = docs.columns.index("text")
 
     def select(batch: pa.RecordBatch) -> list:
         above = shared.value.above(shared.value.scores(text_features(*utf8_of(batch.column(where)))))
         keep = pa.array(np.flatnonzero(above[:, GOOD - 1] >= LEAST_CHANCE))
         return [batch.column(k).take(keep) for k in range(batch.num_columns)]
 
-    return map_batches(docs, docs.columns, select, ", ".join(f"`{c}` {kinds[c]}" for c in docs.columns))
+    return map_batches(docs, docs.columns, select, fields_of(docs, docs.columns))

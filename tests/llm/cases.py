@@ -21,8 +21,8 @@ def awkward_documents(spark, texts=()):
         (9, "Ünïcödé 漢字 🙂 and\u2003spaces\u00a0of all kinds"),
         *[(100 + i, text) for i, text in enumerate(texts)],
     ]
-    full = [(i, t, f"drop{k}", k, [k], None) for k, (i, t) in enumerate(rows)]
-    schema = "doc_id long, text string, `drop` string, n_chars long, token array<int>, component string"
+    full = [(i, t, f"drop{k}", k, [k], None, 1.5) for k, (i, t) in enumerate(rows)]
+    schema = "doc_id long, text string, `drop` string, n_chars long, token array<int>, component string, `a.b``c` double"
     return rows, spark.createDataFrame(full, schema)
 
 
