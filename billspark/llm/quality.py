@@ -1,6 +1,6 @@
 """Document quality from graded ratings: ordinal regression with cumulative links on hashed text.
 
-A document's features are the distinct 64-bit hashes of its words, of the first bytes of longer words,
+A document's features are the distinct 32-bit hashes of its words, of the first bytes of longer words,
 of its runs of ASCII signs, and of two coarse measures of the whole text (how often words repeat, how much of it is signs). One weight per
 feature is shared by all grades; ordered thresholds cut the summed weight into grades:
 P(grade <= k) = sigmoid(threshold_k - score). Expected grade and the probability of reaching a grade
@@ -56,7 +56,8 @@ def text_features(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
             repeats = int(2 * np.log2((len(own) + 1) / (len(distinct) + 1)))
             signed = int(8 * len(marks) / (len(own) + 1))
             whole = mix(np.array([1000 + repeats, 2000 + min(signed, 16)], np.uint64))
-            out.append(np.unique(np.concatenate([distinct, marks, whole, *(h[low:high] for h in heads)])))
+            every = np.concatenate([distinct, marks, whole, *(h[low:high] for h in heads)])
+            out.append(np.unique((every >> np.uint64(32)).astype(np.uint32)))
     return out
 
 
@@ -91,10 +92,13 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 def fit(rows: list[np.ndarray], grades: np.ndarray, n_grades: int) -> OrdinalModel:
     """Maximum likelihood with a ridge penalty, by Adam over all rows."""
     if not rows:
-        return OrdinalModel(np.zeros(0, np.uint64), np.zeros(0), np.linspace(-1, 1, n_grades - 1))
+        return OrdinalModel(np.zeros(0, np.uint32), np.zeros(0), np.linspace(-1, 1, n_grades - 1))
     flat = np.concatenate(rows)
     owner = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r) for r in rows])
-    features, place, counts = np.unique(flat, return_inverse=True, return_counts=True)
+    features = np.unique(flat)
+    place = np.searchsorted(features, flat).astype(np.int32)
+    del flat
+    counts = np.bincount(place)
     share = np.cumsum([(grades == k).mean() for k in range(n_grades)])[:-1].clip(0.01, 0.99)
     thresholds = np.log(share / (1 - share))
     # With all weights at zero: how far each feature's documents pull its weight, in standard deviations.
@@ -104,8 +108,8 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, n_grades: int) -> OrdinalMod
     strength = np.abs(np.bincount(place, pull[owner])) / np.sqrt(counts * max(pull.var(), 1e-9))
     strength[counts < LEAST_DOCS] = 0
     kept = np.sort(np.argsort(-strength, kind="stable")[: min(FEATURES, int((strength >= LEAST_PULL).sum()))])
-    number = np.full(len(features), -1)
-    number[kept] = np.arange(len(kept))
+    number = np.full(len(features), -1, np.int32)
+    number[kept] = np.arange(len(kept), dtype=np.int32)
     place = number[place]
     owner, place = owner[place >= 0], place[place >= 0]
     # gaps between thresholds stay positive through their logarithms
@@ -155,7 +159,7 @@ def fit_documents(docs: DataFrame, ratings: DataFrame, n_grades: int, sample: in
     features = map_batches(texts, ["doc_id", "text"], cut, "doc_id long, features binary")
     rows = sorted(features.join(F.broadcast(chosen), "doc_id").select("doc_id", "grade", "features").collect())
     grades = np.array([r.grade for r in rows], np.int64)
-    return fit([np.frombuffer(r.features, np.uint64) for r in rows], grades, n_grades)
+    return fit([np.frombuffer(r.features, np.uint32) for r in rows], grades, n_grades)
 
 
 def score_documents(docs: DataFrame, model: OrdinalModel) -> DataFrame:
