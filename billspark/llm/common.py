@@ -7,10 +7,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from billspark.session import materialize
+from billspark.sources.tables import table
 
 #: Rows that a task's Python code works on at a time; what it builds for them is what it holds.
 ROWS_AT_A_TIME = 1_000
@@ -18,11 +19,6 @@ ROWS_AT_A_TIME = 1_000
 BROADCAST_IDS = 1_000_000
 
 
-def table(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFrame:
-    df = spark.read.parquet(f"{folder}/{name}.parquet")
-    return df.select(*columns) if columns else df
-
-
 def sha(data: bytes) -> str:
     return hashlib.sha256(data).hexdigest()
 
@@ -50,8 +46,7 @@ def map_batches(
 
     Batches are cut to ``ROWS_AT_A_TIME`` rows.
     """
-    spark = df.sparkSession
-    arrow = _arrow_schema(spark, schema)
+    arrow = _arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -69,7 +64,7 @@ def map_partitions(
     df: DataFrame, columns: list[str], fn: Callable[[Iterator[pa.RecordBatch]], Iterator[list]], schema: str
 ) -> DataFrame:
     """As ``map_batches``, but ``fn`` sees all batches of a task and yields lists of columns."""
-    arrow = _arrow_schema(df.sparkSession, schema)
+    arrow = _arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for out in fn(b for b in batches if b.num_rows):
@@ -81,7 +76,7 @@ def map_partitions(
     return _by_place(df, columns).mapInArrow(run, schema)
 
 
-def _arrow_schema(spark: SparkSession, schema: str) -> pa.Schema:
+def _arrow_schema(schema: str) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 

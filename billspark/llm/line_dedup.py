@@ -17,7 +17,6 @@ document and keep or lose a line together; rows without a ``doc_id`` are neither
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np

@@ -92,7 +92,7 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 def fit(rows: list[np.ndarray], grades: np.ndarray, n_grades: int) -> OrdinalModel:
     """Maximum likelihood with a ridge penalty, by Adam over all rows."""
     if not rows:
-        return OrdinalModel(np.zeros(0, np.uint32), np.zeros(0), np.linspace(-1, 1, n_grades - 1))
+        return OrdinalModel(np.zeros(0, np.uint32), np.zeros(0), np.linspace(-0.8, 0.8, n_grades - 1))
     flat = np.concatenate(rows)
     owner = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r) for r in rows])
     features = np.unique(flat)

@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 from billspark.llm.common import sha
 from billspark.llm.pii import find_pii, find_spans, passes_luhn
@@ -47,8 +48,12 @@ def test_more_kinds():
 
 
 def test_long_runs_are_linear():
-    for text in ("1" * 200_000, "1." * 100_000, "a" * 200_000 + "@", "+1" * 100_000, "a@" * 100_000, "://" * 60_000):
-        assert {k: find_spans(text)[k] for k in ("email", "ip")} == {"email": [], "ip": brute(text[:40])["ip"] and find_spans(text)["ip"]}
+    for part in ("1", "1.", "1 ", "a", "+1", "a@", "://", "token"):
+        found = find_spans(part * 150)
+        assert {k: found[k] for k in PATTERNS} == brute(part * 150), part
+        start = time.perf_counter()
+        find_spans(part * 100_000)
+        assert time.perf_counter() - start < 10, part
 
 
 def test_documents(spark):
