@@ -8,8 +8,9 @@ there. A match of ``window`` words, or of a whole item that is shorter, marks it
 Only stretches of words that all occur in items can match, so the stream skips all others (numpy) and the
 automaton is stepped in stretches that are long enough for the shortest window.
 
-Items are collected and broadcast in shards of at most ``SHARD_WORDS`` words; documents are read once for
-each shard and the hit words are united, so memory is bounded whatever the number of items.
+Items are collected and broadcast in shards of at most ``SHARD_WORDS`` words. ``find_passages`` reads documents
+once for each shard and unites the hit words; ``decontaminate`` reads them once and loads the shards in turn for
+each group of documents. Either way a task holds one automaton, whatever the number of items.
 
 Defined cases: a missing text has no words; items without words or text are ignored; repeated items, and
 items with the same text, each count under their own id; a repeated item id counts once; a document that
@@ -25,13 +26,16 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from billspark.llm.common import fields_of, map_batches, texts_of
+from billspark.llm.common import ROWS_AT_A_TIME, fields_of, map_batches, map_partitions, texts_of
 
 #: Words of test items that one automaton holds (about 600 bytes each).
 SHARD_WORDS = 200_000
+#: Bytes of documents that are held together where the automata of several shards are loaded in turn.
+GROUP_BYTES = 32 << 20
 
 _FOLD = bytes(
     c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256)
@@ -220,6 +224,42 @@ def _find(docs: DataFrame, shard: list[tuple[int, str]], window: int) -> DataFra
     return map_batches(docs, ["doc_id", "text"], scan, schema)
 
 
+def _groups(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[list[pa.RecordBatch]]:
+    """Batches of at most ``ROWS_AT_A_TIME`` rows; where automata must be loaded in turn, up to ``GROUP_BYTES`` together."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for whole in batches:
+        for at in range(0, whole.num_rows, ROWS_AT_A_TIME):
+            held.append(whole.slice(at, ROWS_AT_A_TIME))
+            size += held[-1].nbytes
+            if shards == 1 or size >= GROUP_BYTES:
+                yield held
+                held, size = [], 0
+    if held:
+        yield held
+
+
+def _loaded(shared: Broadcast) -> Automaton:
+    """The automaton of one of several shards; unlike ``value`` it is not kept, so one is held at a time."""
+    path = getattr(shared, "_path", None)
+    return shared.load_from_path(path) if path else shared.value
+
+
+def _scanned(shards: list[Broadcast], texts: list[str]) -> list[tuple[int, list[tuple[int, int]], set[int]]]:
+    """As ``Automaton.hits`` for each text, over the items of all shards."""
+    counts = [0] * len(texts)
+    spans: list[list[tuple[int, int]]] = [[] for _ in texts]
+    items: list[set[int]] = [set() for _ in texts]
+    for shared in shards:
+        automaton = shared.value if len(shards) == 1 else _loaded(shared)
+        for i, text in enumerate(texts):
+            counts[i], hit, found = automaton.hits(text)
+            spans[i] += hit
+            items[i] |= found
+        del automaton  # before the next one is loaded
+    return [(n, _united(hit), found) for n, hit, found in zip(counts, spans, items)]
+
+
 def contamination(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFrame:
     """A row per document: words, hit words, items with occurring windows and their digest."""
     found = find_passages(docs, items, window)
@@ -267,38 +307,43 @@ def decontaminate(
 ) -> DataFrame:
     """``docs`` with the hit spans cut out of ``text``; documents hit in more than ``most_share`` of their words go.
 
-    What is left after a cut is searched again until nothing is hit, so no window is put together by a
-    cut. ``n_chars``, if there is one, is set anew for changed texts. Other columns are kept.
+    The spans of all shards are united before the share is tested and the text is cut. What is left after a
+    cut is searched again with all shards until nothing is hit, so no window is put together by a cut and
+    the result does not depend on how items fall into shards. ``n_chars``, if there is one, is set anew
+    for changed texts. Other columns are kept.
     """
-    for shard in item_shards(items, shard_words):
-        docs = _cleaned(docs, Automaton(shard, window), most_share)
-    return docs
-
-
-def _cleaned(docs: DataFrame, automaton: Automaton, most_share: float) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(automaton)
+    context = docs.sparkSession.sparkContext
+    shards = [context.broadcast(Automaton(shard, window)) for shard in item_shards(items, shard_words)]
     columns = docs.columns
     where = columns.index("text")
     chars = columns.index("n_chars") if "n_chars" in columns else None
 
-    def clean(batch: pa.RecordBatch) -> list:
-        automaton = shared.value
-        texts = batch.column(where).to_pylist()
-        keep, changed = [], {}
-        for i, text in enumerate(texts):
-            n, spans, _ = automaton.hits(text or "")
-            if spans and sum(high - low for low, high in spans) > most_share * n:
-                continue
-            keep.append(i)
-            while spans:
-                texts[i] = changed[i] = without_spans(texts[i], spans)
-                _, spans, _ = automaton.hits(texts[i])
-        out = [batch.column(k).take(pa.array(keep, pa.int64())) for k in range(batch.num_columns)]
-        if changed:
-            out[where] = pa.array([texts[i] for i in keep], pa.string())
-            if chars is not None:
-                counts = batch.column(chars).to_pylist()
-                out[chars] = pa.array([len(changed[i]) if i in changed else counts[i] for i in keep], pa.int64())
-        return out
-
-    return map_batches(docs, columns, clean, fields_of(docs, columns))
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
+        for parts in _groups(batches, len(shards)):
+            texts = [text for part in parts for text in part.column(where).to_pylist()]
+            gone, changed, cuts = set(), set(), {}
+            for i, (n, spans, _) in enumerate(_scanned(shards, [text or "" for text in texts])):
+                if spans and sum(high - low for low, high in spans) > most_share * n:
+                    gone.add(i)
+                elif spans:
+                    cuts[i] = spans
+            while cuts:
+                for i, spans in cuts.items():
+                    texts[i] = without_spans(texts[i], spans)
+                changed |= cuts.keys()
+                again = _scanned(shards, [texts[i] for i in cuts])
+                cuts = {i: spans for i, (_, spans, _) in zip(cuts, again) if spans}
+            first = 0
+            for part in parts:
+                keep = [i for i in range(first, first + part.num_rows) if i not in gone]
+                take = pa.array([i - first for i in keep], pa.int64())
+                out = [part.column(k).take(take) for k in range(part.num_columns)]
+                if changed:
+                    out[where] = pa.array([texts[i] for i in keep], pa.string())
+                    if chars is not None:
+                        counts = part.column(chars).to_pylist()
+                        out[chars] = pa.array([len(texts[i]) if i in changed else counts[i - first] for i in keep], pa.int64())
+                yield out
+                first += part.num_rows
+
+    return map_partitions(docs, columns, clean, fields_of(docs, columns))

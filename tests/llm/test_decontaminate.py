@@ -88,3 +88,54 @@ def test_spans_are_cut_out(spark):
     assert contamination(clean, item_table(spark)).filter("contaminated").count() == 0
     assert decontaminate(docs, item_table(spark, []).limit(0)).count() == len(rows)
     assert decontaminate(no_documents(spark), item_table(spark)).count() == 0
+
+
+def whole_and_cut(texts, items, most_share=0.5):
+    """What decontamination must leave, from the windows of all items at once; texts of words and single blanks."""
+    out = {}
+    for i, text in texts.items():
+        words, first = text.split(" "), True
+        while True:
+            hit = set()
+            for _, window in windows(items):
+                for p in range(len(words) - len(window) + 1):
+                    if words_of(" ".join(words[p : p + len(window)])) == window:
+                        hit |= set(range(p, p + len(window)))
+            if first and len(hit) > most_share * len(words):
+                break
+            if not hit:
+                out[i] = " ".join(words)
+                break
+            words, first = [w for p, w in enumerate(words) if p not in hit], False
+    return out
+
+
+def test_shards_do_not_change_what_is_cut(spark):
+    a, b = [" ".join(f"{c}{k}" for k in range(10)) for c in "ab"]
+    other = " ".join(f"o{k}" for k in range(30))
+    half, rest = a.split(" ")[:5], a.split(" ")[5:]
+    texts = {
+        1: f"{a} {b} {other[:59]}",  # each item alone stays below the share, both together are above it
+        2: f"{other} {' '.join(half)} {b} {' '.join(rest)} {other}",  # cutting b joins the words of a
+        3: f"{other} {a} {other}",
+        4: other,
+    }
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    for items in ([(1, a), (2, b)], [(2, b), (1, a)]):
+        want = whole_and_cut(texts, items)
+        assert 1 not in want and "a0" not in want[2] and want[4] == other
+        for shard_words in (200_000, 5):
+            table = item_table(spark, items).coalesce(1)
+            got = {r.doc_id: " ".join(r.text.split()) for r in decontaminate(docs, table, shard_words=shard_words).collect()}
+            assert got == want
+
+
+def test_groups_of_documents_share_a_load(spark, monkeypatch):
+    import billspark.llm.decontaminate as module
+
+    rows, docs = awkward_documents(spark, TEXTS)
+    want = sorted(map(str, decontaminate(docs, item_table(spark)).collect()))
+    assert len(want) < len(rows)
+    for size in (1, 1 << 20):
+        monkeypatch.setattr(module, "GROUP_BYTES", size)
+        assert sorted(map(str, decontaminate(docs, item_table(spark), shard_words=5).collect())) == want
