@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from billspark.llm.common import fields_of, map_batches, materialize, quoted, sha, texts_of
+from billspark.llm.common import drop_ids, fields_of, keep_ids, map_batches, materialize, quoted, sha, texts_of
 
 MIN_CHARS, MIN_DOCS = 20, 3
 #: Keys of one filter shard (about 3 bytes each); filters of all shards up to ``FILTER_BYTES`` are broadcast.
@@ -251,26 +251,56 @@ def lines_to_drop(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MI
     return lost.groupBy("doc_id").agg(F.collect_list(F.struct("k1", "k2")).alias("drop"))
 
 
+def held_elsewhere(docs: DataFrame, drop: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+    """``doc_id`` of documents that lose every line long enough to count, if each other line of theirs that
+    is not blank, however short, stands in a document that does not.
+
+    ``drop`` is written, as from ``lines_to_drop``.
+    """
+
+    def count(batch: pa.RecordBatch) -> list:
+        own = ({key_of(line, min_chars) for line in text.split("\n")} - {None} for text in texts_of(batch.column(1)))
+        return [batch.column(0), [len(keys) for keys in own]]
+
+    counts = map_batches(docs, ["doc_id", "text"], count, "doc_id long, n long").groupBy("doc_id").agg(F.max("n").alias("n"))
+    emptied = drop.select("doc_id", F.size("drop").alias("lost")).join(counts, "doc_id").filter("lost >= n").select("doc_id")
+    emptied = materialize(emptied, "emptied")
+    own = materialize(line_references(keep_ids(docs, emptied), 1), "emptied-lines")
+    keys = own.select("k1", "k2").distinct()
+    shards = shards_for(keys.count())
+    shared = shared_filters(build_filters(keys, shards))
+    others = drop_ids(docs, emptied)
+    held = line_references(others, 1) if shared is None else probable_references(others, shared, shards, 1)
+    alone = own.join(held.select("k1", "k2").distinct(), ["k1", "k2"], "left_anti")
+    return emptied.join(alone.select("doc_id").distinct(), "doc_id", "left_anti")
+
+
 def split_lines(
     docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS, copies: bool = True, digest: bool = False
 ) -> DataFrame:
     """``docs`` without the lines to drop; all columns are kept and ``n_chars``, if there is one, is set anew.
 
     With ``digest`` the rows are ``doc_id``, ``n_lines`` before dropping, ``n_dropped``, ``kept_sha256``. Without ``copies`` documents go that had lines long enough to count and
-    lost all of them: what they held stands in other documents.
+    lost all of them, if their shorter lines too stand in documents that stay (``held_elsewhere``).
     """
     drop = lines_to_drop(docs.select("doc_id", "text"), min_docs, min_chars)
+    if copies:
+        drop = drop.withColumn("goes", F.lit(False))
+    else:
+        drop = materialize(drop, "drop")
+        goes = held_elsewhere(docs.select("doc_id", "text"), drop, min_chars).withColumn("goes", F.lit(True))
+        drop = drop.join(goes, "doc_id", "left").select("doc_id", "drop", F.coalesce("goes", F.lit(False)).alias("goes"))
     columns = ["doc_id", "text"] if digest else docs.columns
     names = {c: f"c{i}" for i, c in enumerate(columns)}  # any name of the caller's may clash with "drop"
     joined = docs.select(*(quoted(c).alias(n) for c, n in names.items())).join(
-        drop.select(F.col("doc_id").alias(names["doc_id"]), "drop").hint("shuffle_hash"), names["doc_id"], "left"
+        drop.select(F.col("doc_id").alias(names["doc_id"]), "drop", "goes").hint("shuffle_hash"), names["doc_id"], "left"
     )
     where, chars = columns.index("text"), columns.index("n_chars") if "n_chars" in columns and not digest else None
-    some = [*names.values(), "drop"]
+    some = [*names.values(), "drop", "goes"]
 
     def cut(batch: pa.RecordBatch) -> list:
         texts = batch.column(where).to_pylist()
-        lost = batch.column(len(columns))
+        lost, goes = batch.column(len(columns)), batch.column(len(columns) + 1).to_pylist()
         lines, dropped, keep, changed = [], [], [], set()
         for i, text in enumerate(texts):
             split = (text or "").split("\n")
@@ -283,7 +313,7 @@ def split_lines(
                 if gone:
                     texts[i] = "\n".join(kept)
                     changed.add(i)
-            if copies or left or not gone:
+            if left or not gone or not goes[i]:
                 keep.append(i)
             lines.append(len(split))
             dropped.append(gone)

@@ -6,7 +6,7 @@ All but the last return the columns of ``documents``; ``n_chars`` follows the te
 
 1. quality: documents whose chance of the grade "good" is too small go (toxic and poor ones).
 2. lines: lines that three documents or more share stay in the last one only; documents that lose every
-   line long enough to count go, as all that they held stands elsewhere.
+   line long enough to count go if each shorter line of theirs also stands in a document that does not.
 3. near_duplicates: of documents linked by a Jaccard similarity of 0.8 of their five-word n-grams the one
    with the smallest id stays.
 4. benchmark: passages of benchmark items are cut out; documents that are mostly such passages go.

@@ -63,6 +63,27 @@ def test_split_lines_keeps_columns_and_drops_copies(spark):
     assert 102 not in some and 100 in some and 104 in some and 2 in some and 103 in some
 
 
+def test_a_document_goes_only_if_all_its_lines_stand_elsewhere(spark, monkeypatch):
+    shared = "this line stands in several documents"
+    texts = {
+        1: f"{shared}\nIm sich.",  # its short line stands nowhere else
+        2: f"{shared}\n\n SHORT, shared \n",  # its short line stands in 5
+        3: f"{shared}\ntwo emptied",  # its short line stands only in 4, which is emptied too
+        4: f"{shared}\n{shared}\ntwo emptied",
+        5: "short, shared\nonly this document has this line",
+        6: shared,
+        7: "short, shared",
+        8: f"a line that has no other holder\n{shared}",
+    }
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    want = {1: "Im sich.", 3: "two emptied", 4: "two emptied", 5: texts[5], 7: texts[7], 8: texts[8]}
+    assert {r.doc_id: r.text for r in split_lines(docs, copies=False).collect()} == want
+    lines_of = lambda text: {x.strip().lower() for x in text.split("\n")} - {""}
+    assert set().union(*map(lines_of, texts.values())) == set().union(*map(lines_of, want.values()))
+    monkeypatch.setattr(lines, "FILTER_BYTES", 0)
+    assert {r.doc_id: r.text for r in split_lines(docs, copies=False).collect()} == want
+
+
 def test_cuckoo_filter():
     rng = np.random.default_rng(2)
     keys = rng.integers(-(1 << 62), 1 << 62, 5000)
