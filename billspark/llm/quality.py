@@ -6,8 +6,9 @@ feature is shared by all grades; ordered thresholds cut the summed weight into g
 P(grade <= k) = sigmoid(threshold_k - score). Expected grade and the probability of reaching a grade
 select documents.
 
-The model is fitted on the driver over a sample of at most ``SAMPLE`` rated documents, taken by hash of
-the id; it keeps at most ``FEATURES`` features. All documents are scored.
+The model is fitted on the driver over a sample of at most ``SAMPLE`` ratings of documents that are there,
+taken by hash of the id; it keeps at most ``FEATURES`` features, chosen by Spark from counts by grade, so only these
+come to the driver. All documents are scored.
 
 Defined cases: a missing text counts as empty and is scored by the thresholds alone; ratings that are
 missing are not used; repeated ratings of a document all count; without any rating every document
@@ -27,7 +28,7 @@ from billspark.llm.common import fields_of, keep_ids, map_batches, materialize,
 from billspark.llm.shingles import blocks, mix, word_hashes
 
 #: Most rated documents that the model is fitted on, and most features it keeps.
-SAMPLE, FEATURES = 4_000, 1 << 15
+SAMPLE, FEATURES = 10_000, 1 << 15
 #: Documents of the sample that a feature must be in, and standard deviations that it must pull the grade.
 LEAST_DOCS, LEAST_PULL = 5, 4.0
 STEPS, RATE, RIDGE = 150, 0.06, 3e-4
@@ -89,6 +90,17 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(x, -40, 40)))
 
 
+def _pulls(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+    """For documents by grade: shares up to each grade but the last, the centred pull of each grade, its variance."""
+    parts = counts / counts.sum()
+    share = np.cumsum(parts)[:-1].clip(0.01, 0.99)
+    # With all weights at zero: how far a document of each grade pulls the weights of its features.
+    edges = np.concatenate([[0.0], share, [1.0]])
+    pull = 1 - edges[1:] - edges[:-1]
+    pull = pull - (parts * pull).sum()
+    return share, pull, max(float((parts * pull**2).sum()), 1e-9)
+
+
 def fit(rows: list[np.ndarray], grades: np.ndarray, n_grades: int) -> OrdinalModel:
     """Maximum likelihood with a ridge penalty, by Adam over all rows."""
     if not rows:
@@ -99,13 +111,10 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, n_grades: int) -> OrdinalMod
     place = np.searchsorted(features, flat).astype(np.int32)
     del flat
     counts = np.bincount(place)
-    share = np.cumsum([(grades == k).mean() for k in range(n_grades)])[:-1].clip(0.01, 0.99)
+    share, pull, variance = _pulls(np.bincount(grades, minlength=n_grades))
     thresholds = np.log(share / (1 - share))
-    # With all weights at zero: how far each feature's documents pull its weight, in standard deviations.
-    edges = np.concatenate([[0.0], share, [1.0]])
-    pull = (1 - edges[1:] - edges[:-1])[grades]
-    pull = pull - pull.mean()
-    strength = np.abs(np.bincount(place, pull[owner])) / np.sqrt(counts * max(pull.var(), 1e-9))
+    # How far each feature's documents pull its weight, in standard deviations.
+    strength = np.abs(np.bincount(place, pull[grades][owner])) / np.sqrt(counts * variance)
     strength[counts < LEAST_DOCS] = 0
     kept = np.sort(np.argsort(-strength, kind="stable")[: min(FEATURES, int((strength >= LEAST_PULL).sum()))])
     number = np.full(len(features), -1, np.int32)
@@ -149,6 +158,7 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, n_grades: int) -> OrdinalMod
 def fit_documents(docs: DataFrame, ratings: DataFrame, n_grades: int, sample: int = SAMPLE) -> OrdinalModel:
     """Fit on at most ``sample`` of the rows of ``ratings`` (``doc_id``, ``grade`` from 0)."""
     rated = ratings.filter("doc_id IS NOT NULL AND grade IS NOT NULL").select("doc_id", F.col("grade").cast("int").alias("grade"))
+    rated = rated.join(docs.select("doc_id"), "doc_id", "left_semi")
     chosen = rated.orderBy(F.xxhash64("doc_id"), "doc_id", "grade").limit(sample)
     chosen = materialize(chosen, "rated")  # at most ``sample`` pairs of numbers
     texts = keep_ids(docs.select("doc_id", "text"), chosen.select("doc_id").distinct())
@@ -157,11 +167,43 @@ def fit_documents(docs: DataFrame, ratings: DataFrame, n_grades: int, sample: in
         return [batch.column(0), [f.tobytes() for f in text_features(*utf8_of(batch.column(1)))]]
 
     features = map_batches(texts, ["doc_id", "text"], cut, "doc_id long, features binary")
-    rows = sorted(features.join(F.broadcast(chosen), "doc_id").select("doc_id", "grade", "features").collect())
+    known = materialize(features.join(F.broadcast(chosen), "doc_id").select("doc_id", "grade", "features"), "rated-features")
+    shared = docs.sparkSession.sparkContext.broadcast(_strong_features(known, n_grades))
+
+    def thin(batch: pa.RecordBatch) -> list:
+        some = (np.frombuffer(f, np.uint32) for f in batch.column(2).to_pylist())
+        return [batch.column(0), batch.column(1), [f[np.isin(f, shared.value, assume_unique=True)].tobytes() for f in some]]
+
+    thinned = map_batches(known, known.columns, thin, "doc_id long, grade int, features binary")
+    rows = sorted(thinned.collect())
     grades = np.array([r.grade for r in rows], np.int64)
     return fit([np.frombuffer(r.features, np.uint32) for r in rows], grades, n_grades)
 
 
+def _strong_features(known: DataFrame, n_grades: int) -> np.ndarray:
+    """The features that ``fit`` keeps for rows of ``grade`` and ``features``, at most ``FEATURES``, sorted."""
+    by_grade = dict(known.groupBy("grade").count().collect())
+    if not by_grade:
+        return np.zeros(0, np.uint32)
+    _, pull, variance = _pulls(np.array([by_grade.get(k, 0) for k in range(n_grades)]))
+
+    def spread(batch: pa.RecordBatch) -> list:
+        some = [np.frombuffer(f, np.uint32) for f in batch.column(1).to_pylist()]
+        lengths = [len(f) for f in some]
+        flat = np.concatenate(some).astype(np.int64) if some else np.zeros(0, np.int64)
+        return [flat, np.repeat(np.array(batch.column(0).to_pylist(), np.int32), lengths)]
+
+    counts = map_batches(known, ["grade", "features"], spread, "feature long, grade int").groupBy("feature").agg(
+        F.count("*").alias("n"), *[F.count(F.when(F.col("grade") == k, 1)).alias(f"n{k}") for k in range(n_grades)]
+    )
+    total = sum((F.col(f"n{k}") * float(pull[k]) for k in range(n_grades)), F.lit(0.0))
+    strength = F.abs(total) / F.sqrt(F.col("n") * variance)
+    # the margin leaves features at the very limit to ``fit``, whose sums may round in another way
+    strong = counts.filter(F.col("n") >= LEAST_DOCS).select("feature", strength.alias("strength")).filter(F.col("strength") >= LEAST_PULL - 1e-9)
+    best = strong.orderBy(F.desc("strength"), "feature").limit(FEATURES).collect()
+    return np.sort(np.array([r.feature for r in best], np.uint32))
+
+
 def score_documents(docs: DataFrame, model: OrdinalModel) -> DataFrame:
     """``doc_id, expected_grade, above_0, above_1 ...``: mean grade, and chance of more than each grade."""
     shared = docs.sparkSession.sparkContext.broadcast(model)

@@ -54,3 +54,25 @@ def test_sample_is_bounded(spark):
     docs = spark.createDataFrame([(i, f"common word{i % 7}") for i in range(50)], "doc_id long, text string")
     ratings = docs.selectExpr("doc_id", "cast(doc_id % 3 as int) AS grade")
     assert len(fit_documents(docs, ratings, 3, sample=20).thresholds) == 2
+
+
+def test_sample_is_taken_from_documents_that_are_there(spark):
+    docs = spark.createDataFrame([(i, f"common {['awful', 'plain', 'splendid'][i % 3]} word{i % 7}") for i in range(60)], "doc_id long, text string")
+    ratings = docs.selectExpr("doc_id", "cast(doc_id % 3 as int) AS grade")
+    absent = spark.range(1000, 5000).selectExpr("id AS doc_id", "0 AS grade")
+    want, got = (fit_documents(docs, r, 3, sample=60) for r in (ratings, ratings.unionByName(absent)))
+    assert len(want.features) and (got.features == want.features).all() and np.allclose(got.weights, want.weights)
+
+
+def test_whole_sample_is_fitted_and_screened_as_on_the_driver(spark, monkeypatch):
+    import billspark.llm.quality as module
+
+    docs = spark.createDataFrame([(i, f"{['awful', 'plain', 'splendid'][i % 3]} word{i % 11} extra{i % 13}") for i in range(4500)], "doc_id long, text string")
+    ratings = docs.selectExpr("doc_id", "cast(doc_id % 3 as int) AS grade")
+    sizes = []
+    monkeypatch.setattr(module, "fit", lambda rows, *rest: (sizes.append(len(rows)), fit(rows, *rest))[1])
+    got = module.fit_documents(docs, ratings, 3)
+    assert sizes == [4500]
+    rows = sorted(docs.collect())
+    want = fit(features([r.text for r in rows]), np.array([r.doc_id % 3 for r in rows]), 3)
+    assert (got.features == want.features).all() and np.allclose(got.weights, want.weights) and np.allclose(got.thresholds, want.thresholds)
