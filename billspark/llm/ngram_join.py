@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import hashlib
 from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -177,7 +178,7 @@ def candidates_of(unit: list[tuple[int, int, int, list[int]]], percent: int) ->
     """Candidate links of one bucket: ``(document, size, last, shared prefix from here on)``."""
     if len(unit) == 2:
         (a, size_a, last_a, tokens_a), (b, size_b, last_b, tokens_b) = unit
-        overlap = len(set(tokens_a).intersection(tokens_b))
+        overlap = (Counter(tokens_a) & Counter(tokens_b)).total()  # two n-grams of a text may be equal in 31 bits
         return [(a, b)] if a != b and PrefixTree(percent).fits(overlap, size_a, last_a, size_b, last_b) else []
     tree, links, heads = PrefixTree(percent), Links(len(unit)), []
     for i, (_, size, last, tokens) in enumerate(unit):
@@ -299,7 +300,7 @@ def candidate_links(sets: DataFrame, percent: int) -> DataFrame:
         "doc_id", "size", "last", F.posexplode("own").alias("place", "first"), "own", "useful"
     ).filter(F.array_contains("useful", F.col("first.token"))).select(
         F.col("first.token").alias("token"), F.col("first.members").alias("members"), "doc_id", "size", "last",
-        # 31 bits are enough here: equal ones by chance only add candidates
+        # 31 bits are enough here: equal ones by chance only add candidates, as overlaps count repeats
         F.expr("transform(slice(own.token, place + 1, size(own)), t -> cast(t & 2147483647 as int))").alias("rest"),
     )
     units = units_of(suffixes, "token", "members", BUCKET)

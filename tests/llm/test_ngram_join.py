@@ -56,3 +56,16 @@ def test_components_of_paths_and_loops(spark):
     got = connected_components(spark.createDataFrame(edges, "a long, b long")).collect()
     assert {r.vertex: r.component for r in got} == {**{i: 0 for i in range(61)}, 90: 90, 95: 90, 100: 90}
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_equal_prefix_numbers_of_one_text_count_each():
+    size = 20  # of percent 80: the prefix has 5 n-grams, 15 are beyond it; 18 must be shared
+    tree = join.PrefixTree(80)
+    overlap = tree.needed(size, size) - tree.beyond(size)
+    tokens = [7] * overlap  # shared n-grams, equal in the bits that buckets hold
+    assert overlap > 1
+    unit = [(1, size, 99, tokens), (2, size, 99, tokens)]
+    assert join.candidates_of(unit, 80) == [(1, 2)]
+    assert join.candidates_of([(1, size, 99, tokens), (2, size, 99, tokens[1:])], 80) == []
+    other = (3, size, 99, [8] * overlap)
+    assert {tuple(sorted(x)) for x in join.candidates_of([*unit, other], 80)} == {(1, 2)}
