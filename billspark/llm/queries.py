@@ -11,15 +11,17 @@ from pyspark.sql import functions as F
 from billspark.llm.bpe import encode_documents
 from billspark.llm.common import table
 from billspark.llm.decontaminate import contamination
+from billspark.llm.fill_middle import fill_in_middle_digests
 from billspark.llm.line_dedup import drop_repeated_lines
 from billspark.llm.licenses import CLASSES, CONTAINMENT, TEMPLATES, find_licenses
 from billspark.llm.minhash import fingerprint_documents, near_duplicates
 from billspark.llm.ngram_join import ngram_components
 from billspark.llm.pii import find_pii
 from billspark.llm.quality import rate
-from billspark.llm.sql import CONTAMINATION, NGRAM_COMPONENTS, REPEATED_LINES, URL_VERDICTS, license_sql
+from billspark.llm.sql import CONTAMINATION, FILL_IN_MIDDLE, NEAREST_VECTORS, NGRAM_COMPONENTS, REPEATED_LINES, URL_VERDICTS, license_sql
 from billspark.llm.token_counts import count_document_tokens
 from billspark.llm.urls import filter_pages
+from billspark.llm.vector_search import search_every_hundredth
 from billspark.llm.vocabularies import BYTE_BPE, END_OF_DOCUMENT
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -94,6 +96,16 @@ def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return contamination(table(spark, folder, "documents", "doc_id", "text"), table(spark, folder, "benchmark"))
 
 
+@query("op11_nearest", NEAREST_VECTORS)
+def op11_nearest(spark: SparkSession, folder: str) -> DataFrame:
+    return search_every_hundredth(table(spark, folder, "embeddings", "vec_id", "embedding"))
+
+
+@query("op13_fill_middle", FILL_IN_MIDDLE)
+def op13_fill_middle(spark: SparkSession, folder: str) -> DataFrame:
+    return fill_in_middle_digests(table(spark, folder, "documents", "doc_id", "text"))
+
+
 @query("pipeline", corpus_pipeline.ORACLE_SQL)
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     return corpus_pipeline.run(spark, folder)
