@@ -23,6 +23,7 @@ from billspark.llm.token_counts import count_document_tokens
 from billspark.llm.urls import filter_pages
 from billspark.llm.vector_search import search_every_hundredth
 from billspark.llm.vocabularies import BYTE_BPE, END_OF_DOCUMENT
+from billspark.llm.whitening import whiten
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -101,6 +102,11 @@ def op11_nearest(spark: SparkSession, folder: str) -> DataFrame:
     return search_every_hundredth(table(spark, folder, "embeddings", "vec_id", "embedding"))
 
 
+@query("op12_whitening")
+def op12_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whiten(table(spark, folder, "embeddings", "vec_id", "embedding"))
+
+
 @query("op13_fill_middle", FILL_IN_MIDDLE)
 def op13_fill_middle(spark: SparkSession, folder: str) -> DataFrame:
     return fill_in_middle_digests(table(spark, folder, "documents", "doc_id", "text"))
