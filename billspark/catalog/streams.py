@@ -6,15 +6,20 @@ SQL says too.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from billspark.catalog import inputs as I, resilience as RS
 from billspark.catalog.registry import query
 from billspark.catalog.sql_text import lit
 from billspark.functions import fixed_values as V
-from billspark.streaming import jobs, stateful, windows
+from billspark.session import shared_folder
+from billspark.sources import documents
+from billspark.streaming import jobs, late, stateful, windows
 
 WM = "(SELECT max(ts) - INTERVAL 10 MINUTE FROM events)"
+WM_MS = "(SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 10 MINUTE FROM events)"
 EVENTS_DDL = "event_id bigint, ts timestamp, user_id bigint, event_type string, value double, props string"
 
 
@@ -25,6 +30,33 @@ def _stream(spark, sf_dir):
     return df.withColumns({"ts": F.col("ts").cast("timestamp"), "k": k, "ok": F.col("event_type") != "error"})
 
 
+#: Files of an arrival; a trigger takes as many, so that an arrival is a trigger.
+_FILES = 4
+#: Minutes by which a row comes after its time: less than the watermark's ten, or three days for some rows.
+_DISORDER, _LATE = "event_id % 8", "CASE WHEN event_id % 13 = 0 THEN 4320 ELSE event_id % 8 END"
+
+
+def _arrival(minutes: str) -> str:
+    """The arrival (0 to 2) of a row, for Spark and DuckDB alike."""
+    at = f"(ts + ({minutes}) * INTERVAL '1' MINUTE)"
+    return f"CASE WHEN {at} < TIMESTAMP '2024-01-11 00:00:00' THEN 0 WHEN {at} < TIMESTAMP '2024-01-21 00:00:00' THEN 1 ELSE 2 END"
+
+
+def _arriving(rows, name, arrival):
+    """The folder to which the rows of each arrival are written, one arrival after the other."""
+    folder = f"{shared_folder(rows.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    for n in range(3):
+        rows.filter(F.expr(arrival) == n).repartition(_FILES).write.mode("append").parquet(folder)
+    return folder
+
+
+def _in_three(spark, sf_dir, minutes, name):
+    """The events as a stream of three triggers with rows out of order."""
+    rows = I.events(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
+    folder = _arriving(rows, name, _arrival(minutes))
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", _FILES).parquet(folder)
+
+
 _SESSIONS = f"""WITH g AS (SELECT user_id % 5 AS user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id % 5 ORDER BY ts)
     < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS b FROM events),
   s AS (SELECT *, sum(b) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS sid FROM g)
@@ -74,56 +106,63 @@ def dedupe_updates(spark, sf_dir):
     return jobs.run_available(windows.dedupe_updates(once.union(once)), "updates").select("update_id", "user_id")
 
 
-@query("breaker_stream", RS._breaker_sql("CAST(user_id AS VARCHAR)", 2, 43_200_000_000, 2, 2, RS._TIMELINE))
+_RELEASED = RS._TIMELINE.replace("FROM walk WHERE n > 0", f"FROM walk WHERE n > 0 AND event_id IN (SELECT event_id FROM events WHERE ts <= {WM_MS})")
+
+
+@query("breaker_stream", RS._breaker_sql("CAST(user_id AS VARCHAR)", 2, 43_200_000_000, 2, 2, _RELEASED))
 def breaker_stream(spark, sf_dir):
-    calls = _stream(spark, sf_dir).select(F.col("user_id").cast("string").alias("service"), "ts", "event_id", "ok")
+    """Three triggers with rows out of order give the batch timeline."""
+    calls = _in_three(spark, sf_dir, _DISORDER, "calls").select(F.col("user_id").cast("string").alias("service"), "ts", "event_id", "ok")
     return jobs.run_available(stateful.breaker_stream(calls, RS._PER_USER), "breaker").select(*RS._SHOWN)
 
 
-_EVENT_OF = {"signup": "new", "view": "text", "click": "finish_items", "purchase": "format", "error": "cancel"}
-_EVENT_SQL = "CASE event_type " + " ".join(f"WHEN {lit(a)} THEN {lit(b)}" for a, b in _EVENT_OF.items()) + " END"
-_NEXT_SQL = """CASE WHEN event = 'new' THEN 'COLLECTING_CUSTOMER' WHEN event = 'cancel' THEN 'IDLE'
+_EVENT_SQL = """CASE event_type WHEN 'signup' THEN 'new' WHEN 'view' THEN 'text' WHEN 'click' THEN 'finish_items' WHEN 'purchase' THEN 'format'
+  WHEN 'error' THEN CASE WHEN k % 3 = 0 THEN 'cancel' ELSE 'failure' END END"""
+_RULE_SQL = """CASE WHEN event = 'new' THEN 'COLLECTING_CUSTOMER' WHEN event = 'cancel' THEN 'IDLE'
   WHEN st = 'COLLECTING_CUSTOMER' AND event = 'text' THEN 'COLLECTING_ITEMS'
   WHEN st = 'COLLECTING_ITEMS' AND event = 'finish_items' THEN 'COLLECTING_NOTES'
   WHEN st = 'COLLECTING_NOTES' AND event = 'text' THEN 'REVIEWING'
-  WHEN st = 'REVIEWING' AND event = 'format' THEN 'COMPLETED' ELSE st END"""
+  WHEN st = 'REVIEWING' AND event = 'format' THEN 'COMPLETED' END"""
+_ENDED = "('IDLE', 'COMPLETED')"
+_IDLE_US = 12 * 3600 * 1_000_000
 
 
 @query(
     "conversation_state",
-    f"""WITH RECURSIVE seq AS (SELECT user_id % 5 AS u, epoch_ms(ts) AS t, ts, {_EVENT_SQL} AS event,
-      row_number() OVER (PARTITION BY user_id % 5 ORDER BY ts, event_id) AS n FROM events),
-    walk AS (SELECT u, 0::BIGINT AS n, 0::BIGINT AS t, 'IDLE' AS old, 'IDLE' AS nw, 'IDLE' AS lapsed, ''::VARCHAR AS event FROM (SELECT DISTINCT u FROM seq)
+    f"""WITH RECURSIVE {I.EVENTS}, seq AS (SELECT user_id AS u, epoch_us(ts) AS t, {_EVENT_SQL} AS event,
+      row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM ev WHERE ts <= {WM_MS}),
+    walk AS (SELECT u, 0::BIGINT AS n, 0::BIGINT AS t, 0::BIGINT AS f, 'IDLE' AS old, 'IDLE' AS nw, NULL::VARCHAR AS lapsed, 0::BIGINT AS lapsed_at, ''::VARCHAR AS event
+        FROM (SELECT DISTINCT u FROM seq)
       UNION ALL
-      SELECT u, n, t, st AS old, {_NEXT_SQL} AS nw, lapsed, event FROM (
-        SELECT s.u, s.n, s.t, s.event, CASE WHEN w.nw NOT IN ('IDLE', 'COMPLETED') AND s.t - w.t > 1800000 THEN 'IDLE' ELSE w.nw END AS st,
-          CASE WHEN w.nw NOT IN ('IDLE', 'COMPLETED') AND s.t - w.t > 1800000 THEN w.nw END AS lapsed
-        FROM walk w JOIN seq s ON s.u = w.u AND s.n = w.n + 1))
-    SELECT u AS user_id, event, old AS old_state, nw AS new_state, count(*) AS n FROM walk WHERE n > 0 AND old <> nw GROUP BY ALL
+      SELECT u, n, t, f1, st, coalesce(rule, CASE WHEN fail AND f1 >= 3 THEN 'ERROR' ELSE st END), lapsed, lapsed_at, event FROM (
+        SELECT *, CASE WHEN rule IS NOT NULL THEN 0 WHEN fail THEN f0 + 1 ELSE f0 END AS f1 FROM (
+          SELECT *, {_RULE_SQL} AS rule, event = 'failure' AND st NOT IN {_ENDED} AS fail FROM (
+            SELECT s.u, s.n, s.t, s.event, over, w.t + {_IDLE_US} AS lapsed_at, CASE WHEN over THEN 'IDLE' ELSE w.nw END AS st,
+              CASE WHEN over THEN 0 ELSE w.f END AS f0, CASE WHEN over THEN w.nw END AS lapsed
+            FROM (SELECT w.*, s.n AS sn, w.nw NOT IN {_ENDED} AND s.t - w.t > {_IDLE_US} AS over FROM walk w JOIN seq s ON s.u = w.u AND s.n = w.n + 1) w
+            JOIN seq s ON s.u = w.u AND s.n = w.sn))))
+    SELECT u AS user_id, t AS at, event, old AS old_state, nw AS new_state FROM walk WHERE n > 0 AND old <> nw
     UNION ALL
-    SELECT u, 'timeout', st, 'IDLE', count(*) FROM (
-      SELECT u, lapsed AS st FROM walk WHERE n > 0 AND lapsed IS NOT NULL
-      UNION ALL
-      SELECT u, nw FROM walk QUALIFY n = max(n) OVER (PARTITION BY u) AND nw NOT IN ('IDLE', 'COMPLETED')
-        AND t + 1800000 < epoch_ms({WM})) GROUP BY ALL""",
+    SELECT u, lapsed_at, 'timeout', lapsed, 'IDLE' FROM walk WHERE n > 0 AND lapsed IS NOT NULL
+    UNION ALL
+    SELECT u, t + {_IDLE_US}, 'timeout', nw, 'IDLE' FROM (SELECT * FROM walk QUALIFY n = max(n) OVER (PARTITION BY u))
+    WHERE nw NOT IN {_ENDED} AND t + {_IDLE_US} <= epoch_us({WM_MS})""",
 )
 def conversation_state(spark, sf_dir):
-    event = F.lit(None).cast("string")
-    for kind, name in _EVENT_OF.items():
-        event = F.coalesce(event, F.when(F.col("event_type") == kind, name))
-    chat = _stream(spark, sf_dir).select((F.col("user_id") % 5).alias("user_id"), "ts", "event_id", event.alias("event"))
-    out = jobs.run_available(stateful.conversation_state(chat), "conversations")
-    return out.groupBy("user_id", "event", "old_state", "new_state").agg(F.count(F.lit(1)).alias("n"))
+    """Every transition of every user, over three triggers with rows out of order."""
+    chat = _in_three(spark, sf_dir, _DISORDER, "chat").select("user_id", "ts", "event_id", F.expr(_EVENT_SQL).alias("event"))
+    out = jobs.run_available(stateful.conversation_state(chat, idle_ms=_IDLE_US // 1000), "conversations")
+    return out.select("user_id", F.unix_micros("ts").alias("at"), "event", "old_state", "new_state")
 
 
-_MARKS = "(SELECT max(ts) - INTERVAL 10 MINUTE FROM (SELECT ts FROM ev UNION ALL SELECT ts + to_microseconds(CAST(round(value * 1000000) AS BIGINT)) FROM ev WHERE event_type IN ('purchase', 'signup', 'error')))"
+_MARKS = "(SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 10 MINUTE FROM (SELECT ts FROM ev UNION ALL SELECT ts + to_microseconds(CAST(round(value * 1000000) AS BIGINT)) FROM ev WHERE event_type IN ('purchase', 'signup', 'error')))"
 
 
 @query(
     "stuck_task_watch",
     f"""WITH {I.TASKS} SELECT task_id, task_type FROM task JOIN ev ON event_id = task_id
-    WHERE (status = 'RUNNING' AND epoch_ms(ts) + timeout_s * 1500 < epoch_ms({_MARKS}))
-      OR (status <> 'RUNNING' AND epoch_ms(ts + to_microseconds(CAST(round(value * 1000000) AS BIGINT))) > epoch_ms(ts) + timeout_s * 1500)""",
+    WHERE epoch_us(ts) + CAST(timeout_s * 1500 AS BIGINT) * 1000 <= epoch_us({_MARKS})
+      AND (status = 'RUNNING' OR CAST(round(value * 1000000) AS BIGINT) > CAST(timeout_s * 1500 AS BIGINT) * 1000)""",
 )
 def stuck_task_watch(spark, sf_dir):
     timeout = F.lit(None).cast("double")
@@ -155,3 +194,87 @@ def dlq_stream(spark, sf_dir):
     )
     out = jobs.run_available(stateful.dlq_stream(items, lambda payload, n: n >= int(payload)), "dlq")
     return out.select("id", F.col("attempt").cast("bigint").alias("attempt"), "action")
+
+
+_ARRIVED = f"""arrived AS (SELECT *, {_arrival(_LATE)} AS batch FROM events),
+  judged AS (SELECT *, coalesce(ts <= (SELECT max(b.ts) FROM arrived b WHERE b.batch < a.batch) - INTERVAL 10 MINUTE, false) AS late FROM arrived a),
+  taken AS (SELECT * FROM judged WHERE NOT late)"""
+_TAKEN_WM = "(SELECT max(ts) - INTERVAL 10 MINUTE FROM taken)"
+
+
+def _admitted(spark, sf_dir):
+    """Events of three triggers, some of them days late, through the gate: its folder and the rows' schema."""
+    rows = _in_three(spark, sf_dir, _LATE, "arrivals")
+    out = f"{shared_folder(spark).rstrip('/')}/admitted-{uuid.uuid4().hex}"
+    late.admit(rows, f"{out}/data", f"{out}/progress").awaitTermination()
+    return f"{out}/data", rows.schema
+
+
+@query(
+    "late_row_ledger",
+    f"""WITH {_ARRIVED} SELECT batch, {I.sql_stamp("date_trunc('hour', ts)")} AS start, count(*) AS n_late FROM judged WHERE late GROUP BY ALL""",
+)
+def late_row_ledger(spark, sf_dir):
+    ledger = late.late_ledger(spark, *_admitted(spark, sf_dir))
+    return ledger.select("batch", I.stamp("start").alias("start"), "n_late")
+
+
+@query(
+    "windowed_kpis_of_admitted",
+    f"""WITH {_ARRIVED} SELECT {I.sql_stamp("date_trunc('hour', ts)")} AS start, count(*) AS n_events, count(*) FILTER (WHERE event_type = 'error') AS n_errors,
+    round(count(*) FILTER (WHERE event_type = 'error') / count(*)::DOUBLE, 6) AS error_rate
+    FROM taken GROUP BY date_trunc('hour', ts) HAVING date_trunc('hour', ts) + INTERVAL 1 HOUR <= {_TAKEN_WM}""",
+)
+def windowed_kpis_of_admitted(spark, sf_dir):
+    rows = late.accepted_rows(spark, *_admitted(spark, sf_dir), _FILES)
+    calls = rows.select("ts", (~F.col("ok")).alias("is_error"), (F.col("value") / 10).alias("response_s"))
+    out = jobs.run_available(windows.windowed_kpis(calls), "kpis")
+    return out.select(I.stamp("start").alias("start"), "n_events", "n_errors", F.round("error_rate", 6).alias("error_rate"))
+
+
+@query(
+    "conversation_sessions_of_admitted",
+    f"""WITH {_ARRIVED}, g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS b FROM taken),
+    s AS (SELECT *, sum(b) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS sid FROM g)
+    SELECT user_id, {I.sql_stamp("min(ts)")} AS started_at, {I.sql_stamp("max(ts) + INTERVAL 6 HOUR")} AS ends_at, count(*) AS n_events
+    FROM s GROUP BY user_id, sid HAVING max(ts) + INTERVAL 6 HOUR <= {_TAKEN_WM}""",
+)
+def conversation_sessions_of_admitted(spark, sf_dir):
+    rows = late.accepted_rows(spark, *_admitted(spark, sf_dir), _FILES)
+    out = jobs.run_available(windows.conversation_sessions(rows, idle="6 hours"), "sessions")
+    return out.select("user_id", I.stamp("started_at").alias("started_at"), I.stamp("ends_at").alias("ends_at"), "n_events")
+
+
+@query("dedupe_updates_of_admitted", f"WITH {_ARRIVED} SELECT event_id AS update_id, user_id FROM taken")
+def dedupe_updates_of_admitted(spark, sf_dir):
+    """Every update that the gate accepts is delivered twice."""
+    rows = late.accepted_rows(spark, *_admitted(spark, sf_dir), _FILES).select(F.col("event_id").alias("update_id"), "user_id", "ts")
+    return jobs.run_available(windows.dedupe_updates(rows.union(rows)), "updates").select("update_id", "user_id")
+
+
+@query("state_sync", "SELECT user_id, max(event_id) AS version, arg_max(event_type, event_id) AS body FROM events GROUP BY user_id")
+def state_sync(spark, sf_dir):
+    """The last event of each user from three intervals, of which the first two have been merged."""
+    rows = _in_three(spark, sf_dir, _LATE, "changes").select("user_id", F.col("event_id").alias("version"), F.col("event_type").alias("body"))
+    out = f"{shared_folder(spark).rstrip('/')}/synced-{uuid.uuid4().hex}"
+    jobs.state_sync(rows, f"{out}/state", f"{out}/progress", ["user_id"], ["version"], once=True, compact_every=2).awaitTermination()
+    return jobs.current_state(spark, f"{out}/state", ["user_id"], ["version"])
+
+
+@query(
+    "event_log_stream",
+    f"""WITH {I.EVENTS} SELECT CASE WHEN k >= 5 THEN event_type END AS event, CASE WHEN k >= 10 THEN event_id END AS user_id, k < 5 AS rejected,
+      CASE WHEN k < 5 THEN '{{"event":"' || event_type || '","user_id":' || event_id
+        WHEN k < 10 THEN '{{"event":"' || event_type || '","user_id":"u' || event_id || '"}}' END AS rescued FROM ev""",
+)
+def event_log_stream(spark, sf_dir):
+    """Log lines over three triggers; some are cut short, some hold a text where a number is declared."""
+    head = F.concat(F.lit('{"event":"'), "event_type", F.lit('","user_id":'))
+    number = F.col("event_id").cast("string")
+    line = F.when(F.col("k") < 5, F.concat(head, number)).when(F.col("k") < 10, F.concat(head, F.lit('"u'), number, F.lit('"}')))
+    rows = I.events(spark, sf_dir).withColumn("value", line.otherwise(F.concat(head, number, F.lit("}"))))
+    folder = f"{shared_folder(spark).rstrip('/')}/log-{uuid.uuid4().hex}"
+    for n in range(3):
+        rows.filter(F.expr(_arrival(_DISORDER)) == n).select("value").repartition(_FILES).write.mode("append").text(folder)
+    out = jobs.run_available(documents.stream_event_log(spark, folder, files_per_trigger=_FILES), "log")
+    return out.select("event", "user_id", "rejected", "rescued")

@@ -53,15 +53,29 @@ def text_documents(files: DataFrame) -> DataFrame:
 
 
 def parse_event_lines(lines: DataFrame, schema: str = EVENT_LOG) -> DataFrame:
-    """JSON log lines in ``value`` -> columns; a line that does not parse is marked ``rejected``."""
+    """JSON log lines in ``value`` -> columns; a line that does not parse is marked ``rejected``.
+
+    ``rescued`` holds the line as it came if it does not parse or if a declared field is there but not of
+    its type (and so is missing in its column): nothing is lost.
+    """
+    fields = [f.split()[0] for f in schema.split(", ")]
     parsed = lines.withColumn("_e", F.from_json("value", schema)).withColumn(
         "rejected", F.try_parse_json("value").isNull()
     )
-    fields = [f.split()[0] for f in schema.split(", ")]
+    lost = F.col("rejected")
+    for f in fields:
+        lost = lost | (F.col("_e")[f].isNull() & F.get_json_object("value", f"$.{f}").isNotNull())
     return parsed.select(
-        "*", *[F.when(~F.col("rejected"), F.col("_e")[f]).alias(f) for f in fields]
+        "*", *[F.when(~F.col("rejected"), F.col("_e")[f]).alias(f) for f in fields], F.when(lost, F.col("value")).alias("rescued")
     ).drop("_e")
 
 
 def scan_event_log(spark: SparkSession, folder: str, schema: str = EVENT_LOG) -> DataFrame:
     return parse_event_lines(spark.read.text(folder), schema)
+
+
+def stream_event_log(
+    spark: SparkSession, folder: str, schema: str = EVENT_LOG, files_per_trigger: int = 1000
+) -> DataFrame:
+    """As ``scan_event_log``, for log files that keep coming."""
+    return parse_event_lines(spark.readStream.option("maxFilesPerTrigger", files_per_trigger).text(folder), schema)

@@ -11,19 +11,17 @@ from billspark.plans.extraction import validated_invoices
 from billspark.session import shared_folder
 from billspark.sources.documents import BINARY, pending_documents, split_supported, text_documents
 from billspark.functions.files import detect_file_type
+from billspark.streaming.ordered import state_store
 
 
 def run_available(stream: DataFrame, name: str) -> DataFrame:
     """Process what is there now and return it as a table (exactly-once file sink)."""
     spark = stream.sparkSession
     base = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    query = (
-        stream.writeStream.format("parquet")
-        .option("checkpointLocation", f"{base}/progress")
-        .trigger(availableNow=True)
-        .start(f"{base}/rows")
-    )
-    query.awaitTermination()
+    writer = stream.writeStream.format("parquet").option("checkpointLocation", f"{base}/progress")
+    with state_store(spark):
+        query = writer.trigger(availableNow=True).start(f"{base}/rows")
+        query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{base}/rows")
 
 
@@ -65,16 +63,20 @@ def landing_stream(
 
 def state_sync(
     changes: DataFrame, out: str, progress: str, keys: list[str], order: list[str],
-    every: str = "60 seconds", once: bool = False,
+    every: str = "60 seconds", once: bool = False, compact_every: int = 16,
 ):
     """Latest state per key of each interval, written at most once per interval.
 
-    ``current_state`` reads one row per key over all intervals.
+    Every ``compact_every`` intervals what has been written is merged into one row per key, and the parts that
+    this covers are deleted. ``current_state`` so reads one base and fewer than ``compact_every`` intervals,
+    however many there have been.
     """
 
     def each(batch: DataFrame, batch_id: int) -> None:
         latest = _latest(batch, keys, order)
-        latest.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        latest.write.mode("overwrite").parquet(f"{out}/changes/batch={batch_id}")
+        if (batch_id + 1) % compact_every == 0:
+            _compact(batch.sparkSession, out, keys, order, batch_id)
 
     writer = changes.writeStream.foreachBatch(each).option("checkpointLocation", progress)
     writer = writer.trigger(availableNow=True) if once else writer.trigger(processingTime=every)
@@ -87,6 +89,41 @@ def _latest(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return latest.select(*keys, "_r.*")
 
 
+def _folder(spark: SparkSession, path: str):
+    """A folder and its file system, through the cluster's own Hadoop settings."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def finished_batches(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the ``batch=`` folders that were written to the end."""
+    at, files = _folder(spark, path)
+    if not files.exists(at):
+        return []
+    names = [(entry.getPath(), entry.getPath().getName()) for entry in files.listStatus(at)]
+    done = [(p, n) for p, n in names if n.startswith("batch=") and files.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
+    return sorted(int(n.removeprefix("batch=")) for _, n in done)
+
+
+def _parts(spark: SparkSession, out: str, until: int | None = None) -> list[str]:
+    """The newest base and the intervals after it, up to interval ``until``."""
+    bases = [n for n in finished_batches(spark, f"{out}/base") if until is None or n < until]
+    since = bases[-1] if bases else -1
+    later = [n for n in finished_batches(spark, f"{out}/changes") if n > since and (until is None or n <= until)]
+    return [f"{out}/base/batch={n}" for n in bases[-1:]] + [f"{out}/changes/batch={n}" for n in later]
+
+
+def _compact(spark: SparkSession, out: str, keys: list[str], order: list[str], batch_id: int) -> None:
+    if batch_id not in finished_batches(spark, f"{out}/base"):  # a replay after the merge only has to tidy up
+        merged = _latest(spark.read.parquet(*_parts(spark, out, batch_id)), keys, order)
+        merged.write.mode("overwrite").parquet(f"{out}/base/batch={batch_id}")
+    for kind, covered in (("changes", batch_id + 1), ("base", batch_id)):
+        for n in finished_batches(spark, f"{out}/{kind}"):
+            if n < covered:
+                at, files = _folder(spark, f"{out}/{kind}/batch={n}")
+                files.delete(at, True)
+
+
 def current_state(spark: SparkSession, out: str, keys: list[str], order: list[str]) -> DataFrame:
     """The newest row of each key over everything ``state_sync`` has written to ``out``."""
-    return _latest(spark.read.parquet(out).drop("batch"), keys, order)
+    return _latest(spark.read.parquet(*_parts(spark, out)), keys, order)

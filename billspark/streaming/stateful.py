@@ -1,8 +1,8 @@
 """Streams with their own state per key (T2-T5): conversations, breakers, dead letters, stuck tasks.
 
-State is one small JSON string per key. Rows of a key within one trigger are put in order before
-they are folded, so the source's rate limit (``maxFilesPerTrigger``) also bounds what one busy key
-brings at a time.
+Conversations, breakers and tasks fold their rows in event-time order with typed state and timers
+(``ordered``). The dead letters keep one small JSON string per key; their rows of one trigger are put in
+order, so the source's rate limit (``maxFilesPerTrigger``) bounds what one busy key brings at a time.
 """
 
 from __future__ import annotations
@@ -12,12 +12,18 @@ from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from billspark.functions.fixed_values import STUCK_FACTOR
 from billspark.operators.breaker import NAMES, TIMELINE, Breaker
+from billspark.streaming.ordered import fold_in_order
 
 STATE = "body string"
 IDLE_MS = 30 * 60 * 1000
+#: Failures of an operation that end in ERROR, and the events that count as one.
+MAX_FAILURES, FAILURES = 3, ("failure", "fatal")
+#: Silence after which a breaker begins anew, and how long an end mark waits for its start.
+FORGET_S, KEEP_END_S = 30 * 24 * 3600.0, 3600.0
 
 # ---- fixed values: (event) -> new state; None as the old state means from any state ---------------
 CHAT_TRANSITIONS = {
@@ -59,8 +65,6 @@ FORM_TRANSITIONS = {
     },
 }
 ENDED = ("IDLE", "COMPLETED")
-TRANSITIONS = "user_id bigint, ts timestamp, event string, old_state string, new_state string"
-STUCK = "task_id bigint, task_type string, recovered_at timestamp"
 DLQ_ACTIONS = "id bigint, attempt int, ts timestamp, action string"
 
 
@@ -79,105 +83,119 @@ def _load(state, empty):
 
 def conversation_state(
     events: DataFrame, transitions: dict | None = None, idle_ms: int = IDLE_MS,
-    watermark: str = "10 minutes",
+    watermark: str = "10 minutes", max_failures: int = MAX_FAILURES,
 ) -> DataFrame:
-    """State changes per user; a silence longer than ``idle_ms`` ends the conversation.
+    """State changes per user, in event-time order whatever the triggers.
 
-    ``events``: user_id, ts, event_id, event. An event without a rule for the state leaves it as it is.
+    ``events``: user_id, ts, event_id, event. An event without a rule for the state leaves it as it is. A
+    ``failure`` counts, an event with a rule starts the count anew; ``max_failures`` of them, or one
+    ``fatal``, lead to ERROR, which any rule from any state leaves. A silence longer than ``idle_ms``
+    ends the conversation by a timer; a conversation that has ended leaves nothing in the state.
     """
-    table = transitions or CHAT_TRANSITIONS
+    table, idle = transitions or CHAT_TRANSITIONS, idle_ms * 1000
 
-    def fold(key, batches, state):
-        now, last = _load(state, ["IDLE", 0])
+    def fold(key, state, rows, until):
+        now, last, failures = state or ("IDLE", 0, 0)
         out = []
-
-        def expire(at_ms):
-            out.append((key[0], pd.Timestamp(at_ms, unit="ms"), "timeout", now, "IDLE"))
-
-        if state.hasTimedOut:
-            expire(last + idle_ms)
-            state.remove()
-        else:
-            for r in _rows(batches, ["ts", "event_id"]).itertuples(index=False):
-                at = _ms(r.ts)
-                if now not in ENDED and at - last > idle_ms:
-                    expire(last + idle_ms)
-                    now = "IDLE"
-                new = table.get((now, r.event), table.get((None, r.event), now))
-                if new != now:
-                    out.append((key[0], r.ts, r.event, now, new))
-                now, last = new, at
-            due = last + idle_ms
-            if now in ENDED:
-                if state.exists:
-                    state.remove()
-            elif due <= state.getCurrentWatermarkMs():
-                expire(due)
-                state.remove() if state.exists else None
+        for at, _, event in rows:
+            if now not in ENDED and at - last > idle:
+                out.append((key, last + idle, "timeout", now, "IDLE"))
+                now, failures = "IDLE", 0
+            new = table.get((now, event), table.get((None, event)))
+            if new is not None:
+                failures = 0
+            elif event in FAILURES and now not in ENDED:
+                failures += 1
+                new = "ERROR" if event == "fatal" or failures >= max_failures else now
             else:
-                state.update((json.dumps([now, last]),))
-                state.setTimeoutTimestamp(due)
-        yield pd.DataFrame(out, columns=["user_id", "ts", "event", "old_state", "new_state"])
-
-    return (
-        events.withWatermark("ts", watermark)
-        .groupBy("user_id")
-        .applyInPandasWithState(fold, TRANSITIONS, STATE, "append", "EventTimeTimeout")
+                new = now
+            if new != now:
+                out.append((key, at, event, now, new))
+            now, last = new, at
+        if now not in ENDED and last + idle <= until:
+            out.append((key, last + idle, "timeout", now, "IDLE"))
+            now = "IDLE"
+        return (None, out, None) if now in ENDED else ((now, last, failures), out, last + idle)
+
+    found = fold_in_order(
+        events, "user_id", "at bigint, event_id bigint, event string", "state string, last bigint, failures int",
+        "user_id bigint, at bigint, event string, old_state string, new_state string", fold, watermark,
     )
+    return found.select("user_id", F.timestamp_micros("at").alias("ts"), "event", "old_state", "new_state")
 
 
-def breaker_stream(outcomes: DataFrame, machine=None) -> DataFrame:
-    """The breaker timeline on a stream: same machine, one state per service."""
-    machine = machine or Breaker()
+def breaker_stream(
+    outcomes: DataFrame, machine=None, watermark: str = "10 minutes", forget_s: float = FORGET_S
+) -> DataFrame:
+    """The breaker timeline on a stream, in event-time order whatever the triggers.
 
-    def fold(key, batches, state):
-        now = tuple(_load(state, list(machine.start())))
+    ``outcomes``: service, ts, event_id, ok and, where there are manual orders, ``action`` (``force_open``,
+    ``force_close``). A service without a call for ``forget_s`` begins anew; one that is closed without
+    failures, as at its beginning, is not kept at all.
+    """
+    machine, forget = machine or Breaker(), int(forget_s * 1_000_000)
+    start = machine.start()
+
+    def fold(key, state, rows, until):
+        now, last = (start, None) if state is None else (tuple(v for v in state[:3] if v is not None), state[3])
         out = []
-        for r in _rows(batches, ["ts", "event_id"]).itertuples(index=False):
+        for at, event_id, ok, action in rows:
+            if last is not None and at - last > forget:
+                now = start
             before = NAMES[now[0]]
-            now, allowed, changed = machine.step(now, pd.Timestamp(r.ts).value // 1000, bool(r.ok))
-            out.append((key[0], r.ts, r.event_id, r.ok, allowed, before, NAMES[now[0]], changed))
-        state.update((json.dumps(list(now)),))
-        yield pd.DataFrame(
-            out, columns=["service", "ts", "event_id", "ok", "allowed", "state_before", "state_after", "state_change"]
-        )
-
-    return outcomes.groupBy("service").applyInPandasWithState(
-        fold, TIMELINE, STATE, "append", "NoTimeout"
+            now, allowed, changed = machine.step(now, at, action if action is not None else bool(ok))
+            out.append((key, at, event_id, ok, allowed, before, NAMES[now[0]], changed))
+            last = at
+        if now == start or last is None or last + forget <= until:
+            return None, out, None
+        return (*now, *[None] * (3 - len(now)), last), out, last + forget
+
+    action = F.col("action") if "action" in outcomes.columns else F.lit(None)
+    found = fold_in_order(
+        outcomes.withColumn("action", action.cast("string")), "service",
+        "at bigint, event_id bigint, ok boolean, action string", "kind string, a bigint, b bigint, last bigint",
+        TIMELINE.replace("ts timestamp", "at bigint"), fold, watermark,
     )
+    return found.withColumn("at", F.timestamp_micros("at")).withColumnRenamed("at", "ts")
 
 
-def stuck_task_watch(marks: DataFrame, watermark: str = "10 minutes") -> DataFrame:
+def stuck_task_watch(marks: DataFrame, watermark: str = "10 minutes", keep_end_s: float = KEEP_END_S) -> DataFrame:
     """A start without an end by 1.5 times the timeout gives a recovered row.
 
-    ``marks``: task_id, task_type, ts, mark ('start' or 'end'), timeout_s.
+    ``marks``: task_id, task_type, ts, mark ('start' or 'end'), timeout_s. A start that is delivered again while its
+    task runs changes nothing. An end without a start (its start may carry a later time, or the task
+    was recovered already) is kept for ``keep_end_s`` and answers a start within that time. Nothing stays in the state after.
     """
+    keep = int(keep_end_s * 1_000_000)
 
-    def fold(key, batches, state):
-        kind, due, ended = _load(state, [None, None, None])
+    def fold(key, state, rows, until):
+        kind, due, ended = state or (None, None, None)
         out = []
-        if not state.hasTimedOut:
-            for r in _rows(batches, ["ts"]).itertuples(index=False):
-                if r.mark == "start":
-                    kind, due = r.task_type, _ms(r.ts) + int(r.timeout_s * STUCK_FACTOR * 1000)
-                else:
-                    ended = _ms(r.ts) if ended is None else min(ended, _ms(r.ts))
-        if due is not None and ended is not None and ended <= due:
-            state.remove() if state.exists else None
-        elif due is not None and (state.hasTimedOut or ended is not None or due <= state.getCurrentWatermarkMs()):
-            out.append((key[0], kind, pd.Timestamp(due, unit="ms")))
-            state.remove() if state.exists else None
-        else:
-            state.update((json.dumps([kind, due, ended]),))
-            if due is not None:
-                state.setTimeoutTimestamp(due)
-        yield pd.DataFrame(out, columns=["task_id", "task_type", "recovered_at"])
-
-    return (
-        marks.withWatermark("ts", watermark)
-        .groupBy("task_id")
-        .applyInPandasWithState(fold, STUCK, STATE, "append", "EventTimeTimeout")
+        for at, order, task_type, timeout_s in rows:
+            if due is not None and at > due:
+                out.append((key, kind, due))
+                due = None
+            if order:
+                due, ended = (None, None) if due is not None else (None, at)
+            elif ended is not None and at - ended <= keep:
+                ended = None
+            elif due is None:
+                kind, due, ended = task_type, at + int(timeout_s * STUCK_FACTOR * 1000) * 1000, None
+        if due is not None and due <= until:
+            out.append((key, kind, due))
+            due = None
+        if due is not None:
+            return (kind, due, None), out, due
+        if ended is not None and ended + keep > until:
+            return (None, None, ended), out, ended + keep
+        return None, out, None
+
+    found = fold_in_order(
+        marks.withColumn("order", (F.col("mark") != "start").cast("int")), "task_id",
+        "at bigint, order int, task_type string, timeout_s double", "kind string, due bigint, ended bigint",
+        "task_id bigint, task_type string, due bigint", fold, watermark,
     )
+    return found.select("task_id", "task_type", F.timestamp_micros("due").alias("recovered_at"))
 
 
 def dlq_stream(

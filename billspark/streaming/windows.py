@@ -1,6 +1,7 @@
 """Streams that built-in operators express (T1, T6, T7): windows, sessions, deduplication.
 
-Late rows (older than the watermark) are dropped; a window leaves when the watermark passes its end.
+Rows behind the watermark are dropped; a window leaves when the watermark passes its end. To count and keep late
+rows, let these streams read what ``late.admit`` accepted: they drop nothing then.
 """
 
 from __future__ import annotations

@@ -161,7 +161,7 @@ def test_form_conversation(spark, tmp_path):
     src = str(tmp_path / "chat")
     df.write.parquet(src)
     stream = spark.readStream.schema(df.schema).parquet(src)
-    out = jobs.run_available(stateful.conversation_state(stream, stateful.FORM_TRANSITIONS), "form").orderBy("ts").collect()
+    out = jobs.run_available(stateful.conversation_state(stream, stateful.FORM_TRANSITIONS, watermark="0 seconds"), "form").orderBy("ts").collect()
     assert out[0].new_state == "SELECT_MODE" and out[-1].new_state == "COMPLETED"
     assert "CIS_AMOUNT" in {r.new_state for r in out}
     assert len(out) == len(events)
