@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from billspark.functions.arrays import blocks_of, let, piece, running_total
 from billspark.functions.fixed_values import (
     CONTROL, UNUSUAL, WS, WS_CHARS, WS_LATIN, WS_LATIN_NOT_SPACE, WS_NOT_SPACE,
 )
@@ -14,11 +15,6 @@ def blank_to_null(c: Column) -> Column:
     return F.nullif(c, F.lit(""))
 
 
-def let(c: Column, body) -> Column:
-    """``body(x)`` with ``c`` worked out once, for bodies that mention their input many times."""
-    return F.element_at(F.transform(F.array(c), body), 1)
-
-
 def let_sql(c: Column, body: str) -> Column:
     """As ``let`` with the body as SQL over ``x``: one expression to build, however long it is."""
     return F.element_at(F.call_function("transform", F.array(c), F.expr(f"x -> {body}")), 1)
@@ -82,29 +78,26 @@ def extract_all(c: Column, pattern: str, group: int = 1) -> Column:
 
 
 def find_nearby_text(c: Column, keyword: str, context_chars: int = 100) -> Column:
-    """Context around each case-insensitive hit, clipped at the ends of the text."""
-    quoted = keyword.replace("\\E", "\\E\\\\E\\Q")
-    pieces = F.split(c, rf"(?i)\Q{quoted}\E", -1)
-    size = F.lit(len(keyword))
-    start = F.struct(
-        F.lit(0).cast("int").alias("pos"), F.array().cast("array<int>").alias("hits")
-    )
+    """Context around each case-insensitive hit, clipped at the ends of the text; none for an empty keyword.
 
-    def step(acc, piece):
-        hit = (acc["pos"] + F.length(piece)).cast("int")
-        return F.struct(
-            (hit + size).cast("int").alias("pos"), F.array_append(acc["hits"], hit).alias("hits")
-        )
+    Time grows with the text and the hits, not with their product.
+    """
+    if not keyword:
+        return F.when(c.isNotNull(), F.array().cast("array<string>"))
+    quoted = keyword.replace("\\E", "\\E\\\\E\\Q")
+    size, n = len(keyword), context_chars
 
-    # every piece but the last is followed by a hit
-    hits = F.aggregate(F.slice(pieces, F.lit(1), F.size(pieces) - 1), start, step, lambda a: a["hits"])
-    n = F.lit(context_chars)
+    def windows(x: Column) -> Column:
+        # every piece but the last is followed by a hit
+        before = F.transform(F.slice(x["pieces"], F.lit(1), F.size(x["pieces"]) - 1), lambda p: F.length(p) + size)
+        ends = running_total(before)
+        return F.transform(ends, lambda end: window(x["blocks"], end))
 
-    def window(hit):
-        first = F.greatest(hit - n, F.lit(0))
-        return F.substring(c, first + 1, hit + size + n - first)
+    def window(blocks: Column, end: Column) -> Column:
+        first = F.greatest(end - (size + n), F.lit(0))
+        return piece(blocks, first, end + n - first)
 
-    return F.transform(hits, window)
+    return let(F.struct(F.split(c, rf"(?i)\Q{quoted}\E", -1).alias("pieces"), blocks_of(c).alias("blocks")), windows)
 
 
 def extract_with_context(df: DataFrame, text: str, pattern: str, context_lines: int = 2) -> DataFrame:

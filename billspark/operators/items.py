@@ -7,22 +7,67 @@ from pyspark.sql import functions as F
 
 from billspark.functions import fixed_values as V
 from billspark.functions.normalize import WIDE, parse_money
-from billspark.functions.text import blank_to_null, let_sql, strip
+from billspark.functions.arrays import blocks_of, let, piece, running_total, scan
+from billspark.functions.text import blank_to_null, strip
 from billspark.schemas import WORK_ITEM
 
 
-# x.t is the text, x.m the plot labels found in it. A plot's description starts on the line after
-# the first "plot" or "property" label whose number begins with the plot's number, and is the next 50
-# to 200 characters.
 _NUMBER = "([0-9]+[A-Za-z]?)$"
-_FROM_PLOTS = f"""
-transform(transform(transform(
-  transform(x.m, f -> struct(regexp_extract(f, '{_NUMBER}', 1) AS p, lower(regexp_extract(f, '{_NUMBER}', 1)) AS n)),
-  y -> struct(y.p, try_element_at(filter(x.m, g -> lower(left(g, 1)) = 'p'
-    AND startswith(lower(regexp_extract(g, '{_NUMBER}', 1)), y.n)), 1) AS hit)),
-  y -> struct(y.p, substring(x.t, instr(x.t, y.hit) + length(y.hit)) AS rest)),
-  y -> struct(y.p, if(instr(y.rest, char(10)) > 0, substring(y.rest, instr(y.rest, char(10)) + 1, 200), '') AS body))
-"""
+
+
+def _plot_bodies(lined: Column, labels: Column) -> Column:
+    """``p, body`` of each plot label of a text.
+
+    A plot's description starts on the line after the first "plot" or "property" label whose number begins
+    with the plot's number, and is the next 50 to 200 characters. That label is found by sorting: every
+    number stands once under each of its beginnings, and a plot meets the first label of its own number.
+    """
+
+    def numbered(x: Column) -> Column:
+        number = F.transform(x["labels"], lambda f: F.regexp_extract(f, _NUMBER, 1))
+        return F.struct(*[x[f].alias(f) for f in ("labels", "between", "blocks")], number.alias("number"))
+
+    def meetings(x: Column) -> Column:
+        # (beginning, 0, label) for labels that describe, (number, 1, plot) for plots, in order
+        entries = F.transform(
+            x["number"],
+            lambda n, i: F.transform(
+                F.sequence(F.lit(1), F.length(n)),
+                lambda k: F.struct(F.lower(F.left(n, k)).alias("key"), F.lit(0).alias("asks"), i.alias("i")),
+            ),
+        )
+        describing = F.zip_with(x["labels"], entries, lambda f, e: F.when(F.lower(F.left(f, F.lit(1))) == "p", e))
+        asking = F.transform(x["number"], lambda n, i: F.struct(F.lower(n).alias("key"), F.lit(1).alias("asks"), i.alias("i")))
+        return F.sort_array(F.concat(F.flatten(F.filter(describing, lambda e: e.isNotNull())), asking))
+
+    def firsts(x: Column) -> Column:
+        """For each plot the number of its label, or none."""
+        start = F.struct(F.lit(None).cast("string").alias("key"), F.lit(None).cast("int").alias("first"), F.lit(-1).alias("plot"))
+
+        def step(a: Column, m: Column) -> Column:
+            held = F.when(a["key"] == m["key"], a["first"])
+            first = F.coalesce(held, F.when(m["asks"] == 0, m["i"]))
+            return F.struct(m["key"].alias("key"), first.alias("first"), F.when(m["asks"] == 1, m["i"]).otherwise(-1).alias("plot"))
+
+        met = F.filter(scan(meetings(x), start, step, "struct<key:string,first:int,plot:int>"), lambda m: m["plot"] >= 0)
+        return F.transform(F.sort_array(F.transform(met, lambda m: F.struct(m["plot"].alias("plot"), m["first"].alias("first")))), lambda m: m["first"])
+
+    def line_ends(x: Column) -> Column:
+        """For each label the place after the next line end, or none."""
+        ends = running_total(F.zip_with(F.slice(x["between"], F.lit(1), F.size(x["labels"])), x["labels"], lambda t, f: F.length(t) + F.length(f)))
+        after = F.slice(x["between"], F.lit(2), F.size(x["labels"]))
+        own = F.zip_with(ends, after, lambda e, t: F.when(F.instr(t, "\n") > 0, e + F.instr(t, "\n")))
+        return F.reverse(scan(F.reverse(own), F.lit(None), lambda later, e: F.coalesce(e, later), "int"))
+
+    def bodies(x: Column) -> Column:
+        found = F.struct(x["blocks"].alias("blocks"), line_ends(x).alias("ends"))
+        return let(found, lambda y: F.zip_with(x["number"], firsts(x), lambda p, i: F.struct(p.alias("p"), body(y, i).alias("body"))))
+
+    def body(y: Column, i: Column) -> Column:
+        return F.coalesce(piece(y["blocks"], F.try_element_at(y["ends"], i + 1), F.lit(200)), F.lit(""))
+
+    parts = F.struct(labels.alias("labels"), F.split(lined, V.PLOT, -1).alias("between"), blocks_of(lined).alias("blocks"))
+    return let(parts, lambda x: let(numbered(x), bodies))
 
 
 def _item(**fields: Column) -> Column:
@@ -39,9 +84,8 @@ def _item(**fields: Column) -> Column:
 def work_items(lined: Column) -> Column:
     """One item per plot label, described by what follows its line; else one per operative."""
     labels = F.regexp_extract_all(lined, F.lit(V.PLOT), F.lit(0))
-    found = let_sql(F.struct(lined.alias("t"), labels.alias("m")), _FROM_PLOTS)
     from_plots = F.transform(
-        found,
+        _plot_bodies(lined, labels),
         lambda y: _item(
             plot_number=y["p"],
             description=F.when(F.length(y["body"]) >= 50, blank_to_null(strip(y["body"]))),
