@@ -8,11 +8,23 @@ from pyspark.sql import functions as F
 from billspark.functions import fixed_values as V
 from billspark.functions.normalize import WIDE, parse_money
 from billspark.functions.arrays import blocks_of, let, piece, running_total, scan
-from billspark.functions.text import blank_to_null, strip
+from billspark.functions.text import blank_to_null, let_sql, strip
 from billspark.schemas import WORK_ITEM
 
 
 _NUMBER = "([0-9]+[A-Za-z]?)$"
+#: Up to so many labels are looked through one by one, which is the faster way for them.
+FEW = 32
+# x.t is the text, x.m its labels, x.b what stands between them; of a label: number, whether it describes, its end
+_FEW_PLOTS = f"""
+transform(transform(transform(
+  array(zip_with(x.m, aggregate(zip_with(slice(x.b, 1, size(x.m)), x.m, (s, f) -> length(s) + length(f)), cast(array() AS array<int>),
+      (a, v) -> array_append(a, v + if(size(a) > 0, a[size(a) - 1], 0))),
+    (f, e) -> struct(regexp_extract(f, '{_NUMBER}', 1) AS p, lower(regexp_extract(f, '{_NUMBER}', 1)) AS n, lower(left(f, 1)) = 'p' AS d, e))),
+  g -> transform(g, y -> struct(y.p, try_element_at(filter(g, z -> z.d AND startswith(z.n, y.n)), 1).e AS e)))[0],
+  y -> struct(y.p, substring(x.t, y.e + 1) AS rest)),
+  y -> struct(y.p, if(instr(y.rest, char(10)) > 0, substring(y.rest, instr(y.rest, char(10)) + 1, 200), '') AS body))
+"""
 
 
 def _plot_bodies(lined: Column, labels: Column) -> Column:
@@ -67,7 +79,9 @@ def _plot_bodies(lined: Column, labels: Column) -> Column:
         return F.coalesce(piece(y["blocks"], F.try_element_at(y["ends"], i + 1), F.lit(200)), F.lit(""))
 
     parts = F.struct(labels.alias("labels"), F.split(lined, V.PLOT, -1).alias("between"), blocks_of(lined).alias("blocks"))
-    return let(parts, lambda x: let(numbered(x), bodies))
+    many = let(parts, lambda x: let(numbered(x), bodies))
+    few = let_sql(F.struct(lined.alias("t"), labels.alias("m"), F.split(lined, V.PLOT, -1).alias("b")), _FEW_PLOTS)
+    return F.when(F.size(labels) <= FEW, few).otherwise(many)
 
 
 def _item(**fields: Column) -> Column:

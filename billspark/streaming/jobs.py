@@ -11,7 +11,6 @@ from billspark.plans.extraction import validated_invoices
 from billspark.session import shared_folder
 from billspark.sources.documents import BINARY, pending_documents, split_supported, text_documents
 from billspark.functions.files import detect_file_type
-from billspark.streaming.ordered import state_store
 
 
 def run_available(stream: DataFrame, name: str) -> DataFrame:
@@ -19,9 +18,7 @@ def run_available(stream: DataFrame, name: str) -> DataFrame:
     spark = stream.sparkSession
     base = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     writer = stream.writeStream.format("parquet").option("checkpointLocation", f"{base}/progress")
-    with state_store(spark):
-        query = writer.trigger(availableNow=True).start(f"{base}/rows")
-        query.awaitTermination()
+    writer.trigger(availableNow=True).start(f"{base}/rows").awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{base}/rows")
 
 

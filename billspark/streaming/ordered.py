@@ -2,87 +2,27 @@
 
 A row waits in the key's state until the watermark has passed it; no row before it can come then (Spark drops
 what lies behind the watermark). Released rows are folded in order, so the result is that of a batch over the
-same rows, up to the watermark. What a key holds is bounded: rows no further ahead than the watermark
-lags, and one typed value that the fold may end or let expire by a timer.
+same rows, up to the watermark. State is typed: the waiting rows by column, and one value that the fold
+may end or let expire by a timer. What a key holds is bounded by the rows within the watermark's delay, which are read
+and written at every trigger that brings rows of the key.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
-from contextlib import contextmanager
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor
 from pyspark.sql.types import StructType
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-
-
-
-@contextmanager
-def state_store(spark: SparkSession):
-    """Queries started inside keep their state in RocksDB, which typed state and timers need."""
-    name = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(name)
-    spark.conf.set(name, ROCKSDB)
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
-
-
 #: fold(key, state or None, released rows in order, watermark in microseconds)
 #: -> (new state or None to end it, output rows, time in microseconds at which to be called again or None)
 Fold = Callable[[object, "tuple | None", "list[tuple]", int], "tuple[tuple | None, list[tuple], int | None]"]
 
 
-class InOrder(StatefulProcessor):
-    """``rows`` name the columns that wait, the first being the time in microseconds."""
-
-    def __init__(self, rows: str, state: str, output: list[str], fold: Fold) -> None:
-        self.rows, self.columns, self.state, self.output, self.fold = rows, StructType.fromDDL(rows).names, state, output, fold
-
-    def init(self, handle) -> None:
-        self.handle = handle
-        self.waiting = handle.getListState("waiting", self.rows)
-        self.value = handle.getValueState("value", self.state)
-
-    def _call_at(self, micros: int | None) -> None:
-        if micros is not None:
-            self.handle.registerTimer(-(-micros // 1000))
-
-    def handleInputRows(self, key, rows, timerValues):
-        new = [row for part in rows for row in _plain(part[self.columns])]
-        if new:
-            self.waiting.appendList(new)
-            self._call_at(min(row[0] for row in new))
-        yield pd.DataFrame([], columns=self.output)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        until = timerValues.getCurrentWatermarkInMs() * 1000
-        waiting = list(self.waiting.get()) if self.waiting.exists() else []
-        ready = sorted((tuple(row) for row in waiting if row[0] <= until), key=lambda row: [(v is not None, v) for v in row])
-        rest = [tuple(row) for row in waiting if row[0] > until]
-        if ready:
-            self.waiting.put(rest) if rest else self.waiting.clear()
-            self._call_at(min((row[0] for row in rest), default=None))
-        before = tuple(self.value.get()) if self.value.exists() else None
-        after, out, due = self.fold(key[0], before, ready, until)
-        if after is None:
-            if before is not None:
-                self.value.clear()
-        elif after != before:
-            self.value.update(after)
-        self._call_at(due)
-        yield pd.DataFrame(out, columns=self.output)
-
-
-def _plain(part: pd.DataFrame) -> list[tuple]:
-    """Rows of plain Python values, missing ones as None."""
-    columns = [[None if v is None or v != v else v for v in part[c].tolist()] for c in part.columns]
-    return list(zip(*columns))
+def _fields(ddl: str) -> list[tuple[str, str]]:
+    return [(f.name, f.dataType.simpleString()) for f in StructType.fromDDL(ddl).fields]
 
 
 def fold_in_order(
@@ -91,11 +31,44 @@ def fold_in_order(
     """``output`` rows of ``fold`` for every ``key``.
 
     ``rows`` declares the columns that the fold sees, the first being ``at bigint``: ``time`` in microseconds;
-    ties are in the order of the columns after it, missing values first. Run it inside ``state_store``.
+    ties are in the order of the columns after it, missing values first. Rows without a time are dropped.
     """
-    names = StructType.fromDDL(output).names
-    seen = StructType.fromDDL(rows).names[1:]
-    kept = stream.withWatermark(time, watermark).select(key, time, F.unix_micros(time).alias("at"), *[c for c in seen if c != key])
-    return kept.groupBy(key).transformWithStateInPandas(
-        statefulProcessor=InOrder(rows, state, names, fold), outputStructType=output, outputMode="append", timeMode="EventTime"
+    names, seen, value = StructType.fromDDL(output).names, _fields(rows), _fields(state)
+    columns = [name for name, _ in seen]
+    held = ", ".join(
+        ["has_value boolean", *[f"value_{n} {t}" for n, t in value], *[f"waiting_{n} array<{t}>" for n, t in seen]]
     )
+
+    def call(name, batches, group):
+        until_ms = group.getCurrentWatermarkMs()
+        before, waiting = None, []
+        if group.exists:
+            kept = group.get
+            before = tuple(kept[1 : 1 + len(value)]) if kept[0] else None
+            waiting = list(zip(*kept[1 + len(value) :]))
+        if not group.hasTimedOut:
+            for part in batches:
+                waiting += _plain(part[columns])
+        until = until_ms * 1000
+        ready = sorted((row for row in waiting if row[0] <= until), key=lambda row: [(v is not None, v) for v in row])
+        rest = [row for row in waiting if row[0] > until]
+        after, out, due = fold(name[0], before, ready, until)
+        times = [row[0] for row in rest] + ([] if due is None else [due])
+        if after is not None or rest:
+            arrays = [list(c) for c in zip(*rest)] if rest else [[] for _ in columns]
+            group.update((after is not None, *(after or [None] * len(value)), *arrays))
+            if times:  # a timer goes off when the watermark is beyond it
+                group.setTimeoutTimestamp(max(-(-min(times) // 1000) - 1, until_ms + 1))
+        elif group.exists:
+            group.remove()
+        yield pd.DataFrame(out, columns=names)
+
+    timed = stream.filter(F.col(time).isNotNull()).withWatermark(time, watermark)
+    kept = timed.select(key, time, F.unix_micros(time).alias("at"), *[c for c in columns[1:] if c != key])
+    return kept.groupBy(key).applyInPandasWithState(call, output, held, "append", "EventTimeTimeout")
+
+
+def _plain(part: pd.DataFrame) -> list[tuple]:
+    """Rows of plain Python values, missing ones as None."""
+    columns = [[None if v is None or v != v else v for v in part[c].tolist()] for c in part.columns]
+    return list(zip(*columns))

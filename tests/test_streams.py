@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from billspark.operators import breaker as B
 from billspark.streaming import jobs, late, stateful
-from billspark.streaming.ordered import state_store
 
 START = dt.datetime(2024, 1, 1)
 MINUTE = dt.timedelta(minutes=1)
@@ -25,9 +24,8 @@ def stream_of(spark, tmp_path, schema, *arrivals):
 def run(stream, tmp_path):
     """All rows, and how many rows the state holds at the end."""
     name = f"t{random.randrange(10**9)}"
-    with state_store(stream.sparkSession):
-        q = stream.writeStream.format("memory").queryName(name).option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start()
-        q.awaitTermination()
+    q = stream.writeStream.format("memory").queryName(name).option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start()
+    q.awaitTermination()
     return stream.sparkSession.table(name).collect(), q.lastProgress["stateOperators"][0]["numRowsTotal"]
 
 
@@ -59,7 +57,7 @@ def test_breaker_stream_forgets_silent_services(spark, tmp_path):
     stream = stream_of(spark, tmp_path, "service string, ts timestamp, event_id bigint, ok boolean, action string", rows, last)
     got, left = run(stateful.breaker_stream(stream, B.Breaker(3, 1e6, 2, 1), forget_s=3600), tmp_path)
     assert [r.state_after for r in sorted(got, key=lambda r: r.event_id) if r.service == "a"] == ["CLOSED", "CLOSED", "OPEN", "CLOSED"]
-    assert left <= 2  # the row that still waits behind the watermark, and its timer
+    assert left == 1  # the row that still waits before the watermark
 
 
 def chat(spark, tmp_path, *arrivals, **kw):
@@ -84,7 +82,7 @@ def test_conversation_ends_in_error_after_three_failures(spark, tmp_path):
         (2, 4, "document", "AWAITING_DOCUMENT", "CONFIRMING_EXTRACTED_DATA"), (2, 9, "fatal", "CONFIRMING_EXTRACTED_DATA", "ERROR"),
         (2, 39, "timeout", "ERROR", "IDLE"),
     ]
-    assert left <= 2
+    assert left == 1
 
 
 def marks(spark, tmp_path, *arrivals):
@@ -103,7 +101,7 @@ def test_stuck_tasks_leave_nothing(spark, tmp_path):
     )
     # 2: no end; 4: counted from its first start; 6: end too late; 7: second run has no end; 3: its end came before its start
     assert got == [(2, 150), (4, 150), (6, 200), (7, 170)]
-    assert left <= 2
+    assert left == 1
 
 
 def test_gate_counts_and_keeps_late_rows(spark, tmp_path):
