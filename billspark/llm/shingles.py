@@ -1,9 +1,13 @@
 """Hashes of words and word n-grams, in numpy over the bytes of an Arrow batch.
 
 A word is a run of characters other than blank and ASCII control white space, A-Z lower-cased. Its
-hash is a polynomial over its UTF-8 bytes modulo 2^64, taken from one prefix sum over the buffer and
-then mixed; an n-gram's hash combines the hashes of its words. Texts with fewer than n words have
-their whole sequence as the one n-gram; texts without words have none.
+hash is two polynomials over its UTF-8 bytes modulo the prime 2^31 - 1, with bases of their own, taken from
+prefix sums over the buffer and mixed to 64 bits; an n-gram's hash combines the hashes of its words. A power of
+two as modulus would not do: there are words, however long, whose hashes agree for every base (those of the
+Thue-Morse sequence). Two different n-grams of two texts agree by chance only, once in about 10^18.
+Texts with fewer than n words have their whole sequence as the one n-gram; texts without words have none.
+
+``word_hashes`` counts modulo 2^64; it is faster and serves where equal hashes only share a feature.
 """
 
 from __future__ import annotations
@@ -71,6 +75,56 @@ def word_hashes(
     return (mix((sums[stops] - sums[starts]) * back), np.searchsorted(starts, offsets), *begun)
 
 
+_PRIME = np.uint64((1 << 31) - 1)
+_BASES = (1_181_783_497, 1_726_540_937)
+_PRIME_POWERS: list[tuple[np.ndarray, np.ndarray]] = []
+
+
+def _folded(x: np.ndarray) -> np.ndarray:
+    """A smaller number with the same remainder modulo 2^31 - 1."""
+    return (x & _PRIME) + (x >> np.uint64(31))
+
+
+def _prime_powers(n: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Of each base and its inverse, the powers 0 to n - 1 modulo the prime."""
+    if not _PRIME_POWERS or len(_PRIME_POWERS[0][0]) < n:
+        made = []
+        for base in _BASES:
+            pair = []
+            for b in (base, pow(base, -1, int(_PRIME))):
+                powers = np.ones(1, np.uint64)
+                while len(powers) < n:
+                    powers = np.concatenate([powers, powers * np.uint64(pow(b, len(powers), int(_PRIME))) % _PRIME])
+                pair.append(powers)
+            made.append((pair[0], pair[1]))
+        _PRIME_POWERS[:] = made
+    return _PRIME_POWERS
+
+
+def strong_word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of every word modulo a prime, and for each text where its words begin (n + 1 offsets)."""
+    size = len(data)
+    if not size:
+        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
+    low = _LOWER[data]
+    word = _WORD[low]
+    edge = np.zeros(size + 1, bool)
+    edge[offsets] = True
+    begins = word.copy()
+    begins[1:] &= ~word[:-1] | edge[1:size]
+    ends = word
+    ends[:-1] = word[:-1] & (~word[1:] | edge[1:size])
+    starts, stops = np.flatnonzero(begins), np.flatnonzero(ends) + 1
+    letters = low.astype(np.uint64) + np.uint64(1)
+    both = np.zeros(len(starts), np.uint64)
+    sums = np.zeros(size + 1, np.uint64)  # of numbers below 2^32, so of any text in memory
+    for powers, inverse in _prime_powers(size + 1):
+        np.cumsum(_folded(letters * powers[:size]), out=sums[1:])
+        value = _folded(_folded(_folded(sums[stops] - sums[starts]))) % _PRIME
+        both = (both << np.uint64(32)) | value * inverse[starts] % _PRIME
+    return mix(both), np.searchsorted(starts, offsets)
+
+
 def ngram_hashes(words: np.ndarray, at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Hash of every n-gram in order of the texts, and where each text's n-grams begin."""
     total = len(words)
@@ -103,7 +157,7 @@ def blocks(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, np.ndar
 def ngrams(data: np.ndarray, offsets: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """By blocks of texts: number of the first text, n-gram hashes, where each text's begin."""
     for first, some, at in blocks(data, offsets):
-        grams, begins = ngram_hashes(*word_hashes(some, at), n)
+        grams, begins = ngram_hashes(*strong_word_hashes(some, at), n)
         yield first, grams, begins
 
 

@@ -69,3 +69,27 @@ def test_equal_prefix_numbers_of_one_text_count_each():
     assert join.candidates_of([(1, size, 99, tokens), (2, size, 99, tokens[1:])], 80) == []
     other = (3, size, 99, [8] * overlap)
     assert {tuple(sorted(x)) for x in join.candidates_of([*unit, other], 80)} == {(1, 2)}
+
+
+def test_words_that_agree_modulo_powers_of_two_stay_apart(spark):
+    """The Thue-Morse word of 1024 letters and its complement have equal polynomials modulo 2^64 for every base."""
+    word = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+    other = word.translate(str.maketrans("ab", "ba"))
+    docs = spark.createDataFrame([(1, word), (2, other), (3, word.upper())], "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in ngram_components(docs).collect()} == {1: 1, 2: 2, 3: 1}
+
+
+def test_word_hashes_depend_on_the_word_alone():
+    import numpy as np
+    import pyarrow as pa
+
+    from billspark.llm.common import utf8_of
+    from billspark.llm.shingles import strong_word_hashes
+
+    words = [f"w{i}" * (i % 7 + 1) for i in range(5000)] + ["é", "漢字", "\x00", "\x00\x00", "x" * 5000]
+    texts = [" ".join(words), *words, "", "\n ", " ".join(reversed(words))]
+    hashes, begins = strong_word_hashes(*utf8_of(pa.array(texts, pa.large_string())))
+    of = [hashes[a:b].tolist() for a, b in zip(begins, begins[1:])]
+    n = len(words)
+    assert of[0] == [h for x in of[1 : n + 1] for h in x] == of[-1][::-1] and of[n + 1] == of[n + 2] == []
+    assert len(set(of[0])) == n and len(np.unique(hashes & np.uint64(0xFFFFFFFF))) >= n - 2
