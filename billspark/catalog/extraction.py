@@ -54,8 +54,30 @@ _field_query(
 )
 _field_query("utr", fields.utr, find("c", V.UTR))
 _field_query("ni_number", fields.ni_number, find("c", V.NI_NUMBER))
-_field_query("vat_registration", fields.vat_number, find("c", V.VAT_NUMBER))
-_field_query("company_number", fields.company_number, find("c", V.COMPANY_NUMBER))
+
+# registrations that the rendered texts do not hold: two of three documents get a line with one, some of it malformed
+_NINE, _EIGHT = "lpad(CAST(doc_id % 1000000000 AS {t}), 9, '0')", "lpad(CAST(doc_id % 100000000 AS {t}), 8, '0')"
+_REGISTERED = (
+    "CASE WHEN doc_id % 3 = 0 THEN '' WHEN doc_id % 3 = 1 THEN concat(' VAT: GB', {nine}, ' Company Number: ', {eight}) "
+    "WHEN doc_id % 4 = 0 THEN concat(' vat GB ', {nine}, ' 001 Co No #', {eight}) ELSE ' VAT No: 123 Company Reg: 77' END"
+)
+
+
+def _registered(kind: str) -> str:
+    return _REGISTERED.format(nine=_NINE.format(t=kind), eight=_EIGHT.format(t=kind))
+
+
+def _registration_query(name, column, pattern):
+    @query(name, over_rendered(f"SELECT doc_id, {find('c', pattern)} AS value FROM (SELECT doc_id, concat(c, {_registered('VARCHAR')}) AS c FROM cleaned)"))
+    def run(spark, sf_dir):
+        texts = _cleaned(spark, sf_dir).select("doc_id", F.concat("c", F.expr(_registered("STRING"))).alias("c"))
+        return texts.select("doc_id", column(F.col("c")).alias("value"))
+
+    return run
+
+
+_registration_query("vat_registration", fields.vat_number, V.VAT_NUMBER)
+_registration_query("company_number", fields.company_number, V.COMPANY_NUMBER)
 _field_query("email", fields.email, f"lower({find('c', V.EMAIL, 0)})")
 _field_query("phone", fields.phone, find("c", V.PHONE))
 _field_query("postcode", fields.postcode, f"upper({find('c', V.POSTCODE)})")
@@ -276,10 +298,21 @@ def accept_band(spark, sf_dir):
 
 @query(
     "valid_invoices",
-    over_base("SELECT doc_id, true AS is_valid FROM checked"),
+    over_base(
+        """SELECT doc_id, CASE k % 4 WHEN 0 THEN true WHEN 1 THEN true WHEN 2 THEN false ELSE k % 8 = 3 END AS is_valid FROM checked"""
+    ),
 )
 def valid_invoices(spark, sf_dir):
-    return extract_invoices(_docs(spark, sf_dir)).select("doc_id", score.is_valid_invoice().alias("is_valid"))
+    """Of every four orders: one whole, one without its number, one without number and name, one without number and mostly money."""
+    k, fin = F.col("doc_id") % 4, F.col("financials")
+    none = F.lit(None)
+    poor = fin.withField("subtotal", none.cast("decimal(38,2)")).withField("total_due", none.cast("decimal(38,2)"))
+    found = extract_invoices(_docs(spark, sf_dir)).withColumns({
+        "invoice_number": F.when(k == 0, F.col("invoice_number")),
+        "contractor": F.col("contractor").withField("name", F.when(k != 2, F.col("contractor")["name"])),
+        "financials": F.when((k == 3) & (F.col("doc_id") % 8 != 3), poor).otherwise(fin),
+    })
+    return found.select("doc_id", score.is_valid_invoice().alias("is_valid"))
 
 
 @query(

@@ -142,8 +142,9 @@ def classify_by_type(spark, sf_dir):
 
 
 _KEYS = ", ".join(f"({lit(c)}, {lit(t)}, {lit(k)})" for c, t, k in V.USER_MESSAGE_KEYS)
+_EMOJI = dict(V.USER_MESSAGE_EMOJI)
 _MSGS = ", ".join(
-    f"({lit(k)}, {lit(c)}, {r}, {h}, {lit(t)})" for k, c, r, h, _, t in V.USER_MESSAGES
+    f"({lit(k)}, {lit(c)}, {r}, {h}, {lit(t)}, {lit(_EMOJI[k])})" for k, c, r, h, _, t in V.USER_MESSAGES
 )
 _CATS = [c for c, _ in V.CATEGORY_KEYWORDS]
 
@@ -152,9 +153,9 @@ _CATS = [c for c, _ in V.CATEGORY_KEYWORDS]
     "user_message_lookup",
     f"""WITH {I.EVENTS}, e AS (SELECT event_id, {I.sql_pick(_CATS, "k")} AS category,
       {I.sql_pick(I.PROBLEMS, "user_id")} AS problem FROM ev),
-    ks(category, problem, key) AS (VALUES {_KEYS}), ms(key, mc, rb, hb, text) AS (VALUES {_MSGS})
+    ks(category, problem, key) AS (VALUES {_KEYS}), ms(key, mc, rb, hb, text, emoji) AS (VALUES {_MSGS})
     SELECT event_id, m.key AS message_key, mc AS message_category, rb AS show_retry_button,
-      hb AS show_help_button, text
+      hb AS show_help_button, text, emoji
     FROM e LEFT JOIN ks USING (category, problem)
     JOIN ms m ON m.key = coalesce(ks.key, 'general_error')""",
 )
@@ -164,7 +165,7 @@ def user_message_lookup(spark, sf_dir):
         I.pick(I.PROBLEMS, F.col("user_id")).alias("problem"),
     )
     return lookups.with_user_message(e).select(
-        "event_id", "message_key", "message_category", "show_retry_button", "show_help_button", "text"
+        "event_id", "message_key", "message_category", "show_retry_button", "show_help_button", "text", "emoji"
     )
 
 

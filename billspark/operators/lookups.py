@@ -31,11 +31,12 @@ def recovery_messages(spark: SparkSession) -> DataFrame:
 
 def user_messages(spark: SparkSession) -> DataFrame:
     texts = {m[0]: m for m in V.USER_MESSAGES}
-    rows = [(c, t, *texts[k]) for c, t, k in V.USER_MESSAGE_KEYS]
+    emoji = dict(V.USER_MESSAGE_EMOJI)
+    rows = [(c, t, *texts[k], emoji[k]) for c, t, k in V.USER_MESSAGE_KEYS]
     return spark.createDataFrame(
         rows,
         "category string, problem string, message_key string, message_category string, "
-        "show_retry_button boolean, show_help_button boolean, follow_up string, text string",
+        "show_retry_button boolean, show_help_button boolean, follow_up string, text string, emoji string",
     )
 
 
@@ -120,6 +121,7 @@ def with_user_message(df: DataFrame) -> DataFrame:
             "show_retry_button": F.when(known, F.col("show_retry_button")).otherwise(g[2]),
             "show_help_button": F.when(known, F.col("show_help_button")).otherwise(g[3]),
             "text": F.when(known, F.col("text")).otherwise(g[5]),
+            "emoji": F.when(known, F.col("emoji")).otherwise(dict(V.USER_MESSAGE_EMOJI)[V.USER_MESSAGE_DEFAULT]),
             "message_key": F.coalesce("message_key", F.lit(V.USER_MESSAGE_DEFAULT)),
         }
     )

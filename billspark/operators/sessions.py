@@ -39,10 +39,8 @@ def conversation_stats(conversations: DataFrame, as_of: Column) -> DataFrame:
 
 def consecutive_runs(outcomes: DataFrame, key: str, order: list[str], **slicing) -> DataFrame:
     """Consecutive failures and successes up to and including each row."""
-    out = since_reset(outcomes, [key], order, ~F.col("ok"), "consecutive_failures", **slicing)
-    return out.withColumn("_ok", F.col("ok")).transform(
-        lambda d: since_reset(d, [key], order, F.col("_ok"), "consecutive_successes", **slicing)
-    ).drop("_ok")
+    runs = {"consecutive_failures": ~F.col("ok"), "consecutive_successes": F.col("ok")}
+    return since_reset(outcomes, [key], order, runs, **slicing)
 
 
 def transition_log(events: DataFrame, keys: list[str], order: list[str], **slicing) -> DataFrame:
@@ -60,7 +58,7 @@ def retry_to_error(
     events: DataFrame, keys: list[str], order: list[str], limit: int = MAX_RETRY_ATTEMPTS, **slicing
 ) -> DataFrame:
     """Errors since the last success; ERROR at the limit or when the error is not recoverable."""
-    out = since_reset(events, keys, order, ~F.col("ok"), "retry_count", **slicing)
+    out = since_reset(events, keys, order, {"retry_count": ~F.col("ok")}, **slicing)
     fatal = ~F.col("ok") & ((F.col("retry_count") >= limit) | ~F.coalesce("recoverable", F.lit(True)))
     return out.withColumn("to_error", fatal)
 

@@ -44,8 +44,10 @@ def _before(keys: list[str]):
 
 def _attach(df: DataFrame, carried: DataFrame, keys: list[str], present: str) -> DataFrame:
     """Join carried values; only keys that began in an earlier slice have any."""
-    carried = carried.filter(F.col(present).isNotNull())
-    return df.join(F.broadcast(carried), ["slice_no", *keys], "left")
+    names = ["slice_no", *keys]
+    carried = carried.filter(F.col(present).isNotNull()).withColumnsRenamed({k: f"_at{i}" for i, k in enumerate(names)})
+    same = [F.col(k).eqNullSafe(F.col(f"_at{i}")) for i, k in enumerate(names)]  # a missing key is a key too
+    return df.join(F.broadcast(carried), same, "left").drop(*[f"_at{i}" for i in range(len(names))])
 
 
 def running_totals(
@@ -81,29 +83,36 @@ def row_numbers(
 
 
 def since_reset(
-    df: DataFrame, keys: list[str], order: list[str], flag: Column, name: str,
+    df: DataFrame, keys: list[str], order: list[str], flags: dict[str, Column],
     rows_per_slice: int = ROWS_PER_SLICE,
 ) -> DataFrame:
-    """Length of the run of ``flag`` rows that ends at each row (0 where the flag is off)."""
-    s = sliced(df.withColumn("_f", F.coalesce(flag, F.lit(False))), keys, order, rows_per_slice)
+    """For each output name the length of the run of its flag's rows that ends at each row (0 where it is off).
+
+    All flags share one sliced pass.
+    """
+    df = df.withColumns({f"_f_{n}": F.coalesce(flag, F.lit(False)) for n, flag in flags.items()})
+    s = sliced(df, keys, order, rows_per_slice)
     w = _local(keys, order)
     s = s.withColumn("_pos", F.count(F.lit(1)).over(w))
-    s = s.withColumn("_reset", F.max(F.when(~F.col("_f"), F.col("_pos"))).over(w))
+    s = s.withColumns({f"_r_{n}": F.max(F.when(~F.col(f"_f_{n}"), F.col("_pos"))).over(w) for n in flags})
     ends = s.groupBy("slice_no", *keys).agg(
-        F.max("_pos").alias("n"), F.max("_reset").alias("last_reset")
+        F.max("_pos").alias("n"), *[F.max(f"_r_{n}").alias(f"_last_{n}") for n in flags]
     )
     b = _before(keys)
     placed = ends.withColumn("offset", F.coalesce(F.sum("n").over(b), F.lit(0)))
     carried = placed.select(
         "slice_no", *keys,
         F.when(F.col("offset") > 0, F.col("offset")).alias("_offset"),
-        F.max(F.col("offset") + F.col("last_reset")).over(b).alias("_reset_before"),
+        *[F.max(F.col("offset") + F.col(f"_last_{n}")).over(b).alias(f"_before_{n}") for n in flags],
     )
     out = _attach(s, carried, keys, "_offset")
-    local = F.col("_pos") - F.col("_reset")
-    open_run = F.col("_pos") + F.coalesce("_offset", F.lit(0)) - F.coalesce("_reset_before", F.lit(0))
-    out = out.withColumn(name, F.when(F.col("_reset").isNotNull(), local).otherwise(open_run))
-    return out.drop("_f", "_pos", "_reset", "_offset", "_reset_before", "slice_no")
+    lengths = {}
+    for n in flags:
+        local = F.col("_pos") - F.col(f"_r_{n}")
+        open_run = F.col("_pos") + F.coalesce("_offset", F.lit(0)) - F.coalesce(f"_before_{n}", F.lit(0))
+        lengths[n] = F.when(F.col(f"_r_{n}").isNotNull(), local).otherwise(open_run)
+    helpers = [f"_{k}_{n}" for n in flags for k in ("f", "r", "before")]
+    return out.withColumns(lengths).drop("_pos", "_offset", "slice_no", *helpers)
 
 
 def neighbours(

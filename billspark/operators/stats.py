@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from billspark.operators.slices import running_totals
+
 ERROR_RATE_LIMIT = 0.01
 SLOW_RESPONSE_S = 5.0
 
@@ -72,10 +74,25 @@ def operating_kpis(events: DataFrame, by: list | None = None) -> DataFrame:
     ).withColumn("hour", F.col("w.start")).drop("w")
 
 
-def response_quantiles(events: DataFrame, by: list[str], accuracy: int = 10_000) -> DataFrame:
-    return events.groupBy(*by).agg(
-        F.percentile_approx("response_s", [0.5, 0.95, 0.99], accuracy).alias("q")
+def response_quantiles(
+    events: DataFrame, by: list[str], shares: tuple[float, ...] = (0.5, 0.95, 0.99), value: str = "response_s", **slicing
+) -> DataFrame:
+    """``q``, an array of exact quantiles per group: the smallest value at or below which a share of the values lies.
+
+    Values are counted, the counts added up in order over slices (so one group may hold most rows), and the
+    first value that reaches each rank is taken. Missing values do not count; a group without any has no quantiles.
+    """
+    counted = events.groupBy(*by, value).agg(F.count(value).alias("_n"))
+    ranked = running_totals(counted.filter(F.col(value).isNotNull()), by, [value], {"_upto": F.col("_n")}, **slicing)
+    named = [F.col(c).alias(f"_by{i}") for i, c in enumerate(by)]
+    same = [F.col(c).eqNullSafe(F.col(f"_by{i}")) for i, c in enumerate(by)]  # groups may be missing values too
+    totals = ranked.groupBy(*named).agg(F.max("_upto").alias("_all"))
+    placed = ranked.join(totals, same)
+    ranks = [F.greatest(F.lit(1), F.ceil(F.col("_all") * F.lit(p))) for p in shares]
+    firsts = placed.groupBy(*[f"_by{i}" for i in range(len(by))]).agg(
+        F.array(*[F.min(F.when(F.col("_upto") >= r, F.col(value))) for r in ranks]).alias("q")
     )
+    return events.select(*by).distinct().join(firsts, same, "left").select(*by, "q")
 
 
 def alert_rules(kpis: DataFrame) -> DataFrame:

@@ -1,12 +1,13 @@
 """Sliced scans and breakers against plain Python, with one key holding most rows."""
 
 import datetime as dt
+import math
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from billspark.operators import breaker as B, sessions, slices
+from billspark.operators import breaker as B, sessions, slices, stats
 
 START = dt.datetime(2024, 1, 1)
 
@@ -106,3 +107,22 @@ def test_manual_orders(spark):
     df = spark.createDataFrame(rows, "service string, ts timestamp, event_id bigint, ok boolean, action string")
     tl = B.breaker_timeline(df, B.Breaker(3, 30.0)).orderBy("event_id").collect()
     assert [(r.state_after, r.allowed) for r in tl] == [("OPEN", True), ("OPEN", False), ("CLOSED", True), ("CLOSED", True)]
+
+
+def test_response_quantiles_are_exact(spark):
+    rng = random.Random(5)
+    rows = [("hot" if rng.random() < 0.8 else rng.choice(["a", None]), rng.choice([rng.random(), 0.5, 0.25])) for _ in range(30_000)]
+    rows += [("one", 3.0), ("none", None), ("a", None)]
+    df = spark.createDataFrame(rows, "kind string, response_s double")
+    got = {r.kind: r.q for r in stats.response_quantiles(df, ["kind"], rows_per_slice=1000).collect()}
+    for kind in {k for k, _ in rows}:
+        values = sorted(v for k, v in rows if k == kind and v is not None)
+        want = [values[max(1, math.ceil(len(values) * p)) - 1] for p in (0.5, 0.95, 0.99)] if values else None
+        assert got[kind] == want
+
+
+def test_runs_are_written_once(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(slices, "materialize", lambda df, name: (written.append(name), df)[1])
+    sessions.consecutive_runs(frame(spark, skewed(50)), "service", ["ts", "event_id"]).count()
+    assert written == ["slices"]
