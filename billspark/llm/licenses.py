@@ -1,30 +1,40 @@
-"""Licence notices in documents, by MinHash bands over overlapping windows; column functions only.
+"""Licence notices and texts in documents, by MinHash bands over overlapping windows; column functions only.
 
-Words are runs of a-z and 0-9 of the lower-cased text; shingles are three words, hashed. Templates are put
-into classes by their number of shingles: class c holds those of at most c. For each class a document is
-cut into windows of 2c shingle positions that begin at every c-th, so any stretch of c lies whole in some
-window, and a template found there has a Jaccard similarity of at least |T| / 2c, about a quarter or more,
-with it. Each of ``BANDS`` bands is the minimum of one hash function; a window and a template meet with
+Words are runs of a-z and 0-9 of the lower-cased text; shingles are three words, hashed; fewer words are one
+shingle as a whole. Templates may be of any length. They are put into classes by their number of shingles:
+class c (1, 2, 4 and so on, as far as the templates go) holds those of more than c / 2 and at most c. For each
+class that has templates a document is cut into windows of 2c shingle positions that begin at every c-th, so any
+stretch of c lies whole in some window, and a template found there has a Jaccard similarity of more than a
+quarter with it. Each of ``BANDS`` bands is the minimum of one hash function; a window and a template meet with
 probability 1 - (1 - J)^BANDS, which is 0.9999 for a quarter. Windows that meet a template are verified by the
 exact share of the template's shingles that they hold.
 
-Equal minima mean a shared shingle, so only documents that share a shingle with some template are cut
-into windows; this loses nothing.
+A window that holds the share asked for of a template's shingles holds one of any few more of them than may be
+missing; only documents and windows with one of those go on. This loses nothing.
 
-Defined cases: a missing text counts as empty; a text of fewer than three words has no shingle; every
-document is returned, without a match with no licences; rows that repeat a ``doc_id`` share what is
-found; templates are few and fixed, and are the only broadcast.
+Defined cases: a missing text counts as empty; a text without words has no shingle; a template of one or two
+words is found in documents that are no more than it, one without words nowhere; every document is returned,
+without a match with no licences; rows that repeat a ``doc_id`` share what is found; templates are given by the
+caller, and their numbers are the only broadcast.
 """
 
 from __future__ import annotations
 
+from math import ceil
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BANDS = 32
 #: Share of a template's shingles that a window must hold.
 CONTAINMENT = 0.8
-CLASSES = (4, 8, 16, 32, 64)
+
+
+def classes_up_to(largest: int) -> list[int]:
+    """Powers of two up to the first that is not below ``largest``."""
+    return [1 << k for k in range(max(largest - 1, 0).bit_length() + 1)]
+
+
 
 #: Notices that stand for a licence (fixed values).
 TEMPLATES = (
@@ -48,7 +58,8 @@ def _hashes(text: str) -> str:
     words = f"array_remove(split(lower(coalesce({text}, '')), '[^a-z0-9]+'), '')"
     shingle = "xxhash64(w[i], w[i + 1], w[i + 2])"
     return (
-        f"element_at(transform(array({words}), w -> CASE WHEN size(w) < 3 THEN cast(array() as array<bigint>) "
+        f"element_at(transform(array({words}), w -> CASE WHEN size(w) = 0 THEN cast(array() as array<bigint>) "
+        f"WHEN size(w) < 3 THEN array(xxhash64(concat_ws(' ', w))) "
         f"ELSE transform(sequence(0, size(w) - 3), i -> {shingle}) END), 1)"
     )
 
@@ -59,26 +70,24 @@ def _minima(hashes: str) -> str:
 
 
 def template_table(spark, templates=TEMPLATES) -> DataFrame:
-    """``license, grams, class``: distinct shingles of each template and its class."""
+    """``license, grams, class``: distinct shingles of each template, in order of their hashes, and its class."""
     rows = spark.createDataFrame([(n, t) for n, t in templates], "license string, notice string")
-    size = F.size("grams")
-    of_class = F.lit(CLASSES[-1])
-    for c in reversed(CLASSES):
-        of_class = F.when(size <= c, c).otherwise(of_class)
-    return rows.select("license", F.expr(f"array_distinct({_hashes('notice')})").alias("grams")).filter(
-        (size > 0) & (size <= CLASSES[-1])
-    ).withColumn("class", of_class)
+    known = rows.select("license", F.expr(f"array_sort(array_distinct({_hashes('notice')}))").alias("grams"))
+    of_class = F.pow(F.lit(2), F.ceil(F.round(F.log2(F.size("grams").cast("double")), 9))).cast("int")
+    return known.filter(F.size("grams") > 0).withColumn("class", of_class)
 
 
 def find_licenses(docs: DataFrame, templates=TEMPLATES, containment: float = CONTAINMENT) -> DataFrame:
     """``doc_id, n_licenses, licenses, containment``: names found, sorted and comma-joined, and the best share."""
     spark = docs.sparkSession
     known = template_table(spark, templates)
-    grams = sorted({g for row in known.collect() for g in row.grams})  # of the fixed templates
-    any_of = F.array(*[F.lit(g) for g in grams]) if grams else F.expr("cast(array() as array<bigint>)")
+    given = known.select("grams", "class").collect()  # templates that the caller holds
+    signs = sorted({g for row in given for g in row.grams[: len(row.grams) - ceil(containment * len(row.grams) - 1e-9) + 1]})
+    any_of = F.from_json(F.lit(str(signs)), "array<bigint>")  # a constant, however many there are
+    used = sorted({row["class"] for row in given}) or [1]
     hashed = docs.select("doc_id", F.expr(_hashes("text")).alias("hashes")).filter(F.arrays_overlap("hashes", any_of))
     windows = (
-        hashed.withColumn("class", F.explode(F.array(*[F.lit(c) for c in CLASSES])))
+        hashed.withColumn("class", F.explode(F.array(*[F.lit(c) for c in used])))
         .withColumn("start", F.explode(F.expr("sequence(0, size(hashes) - 1, class)")))
         .select("doc_id", "class", F.expr("array_distinct(slice(hashes, start + 1, 2 * class))").alias("window"))
         .filter(F.arrays_overlap("window", any_of))

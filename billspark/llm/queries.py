@@ -13,7 +13,7 @@ from billspark.llm.common import table
 from billspark.llm.decontaminate import contamination
 from billspark.llm.fill_middle import fill_in_middle_digests
 from billspark.llm.line_dedup import drop_repeated_lines
-from billspark.llm.licenses import CLASSES, CONTAINMENT, TEMPLATES, find_licenses
+from billspark.llm.licenses import CONTAINMENT, TEMPLATES, classes_up_to, find_licenses
 from billspark.llm.minhash import fingerprint_documents, near_duplicates
 from billspark.llm.ngram_join import ngram_components
 from billspark.llm.pii import find_pii
@@ -49,7 +49,7 @@ def op2_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return encode_documents(table(spark, folder, "documents", "doc_id", "text"), BYTE_BPE)
 
 
-@query("op3_licenses", license_sql(TEMPLATES, CLASSES, CONTAINMENT))
+@query("op3_licenses", license_sql(TEMPLATES, classes_up_to(64), CONTAINMENT))
 def op3_licenses(spark: SparkSession, folder: str) -> DataFrame:
     return find_licenses(table(spark, folder, "documents", "doc_id", "text"))
 

@@ -24,3 +24,28 @@ def test_no_python_on_the_main_path(spark):
     _, docs = awkward_documents(spark)
     plan = find_licenses(docs)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_templates_of_any_length(spark):
+    import random
+
+    rng = random.Random(3)
+    made = {n: " ".join(f"w{rng.randrange(400)}" for _ in range(n)) for n in (1, 2, 3, 4, 5, 8, 90, 130, 1500)}
+    templates = tuple((f"T{n}", text) for n, text in made.items()) + (("blank", " ,;"),)
+    texts = list(made.values()) + [f"{LONG[:3000]} {text}\n{LONG[:2000]}" for text in made.values()]
+    cut = made[1500].split()
+    texts += [" ".join(cut[:1300]), " ".join(cut[:1100])]  # 0.87 and 0.73 of its shingles
+    _, docs = awkward_documents(spark, texts)
+    got = {r.doc_id: r for r in find_licenses(docs, templates).collect()}
+    for i, n in enumerate(made):
+        assert f"T{n}" in got[100 + i].licenses.split(","), n
+        assert (f"T{n}" in got[109 + i].licenses.split(",")) == (n > 2), n
+    assert "T1500" in got[118].licenses.split(",") and "T1500" not in got[119].licenses.split(",")
+    assert all(got[i].n_licenses == 0 for i in (1, 2, 3, 4, None))
+    assert find_licenses(docs, ()).filter("n_licenses > 0").count() == 0
+
+
+def test_classes():
+    from billspark.llm.licenses import classes_up_to, template_table  # noqa: F401
+
+    assert [classes_up_to(n)[-1] for n in (0, 1, 2, 3, 4, 5, 64, 65)] == [1, 1, 2, 4, 4, 8, 64, 128]
