@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from billspark.catalog.registry import query
 from billspark.catalog.sql_text import (
-    FACTS, date_of, find, half_even, lined, lit, money, over_rendered, strip,
+    FACTS, RENDERED, date_of, find, half_even, lined, lit, money, over_rendered, strip,
 )
 from billspark.functions import fields, fields_loose as loose, fixed_values as V, score
 from billspark.functions.enrich import enrich_invoice
@@ -15,7 +15,7 @@ from billspark.functions.text import clean_lines, clean_text, split_lines
 from billspark.functions.validate import strict_errors
 from billspark.operators.items import work_items
 from billspark.operators.stats import batch_statistics
-from billspark.plans.extraction import extract_invoices, process_documents, validated_invoices
+from billspark.plans.extraction import extract_invoices, invoice_rows, process_documents, validated_invoices
 from billspark.sources.rendered import rendered_invoices
 
 AS_OF = "2001-12-31"
@@ -247,6 +247,21 @@ def invoice_validation(spark, sf_dir):
     )
 
 
+@query(
+    "invoice_rows",
+    f"""WITH {RENDERED}, {_BASE} SELECT checked.doc_id, 'file-' || checked.doc_id AS source_file, 'text_extraction' AS extraction_method, round(score, 6) AS score,
+    num AS invoice_number, checked.n_items, md5(text[1:200]) AS raw_md5, least(length(text), 200) AS raw_chars, errors AS processing_errors, warnings
+    FROM checked JOIN rendered ON checked.doc_id = rendered.doc_id""",
+)
+def invoice_rows_query(spark, sf_dir):
+    docs = _docs(spark, sf_dir).withColumn("path", F.concat(F.lit("file-"), F.col("doc_id").cast("string")))
+    return invoice_rows(docs, AS_OF, raw_chars=200).select(
+        "doc_id", "source_file", "extraction_method", F.round("extraction_confidence", 6).alias("score"), "invoice_number",
+        F.size("work_items").cast("bigint").alias("n_items"), F.md5("raw_text").alias("raw_md5"), F.length("raw_text").cast("bigint").alias("raw_chars"),
+        F.array_join("processing_errors", "; ").alias("processing_errors"), F.array_join("warnings", "; ").alias("warnings"),
+    )
+
+
 @query(
     "process_documents",
     over_base(

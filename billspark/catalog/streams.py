@@ -14,8 +14,10 @@ from billspark.catalog import inputs as I, resilience as RS
 from billspark.catalog.registry import query
 from billspark.catalog.sql_text import lit
 from billspark.functions import fixed_values as V
+from billspark.operators import dlq
 from billspark.session import shared_folder
 from billspark.sources import documents
+from billspark.sources.tables import table
 from billspark.streaming import jobs, late, stateful, windows
 
 WM = "(SELECT max(ts) - INTERVAL 10 MINUTE FROM events)"
@@ -278,3 +280,66 @@ def event_log_stream(spark, sf_dir):
         rows.filter(F.expr(_arrival(_DISORDER)) == n).select("value").repartition(_FILES).write.mode("append").text(folder)
     out = jobs.run_available(documents.stream_event_log(spark, folder, files_per_trigger=_FILES), "log")
     return out.select("event", "user_id", "rejected", "rescued")
+
+
+# ---- folders of files: a small text document for each supplier --------------------------------------------------
+
+def _supplier_files(spark, sf_dir):
+    """A folder with one text file for each supplier; every tenth says nothing of use."""
+    number, total = (F.col("s_suppkey") + 10_000).cast("string"), F.format_string("%.2f", F.abs("s_acctbal") + 1)
+    text = F.concat(F.lit("Invoice Number: INV-"), number, F.lit("\nTotal Due: £"), total)
+    rows = table(spark, sf_dir, "supplier", "s_suppkey", "s_acctbal").select(
+        "s_suppkey", F.when(F.col("s_suppkey") % 10 == 0, "nothing here").otherwise(text).alias("value")
+    )
+    folder = f"{shared_folder(spark).rstrip('/')}/suppliers-{uuid.uuid4().hex}"
+    rows.coalesce(1).write.partitionBy("s_suppkey").text(folder)
+    return folder
+
+
+def _supplier_of(path):
+    return F.regexp_extract(path, "s_suppkey=([0-9]+)", 1).cast("bigint").alias("s_suppkey")
+
+
+@query(
+    "scan_documents",
+    """SELECT s_suppkey, CASE WHEN s_suppkey % 10 = 0 THEN 13 ELSE length(printf('Invoice Number: INV-%d#Total Due: ##%.2f#', s_suppkey + 10000, abs(s_acctbal) + 1)) END AS length,
+    'text' AS file_type, CASE WHEN s_suppkey % 10 = 0 THEN 'nothing here' ELSE 'Invoice Number: INV-' || (s_suppkey + 10000) END AS head FROM supplier""",
+)
+def scan_documents(spark, sf_dir):
+    files = documents.scan_documents(spark, _supplier_files(spark, sf_dir), glob="*.txt")
+    texts = documents.text_documents(files).select("path", F.split("text", "\n")[0].alias("head"))
+    kinds = files.select(_supplier_of("path"), "length", "file_type")
+    return kinds.join(texts.select(_supplier_of("path"), "head"), "s_suppkey")
+
+
+@query(
+    "landing_stream",
+    """SELECT CASE WHEN s_suppkey % 10 <> 0 THEN CAST(s_suppkey + 10000 AS VARCHAR) END AS invoice_number,
+    CASE WHEN s_suppkey % 10 <> 0 THEN round(abs(s_acctbal) + 1, 2) END AS total_due, count(*) AS n FROM supplier GROUP BY ALL""",
+)
+def landing_stream(spark, sf_dir):
+    """Files that land in a folder, as invoices."""
+    out = f"{shared_folder(spark).rstrip('/')}/landed-{uuid.uuid4().hex}"
+    jobs.landing_stream(spark, _supplier_files(spark, sf_dir), f"{out}/data", f"{out}/progress", "2024-06-30").awaitTermination()
+    total = F.col("financials")["total_due"].cast("double")
+    found = spark.read.parquet(f"{out}/data/invoices").select("invoice_number", total.alias("total_due"))
+    return found.groupBy("invoice_number", "total_due").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "dlq_round_trip",
+    """SELECT operation_type, error_type, status, count(*) AS n, sum(o_orderkey)::BIGINT AS keys FROM (
+      SELECT o_orderkey, 'store_invoice' AS operation_type, 'ValueError' AS error_type, 'PENDING' AS status FROM orders WHERE o_totalprice > 400000
+      UNION ALL SELECT o_orderkey, 'extract_fields', 'KeyError', 'PENDING' FROM orders WHERE o_totalprice < 2000) GROUP BY ALL""",
+)
+def dlq_round_trip(spark, sf_dir):
+    """Dead letters of two operations appended to one folder and read back with their schema."""
+    rows = table(spark, sf_dir, "orders", "o_orderkey", "o_totalprice")
+    folder = f"{shared_folder(spark).rstrip('/')}/dead-{uuid.uuid4().hex}"
+    as_of = F.lit("2024-06-30 00:00:00").cast("timestamp")
+    for operation, kind, bad in (("store_invoice", "ValueError", F.col("o_totalprice") > 400000), ("extract_fields", "KeyError", F.col("o_totalprice") < 2000)):
+        error = F.when(bad, F.struct(F.lit(kind).alias("error_type"), F.lit("out of range").alias("error_message")))
+        _, dead = dlq.quarantine_split(rows, error, operation, as_of, ["o_orderkey", "o_totalprice"])
+        dlq.write_dlq(dead, folder)
+    back = dlq.read_dlq(spark, folder, dead.schema)
+    return back.groupBy("operation_type", "error_type", "status").agg(F.count(F.lit(1)).alias("n"), F.sum("o_orderkey").alias("keys"))

@@ -18,9 +18,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from billspark.functions.fixed_values import BREAKER_DEFAULT, LEAKY_BREAKER_DEFAULT
-from billspark.operators.slices import ROWS_PER_SLICE, sliced
+from billspark.operators.slices import ROWS_PER_SLICE, sliced, slices_for
 
 OPEN = "O"
+#: Groups of services where all calls fit one slice.
+IN_ONE = 64
 NAMES = {"C": "CLOSED", "O": "OPEN", "H": "HALF_OPEN"}
 TIMELINE = (
     "service string, ts timestamp, event_id bigint, ok boolean, allowed boolean, "
@@ -198,7 +200,30 @@ def breaker_timeline(
     machine = machine or Breaker()
     action = F.col("action") if "action" in outcomes.columns else F.lit(None)
     calls = outcomes.select("service", "ts", "event_id", "ok", action.cast("string").alias("action"))
-    s = sliced(calls, ["service"], ["ts", "event_id"], rows_per_slice)
+    def replay(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for _, part, times, oks in _pieces(pdf):
+            given = part["entry"].iloc[0] if "entry" in part else None
+            state = tuple(json.loads(given)) if isinstance(given, str) else machine.start()
+            before, after, allowed, changed = [], [], [], []
+            for t, ok in zip(times, oks):
+                before.append(NAMES[state[0]])
+                state, let_in, change = machine.step(state, t, ok)
+                after.append(NAMES[state[0]])
+                allowed.append(let_in)
+                changed.append(change)
+            out.append(
+                part[["service", "ts", "event_id", "ok"]].assign(
+                    allowed=allowed, state_before=before, state_after=after, state_change=changed
+                )
+            )
+        return pd.concat(out)
+
+    number = slices_for(calls, rows_per_slice)
+    if number == 1:  # nothing is carried: services are replayed whole, many of them in a task
+        together = F.pmod(F.xxhash64("service"), F.lit(IN_ONE)).cast("int")
+        return calls.withColumn("slice_no", together).groupBy("slice_no").applyInPandas(replay, TIMELINE)
+    s = sliced(calls, ["service"], ["ts", "event_id"], rows_per_slice, number)
     held = s.groupBy("slice_no", "service").agg(F.count(F.lit(1)).alias("n"))
     # services that run over several slices: at most one per slice boundary
     spanning = held.groupBy("service").agg(F.count(F.lit(1)).alias("k")).filter("k > 1")
@@ -226,25 +251,6 @@ def breaker_timeline(
         chain, "slice_no int, service string, entry string"
     )
 
-    def replay(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for _, part, times, oks in _pieces(pdf):
-            given = part["entry"].iloc[0]
-            state = tuple(json.loads(given)) if isinstance(given, str) else machine.start()
-            before, after, allowed, changed = [], [], [], []
-            for t, ok in zip(times, oks):
-                before.append(NAMES[state[0]])
-                state, let_in, change = machine.step(state, t, ok)
-                after.append(NAMES[state[0]])
-                allowed.append(let_in)
-                changed.append(change)
-            out.append(
-                part[["service", "ts", "event_id", "ok"]].assign(
-                    allowed=allowed, state_before=before, state_after=after, state_change=changed
-                )
-            )
-        return pd.concat(out)
-
     return (
         s.join(F.broadcast(entries), ["slice_no", "service"], "left")
         .groupBy("slice_no")

@@ -19,14 +19,18 @@ from billspark.session import materialize
 ROWS_PER_SLICE = 1_000_000
 
 
+def slices_for(df: DataFrame, rows_per_slice: int = ROWS_PER_SLICE) -> int:
+    return max(1, math.ceil(df.count() / rows_per_slice))
+
+
 def sliced(
-    df: DataFrame, keys: list[str], order: list[str], rows_per_slice: int = ROWS_PER_SLICE
+    df: DataFrame, keys: list[str], order: list[str], rows_per_slice: int = ROWS_PER_SLICE, number: int | None = None
 ) -> DataFrame:
     """Rows with a ``slice_no``: contiguous ranges of (keys, order), fixed by writing them once.
 
     ``order`` must be unique within a key, else equal rows stay together in one slice.
     """
-    n = max(1, math.ceil(df.count() / rows_per_slice))
+    n = number or slices_for(df, rows_per_slice)
     ranged = df.repartitionByRange(n, *keys, *order).withColumn("slice_no", F.spark_partition_id())
     return materialize(ranged, "slices")
 

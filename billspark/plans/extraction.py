@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from billspark.functions.enrich import validate_and_clean
+from billspark.functions.fixed_values import RAW_TEXT_CHARS
 from billspark.functions.fields import extract_flat, nest
 from billspark.functions.score import completeness
 from billspark.functions.text import strip
@@ -15,6 +16,7 @@ from billspark.session import materialize
 
 INVOICE = ["invoice_number", "invoice_date", "contractor", "work_period", "work_items", "financials"]
 TEXT_METHOD, PAGED_METHOD = "text_extraction", "paged_extraction"
+NO_TEXT = "No text extracted from file"
 
 
 def extract_invoices(docs: DataFrame, text: str = "text", paged: bool = False) -> DataFrame:
@@ -40,7 +42,7 @@ def as_attempts(
         F.lit(method).alias("method"),
         ok.alias("success"),
         F.when(ok, F.col("extraction_confidence")).otherwise(0.0).alias("confidence"),
-        F.when(~ok, "No text extracted from file").alias("error_message"),
+        F.when(~ok, NO_TEXT).alias("error_message"),
         F.lit(0).cast("bigint").alias("processing_time_ms"),
         *[F.when(ok, F.col(c)).alias(c) for c in INVOICE],
         *([F.col("_text").alias("text")] if keep_text else []),
@@ -65,3 +67,27 @@ def process_documents(docs: DataFrame, key: str = "doc_id", threshold: float = G
 
 def validated_invoices(docs: DataFrame, as_of: str, zero_rate_is_zero: bool = False) -> DataFrame:
     return validate_and_clean(extract_invoices(docs), as_of, zero_rate_is_zero=zero_rate_is_zero)
+
+
+def invoice_rows(
+    docs: DataFrame, as_of: str, zero_rate_is_zero: bool = False, source: str = "path", raw_chars: int = RAW_TEXT_CHARS
+) -> DataFrame:
+    """The whole invoice row of each document: where and how it was read, the fields, the beginning of the
+    text, and what went wrong.
+
+    ``docs``: doc_id, text and, where there is one, the column ``source``. A blank text has no fields, one processing error
+    and no warnings. The text is cut before it is carried along, so long texts stay where they are.
+    """
+    origin = F.col(source).cast("string") if source in docs.columns else F.lit(None).cast("string")
+    kept = docs.select("doc_id", "text", origin.alias("source_file"), F.substring("text", 1, raw_chars).alias("raw_text"))
+    found = validated_invoices(kept, as_of, zero_rate_is_zero)
+    blank = strip(F.coalesce(F.col("raw_text"), F.lit(""))) == ""
+    none = F.array().cast("array<string>")
+    return found.select(
+        "doc_id", "source_file", F.lit(TEXT_METHOD).alias("extraction_method"),
+        F.when(blank, 0.0).otherwise(F.col("extraction_confidence")).alias("extraction_confidence"),
+        *[F.when(~blank, F.col(c)).alias(c) for c in INVOICE],
+        "raw_text",
+        F.when(blank, F.array(F.lit(NO_TEXT))).otherwise(F.coalesce("errors", none)).alias("processing_errors"),
+        F.when(blank, none).otherwise(F.coalesce("rule_warnings", none)).alias("warnings"),
+    )

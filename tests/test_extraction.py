@@ -10,7 +10,7 @@ from billspark.functions.enrich import validate_and_clean
 from billspark.functions.score import is_valid_invoice
 from billspark.operators.attempts import select_attempt
 from billspark.operators.stats import batch_statistics
-from billspark.plans.extraction import extract_invoices, process_documents, validated_invoices
+from billspark.plans.extraction import extract_invoices, invoice_rows, process_documents, validated_invoices
 from billspark.schemas import ATTEMPTS
 
 SAMPLE = """HOLLOWAY GROUNDWORKS LTD
@@ -144,3 +144,14 @@ def test_selection_cases(spark):
     for d, (_, no, warnings, errors) in CASES.items():
         assert (got[d].attempt_no, got[d].warnings, got[d].errors) == (no, warnings, errors), d
     assert got[2].n_attempts == 1 and got[1].total_ms == 20
+
+
+def test_invoice_rows_hold_what_went_wrong(spark):
+    docs = spark.createDataFrame([(1, SAMPLE.format(n=7) + "x" * 6000, "a.txt"), (2, " \n", "b.txt"), (3, None, None)], "doc_id bigint, text string, path string")
+    got = {r.doc_id: r for r in invoice_rows(docs, "2024-06-30").collect()}
+    assert got[1].invoice_number == "2023-007" and got[1].source_file == "a.txt" and len(got[1].raw_text) == 5000
+    assert got[1].extraction_method == "text_extraction" and got[1].extraction_confidence > 0
+    for i in (2, 3):
+        assert got[i].processing_errors == ["No text extracted from file"] and got[i].warnings == [] and got[i].extraction_confidence == 0
+        assert got[i].invoice_number is None and got[i].work_items is None
+    assert invoice_rows(docs.drop("path"), "2024-06-30").first().source_file is None
