@@ -18,11 +18,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 from pyspark import TaskContext
 
+from billspark.functions.arrays import scan
 from billspark.llm.bpe import Vocabulary, worker_encoder
 from billspark.llm.common import map_batches, map_partitions, materialize, texts_of
 
@@ -33,7 +35,7 @@ BLOCK_TOKENS, CHUNK = 1 << 19, 1024
 def block_reports(blocks: DataFrame, eod: int, dtype: str = "<u2") -> DataFrame:
     """``file, block, n_eod, head, tail, inner``: separators, open ends and inner lengths of each block."""
 
-    def scan(batch: pa.RecordBatch) -> list:
+    def search(batch: pa.RecordBatch) -> list:
         n_eod, head, tail, inner = [], [], [], []
         for data in batch.column(2).to_pylist():
             ids = np.frombuffer(data or b"", dtype)
@@ -45,7 +47,7 @@ def block_reports(blocks: DataFrame, eod: int, dtype: str = "<u2") -> DataFrame:
         return [batch.column(0), batch.column(1), n_eod, head, tail, inner]
 
     return map_batches(
-        blocks, ["file", "block", "data"], scan, "file string, block long, n_eod long, head long, tail long, inner array<long>"
+        blocks, ["file", "block", "data"], search, "file string, block long, n_eod long, head long, tail long, inner array<long>"
     )
 
 
@@ -75,18 +77,15 @@ def token_counts(blocks: DataFrame, eod: int, dtype: str = "<u2") -> DataFrame:
         F.coalesce(F.lag("open_now").over(runs), F.lit(0)).alias("open_before"),
     )
     first = F.struct(F.col("docs_before").alias("docs"), F.col("open_before").alias("open"))
-    # Inside a chunk the same combination runs over the blocks and keeps each block's beginning.
-    scanned = chunks.join(before, ["file", "chunk"]).select("file", F.explode(F.expr("rows")).alias("r"), first.alias("first"), "rows")
-    placed = scanned.select(
-        "file", F.col("r.block").alias("block"),
-        F.aggregate(
-            F.filter("rows", lambda x: x["block"] < F.col("r.block")), F.col("first"),
-            lambda s, r: F.struct(
-                (s["docs"] + r["n_eod"]).alias("docs"),
-                F.when(r["n_eod"] > 0, r["tail"]).otherwise(s["open"] + r["head"]).alias("open"),
-            ),
-        ).alias("at"),
-    )
+    # Inside a chunk one scan keeps the state after each block; a block begins with the state of the one before.
+    def after(now: F.Column, r: F.Column) -> F.Column:
+        opened = F.when(r["n_eod"] > 0, r["tail"]).otherwise(now["open"] + r["head"])
+        return F.struct((now["docs"] + r["n_eod"]).alias("docs"), opened.alias("open"))
+
+    states = F.concat(F.array("first"), scan(F.col("rows"), F.col("first"), after, "struct<docs:bigint,open:bigint>"))
+    scanned = chunks.join(before, ["file", "chunk"]).select("file", "rows", first.alias("first"))
+    placed = scanned.select("file", F.explode(F.zip_with("rows", states, lambda r, at: F.struct(r["block"].alias("block"), at.alias("at")))).alias("p"))
+    placed = placed.filter("p.block IS NOT NULL").select("file", "p.block", "p.at")  # the last state has no block
     joined = reports.join(placed, ["file", "block"])
     lengths = F.when(
         F.col("n_eod") > 0, F.concat(F.array(F.col("at.open") + F.col("head")), F.col("inner"))
@@ -100,31 +99,50 @@ def token_counts(blocks: DataFrame, eod: int, dtype: str = "<u2") -> DataFrame:
 
 
 def read_token_files(spark: SparkSession, path: str, block_tokens: int = BLOCK_TOKENS, width: int = 2) -> DataFrame:
-    """``file, block, data`` of flat token files; a file is one row of the binary source, so up to 2 GB."""
-    files = spark.read.format("binaryFile").load(path)
+    """``file, block, data`` of flat token files of any size: every task seeks to the ranges it reads.
+
+    The file system must be one that pyarrow opens (local, HDFS, S3, GCS). An empty file has no block.
+    """
     size = block_tokens * width
-    return files.select("path", "content", F.explode(F.expr(f"sequence(0, cast((greatest(length, 1) - 1) div {size} as int))")).alias("block")).select(
-        F.col("path").alias("file"), F.col("block").cast("long").alias("block"),
-        F.expr(f"substring(content, block * {size} + 1, {size})").alias("data"),
-    )
+    files = spark.read.format("binaryFile").load(path).select("path", "length")  # the contents are not read here
+    last = F.expr(f"(length - 1) div {size}")
+    ranges = files.select("path", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("block"))
+    ranges = ranges.repartition(F.col("path"), F.floor(F.col("block") / 16))  # a task reads runs of neighbours
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
+        open_path, source = None, None
+        for batch in batches:
+            for name, block in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if name != open_path:
+                    system, inner = fs.FileSystem.from_uri(name.replace("file:/", "file:///", 1) if not name.startswith("file://") else name)
+                    open_path, source = name, system.open_input_file(inner)
+                yield [[name], [block], [source.read_at(min(size, max(source.size() - block * size, 0)), block * size)]]
+
+    return map_partitions(ranges, ["path", "block"], read, "file string, block long, data binary")
+
+
+def token_type(vocabulary: Vocabulary, eod: int) -> str:
+    """How ids stand in the flat files: in 16 bits where these hold all of them, else in 32."""
+    return "<u2" if max(len(vocabulary.bytes_at) - 1, eod) < 1 << 16 else "<u4"
 
 
-def pack_tokens(docs: DataFrame, path: str, eod: int, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+def pack_tokens(docs: DataFrame, vocabulary: Vocabulary, eod: int, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """Flat token streams of ``docs``: rows of ``file, block, data``, and rows of ``file, ids`` that name the documents.
 
-    Each task writes one stream, its documents in the order read, each closed by ``eod``, in blocks that do not
+    Ids are of the ``token_type`` of the vocabulary. Each task writes one stream, its documents in the order read, each closed by ``eod``, in blocks that do not
     respect documents. Special strings in a text are ordinary text, so that ``eod`` stands only at ends.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(Vocabulary(path))
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+    kind = token_type(vocabulary, eod)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
         encoder = worker_encoder(shared.value, False)
-        file, block, held = f"part-{TaskContext.get().partitionId():06d}", 0, np.zeros(0, np.uint16)
+        file, block, held = f"part-{TaskContext.get().partitionId():06d}", 0, np.zeros(0, kind)
         first = 0
         for batch in (b.slice(at, 1000) for b in batches for at in range(0, b.num_rows, 1000)):
             parts = [held]
             for packed in encoder.encode_many(texts_of(batch.column(1))):
-                parts += [np.frombuffer(packed, np.uint32).astype(np.uint16), np.array([eod], np.uint16)]
+                parts += [np.frombuffer(packed, np.uint32).astype(kind), np.array([eod], kind)]
             held = np.concatenate(parts)
             yield [[file], [None], [None], [first], [batch.column(0).to_pylist()]]
             first += batch.num_rows
@@ -140,8 +158,10 @@ def pack_tokens(docs: DataFrame, path: str, eod: int, block_tokens: int = BLOCK_
 
 def count_document_tokens(docs: DataFrame, path: str, eod: int) -> DataFrame:
     """``doc_id, n_tokens`` of every document, counted in the flat streams that ``docs`` are written to."""
-    written = materialize(pack_tokens(docs, path, eod), "tokens")
-    counts = token_counts(written.filter("block IS NOT NULL").select("file", "block", "data"), eod)
+    vocabulary = Vocabulary(path)
+    written = materialize(pack_tokens(docs, vocabulary, eod), "tokens")
+    blocks = written.filter("block IS NOT NULL").select("file", "block", "data")
+    counts = token_counts(blocks, eod, token_type(vocabulary, eod))
     names = written.filter("block IS NULL").select("file", "first_doc", F.posexplode("ids").alias("i", "doc_id")).select(
         "file", (F.col("first_doc") + F.col("i")).alias("doc_no"), "doc_id"
     )

@@ -56,3 +56,16 @@ def test_documents_equal_encoder(spark):
     got = sorted((r.doc_id or 0, r.n_tokens) for r in count_document_tokens(docs, BYTE_BPE, END_OF_DOCUMENT).collect())
     assert got == want and len(got) == len(rows)
     assert count_document_tokens(no_documents(spark), BYTE_BPE, END_OF_DOCUMENT).count() == 0
+
+
+def test_wide_ids_and_missing_pieces(spark, tmp_path, monkeypatch):
+    ids = [70_000, END, 1, 2, END] * 40
+    (tmp_path / "w.bin").write_bytes(np.array(ids, "<u4").tobytes())
+    (tmp_path / "empty.bin").write_bytes(b"")
+    blocks = read_token_files(spark, str(tmp_path), block_tokens=9, width=4)
+    assert blocks.count() == -(-len(ids) // 9)  # none of the empty file
+    assert sorted((r.doc_no, r.n_tokens, r.closed) for r in token_counts(blocks, END, "<u4").collect()) == brute(ids)
+    rows, docs = awkward_documents(spark, ["a<|endoftext|>b", "c"])
+    narrow = sorted((r.doc_id or 0, r.n_tokens) for r in count_document_tokens(docs, BYTE_BPE, END_OF_DOCUMENT).collect())
+    far = 5_000_000  # an end beyond 16 bits makes the files wide
+    assert sorted((r.doc_id or 0, r.n_tokens) for r in count_document_tokens(docs, BYTE_BPE, far).collect()) == narrow
