@@ -17,7 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 
 #: Bytes of text that are hashed at a time; a longer text is hashed alone.
-AT_A_TIME = 2_000_000
+AT_A_TIME = 500_000
 
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)

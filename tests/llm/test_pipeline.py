@@ -14,18 +14,28 @@ FOLDER = "/root/testdata/sf0.001"
 
 
 def kept_lines(docs):
+    """Shared lines stay in the last of three or more documents. A document that so loses all lines long enough to
+    count goes, if every line of it that is not blank also stands in a document that does not lose all."""
+    lines = {i: text.split("\n") for i, text in docs.items()}
     holders = {}
-    for i, text in docs.items():
-        for line in text.split("\n"):
+    for i, own in lines.items():
+        for line in own:
             if key := key_of(line):
                 holders.setdefault(key, set()).add(i)
     last = {k: max(v) for k, v in holders.items() if len(v) >= 3}
-    out = {}
-    for i, text in docs.items():
-        kept = [x for x in text.split("\n") if last.get(key_of(x), i) == i]
-        if len(kept) == len(text.split("\n")) or any(key_of(x) for x in kept):
-            out[i] = "\n".join(kept)
-    return out
+    kept = {i: [x for x in own if last.get(key_of(x), i) == i] for i, own in lines.items()}
+    emptied = {i for i, own in lines.items() if len(kept[i]) < len(own) and not any(key_of(x) for x in kept[i])}
+    elsewhere = {key_of(x, 1) for i, own in lines.items() if i not in emptied for x in own}
+    gone = {i for i in emptied if all(key_of(x, 1) in elsewhere for x in lines[i] if x.strip())}
+    return {i: "\n".join(kept[i]) for i in lines if i not in gone}
+
+
+def test_lines_that_stand_nowhere_else_keep_their_document(spark):
+    head = "A heading that many documents share"
+    texts = {1: head, 2: f"{head}\nShort.", 3: f"{head}\nok", 4: f"{head}\n\nok\nA last line that is long and alone", 5: f" {head.upper()} \n \n", 6: "ok", 7: f"{head}\nShort."}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: r.text for r in dict(corpus_pipeline.STAGES)["lines"](spark, docs, FOLDER).collect()}
+    assert got == kept_lines(texts) == {2: "Short.", 4: "\nok\nA last line that is long and alone", 6: "ok", 7: f"{head}\nShort."}
 
 
 def test_stages(spark):

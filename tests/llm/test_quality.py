@@ -76,3 +76,69 @@ def test_whole_sample_is_fitted_and_screened_as_on_the_driver(spark, monkeypatch
     rows = sorted(docs.collect())
     want = fit(features([r.text for r in rows]), np.array([r.doc_id % 3 for r in rows]), 3)
     assert (got.features == want.features).all() and np.allclose(got.weights, want.weights) and np.allclose(got.thresholds, want.thresholds)
+
+
+def plain_features(text):
+    """The documented features of one text, one byte at a time."""
+    import re
+
+    base, mask = 0x9E3779B97F4A7C15, (1 << 64) - 1
+
+    def scramble(x):
+        x ^= x >> 30
+        x = x * 0xBF58476D1CE4E5B9 & mask
+        x ^= x >> 27
+        x = x * 0x94D049BB133111EB & mask
+        return x ^ x >> 31
+
+    def word(run):
+        return scramble(sum((c + 1) * pow(base, i, 1 << 64) for i, c in enumerate(run)) & mask)
+
+    data = re.sub(rb"[A-Z]", lambda m: m.group().lower(), text.encode())
+    words = re.findall(rb"[0-9a-z\x80-\xff]+", data)
+    signs = re.findall(rb"[!-/:-@\[-`{-~]+", data)
+    distinct = {word(w) for w in words}
+    repeats = int(2 * np.log2((len(words) + 1) / (len(distinct) + 1)))
+    found = distinct | {scramble(word(s)) for s in signs}
+    found |= {scramble(1000 + repeats), scramble(2000 + min(int(8 * len(signs) / (len(words) + 1)), 16))}
+    found |= {scramble(word(w[:k]) + k & mask) for k in (4, 5, 6, 7) for w in words}
+    return {x >> 32 for x in found}
+
+
+def test_ratings_equal_brute_force(spark):
+    """Every document's features, score and grade probabilities again in plain Python, from the fitted numbers."""
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    labels = spark.read.parquet(f"{FOLDER}/labels.parquet")
+    model = fit_documents(docs, labels.selectExpr("doc_id", "CASE WHEN toxic = 1 THEN 0 ELSE quality + 1 END AS grade"), 3)
+    weights = dict(zip(model.features.tolist(), model.weights.tolist()))
+    texts = {r.doc_id: r.text or "" for r in docs.collect() if len(r.text or "") < 3000}
+    got = {r.doc_id: r for r in rate(docs, labels).collect()}
+    assert len(got) == docs.count() and len(weights) > 50 and len(texts) > 300
+    for i, text in texts.items():
+        score = sum(weights.get(f, 0.0) for f in plain_features(text))
+        above = [1 / (1 + np.exp(t - score)) for t in model.thresholds]
+        assert abs(got[i].expected_grade - sum(above)) < 1e-6 and abs(got[i].tail_probability - above[1]) < 1e-6
+        assert got[i].keep == (got[i].tail_probability >= 0.3)
+
+
+def test_fit_is_at_the_minimum():
+    """No small change of a weight or of all thresholds lowers the penalised likelihood noticeably."""
+    rng = np.random.default_rng(4)
+    grades = rng.integers(0, 3, 500)
+    texts = [" ".join(["awful", "plain", "splendid"][g] if rng.random() < 0.7 else "word" for _ in range(3)) + f" filler{i % 9}" for i, g in enumerate(grades)]
+    rows = features(texts)
+    model = fit(rows, grades, 3)
+
+    def loss(weights, thresholds):
+        scores = np.array([sum(weights.get(f, 0.0) for f in r.tolist()) for r in rows])
+        up = np.column_stack([np.ones(len(rows)), *(1 / (1 + np.exp(t - scores)) for t in thresholds), np.zeros(len(rows))])
+        chance = up[np.arange(len(rows)), grades] - up[np.arange(len(rows)), grades + 1]
+        return -np.log(chance).mean() + 0.5 * 3e-4 * sum(w * w for w in weights.values())
+
+    weights = dict(zip(model.features.tolist(), model.weights.tolist()))
+    best = loss(weights, model.thresholds)
+    for f in list(weights)[:20]:
+        for step in (-0.3, 0.3):
+            assert loss(weights | {f: weights[f] + step}, model.thresholds) > best - 2e-3
+    for step in (-0.2, 0.2):
+        assert loss(weights, model.thresholds + step) > best - 2e-3
