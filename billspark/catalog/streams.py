@@ -93,12 +93,14 @@ def windowed_kpis_tumbling(spark, sf_dir):
 @query(
     "windowed_kpis_sliding",
     f"""WITH w AS (SELECT time_bucket(INTERVAL 5 MINUTE, ts) - INTERVAL 5 MINUTE * i AS st, event_type FROM events, range(0, 12) t(i))
-    SELECT {I.sql_stamp("st")} AS start, count(*) AS n_events, count(*) FILTER (WHERE event_type = 'error') AS n_errors
+    SELECT {I.sql_stamp("st")} AS start, count(*) AS n_events, count(*) FILTER (WHERE event_type = 'error') AS n_errors,
+    round(count(*) FILTER (WHERE event_type = 'error') / count(*)::DOUBLE, 6) AS error_rate
     FROM w GROUP BY st HAVING st + INTERVAL 1 HOUR <= {WM}""",
 )
 def windowed_kpis_sliding(spark, sf_dir):
     sliding = windows.windowed_kpis(_kpi_stream(spark, sf_dir), "1 hour", "5 minutes")
-    return jobs.run_available(sliding, "kpis").select(I.stamp("start").alias("start"), "n_events", "n_errors")
+    out = jobs.run_available(sliding, "kpis")
+    return out.select(I.stamp("start").alias("start"), "n_events", "n_errors", F.round("error_rate", 6).alias("error_rate"))
 
 
 @query("dedupe_updates", "SELECT event_id AS update_id, user_id FROM events")
@@ -143,18 +145,18 @@ _IDLE_US = 12 * 3600 * 1_000_000
               CASE WHEN over THEN 0 ELSE w.f END AS f0, CASE WHEN over THEN w.nw END AS lapsed
             FROM (SELECT w.*, s.n AS sn, w.nw NOT IN {_ENDED} AND s.t - w.t > {_IDLE_US} AS over FROM walk w JOIN seq s ON s.u = w.u AND s.n = w.n + 1) w
             JOIN seq s ON s.u = w.u AND s.n = w.sn))))
-    SELECT u AS user_id, t AS at, event, old AS old_state, nw AS new_state FROM walk WHERE n > 0 AND old <> nw
+    SELECT u AS user_id, {I.sql_stamp("make_timestamp(t)")} AS at, event, old AS old_state, nw AS new_state FROM walk WHERE n > 0 AND old <> nw
     UNION ALL
-    SELECT u, lapsed_at, 'timeout', lapsed, 'IDLE' FROM walk WHERE n > 0 AND lapsed IS NOT NULL
+    SELECT u, {I.sql_stamp("make_timestamp(lapsed_at)")}, 'timeout', lapsed, 'IDLE' FROM walk WHERE n > 0 AND lapsed IS NOT NULL
     UNION ALL
-    SELECT u, t + {_IDLE_US}, 'timeout', nw, 'IDLE' FROM (SELECT * FROM walk QUALIFY n = max(n) OVER (PARTITION BY u))
+    SELECT u, {I.sql_stamp(f"make_timestamp(t + {_IDLE_US})")}, 'timeout', nw, 'IDLE' FROM (SELECT * FROM walk QUALIFY n = max(n) OVER (PARTITION BY u))
     WHERE nw NOT IN {_ENDED} AND t + {_IDLE_US} <= epoch_us({WM_MS})""",
 )
 def conversation_state(spark, sf_dir):
     """Every transition of every user, over three triggers with rows out of order."""
     chat = _in_three(spark, sf_dir, _DISORDER, "chat").select("user_id", "ts", "event_id", F.expr(_EVENT_SQL).alias("event"))
     out = jobs.run_available(stateful.conversation_state(chat, idle_ms=_IDLE_US // 1000), "conversations")
-    return out.select("user_id", F.unix_micros("ts").alias("at"), "event", "old_state", "new_state")
+    return out.select("user_id", I.stamp("ts").alias("at"), "event", "old_state", "new_state")
 
 
 _MARKS = "(SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 10 MINUTE FROM (SELECT ts FROM ev UNION ALL SELECT ts + to_microseconds(CAST(round(value * 1000000) AS BIGINT)) FROM ev WHERE event_type IN ('purchase', 'signup', 'error')))"
@@ -263,14 +265,14 @@ def state_sync(spark, sf_dir):
     return jobs.current_state(spark, f"{out}/state", ["user_id"], ["version"])
 
 
-@query(
-    "event_log_stream",
-    f"""WITH {I.EVENTS} SELECT CASE WHEN k >= 5 THEN event_type END AS event, CASE WHEN k >= 10 THEN event_id END AS user_id, k < 5 AS rejected,
-      CASE WHEN k < 5 THEN '{{"event":"' || event_type || '","user_id":' || event_id
-        WHEN k < 10 THEN '{{"event":"' || event_type || '","user_id":"u' || event_id || '"}}' END AS rescued FROM ev""",
-)
-def event_log_stream(spark, sf_dir):
-    """Log lines over three triggers; some are cut short, some hold a text where a number is declared."""
+_LOG_SQL = f"""WITH {I.EVENTS} SELECT CASE WHEN k >= 5 THEN event_type END AS event, CASE WHEN k >= 10 THEN event_id END AS user_id, k < 5 AS rejected,
+  CASE WHEN k < 5 THEN '{{"event":"' || event_type || '","user_id":' || event_id
+    WHEN k < 10 THEN '{{"event":"' || event_type || '","user_id":"u' || event_id || '"}}' END AS rescued FROM ev"""
+_LOG_COLUMNS = ["event", "user_id", "rejected", "rescued"]
+
+
+def _log_folder(spark, sf_dir):
+    """Log lines of three arrivals; some are cut short, some hold a text where a number is declared."""
     head = F.concat(F.lit('{"event":"'), "event_type", F.lit('","user_id":'))
     number = F.col("event_id").cast("string")
     line = F.when(F.col("k") < 5, F.concat(head, number)).when(F.col("k") < 10, F.concat(head, F.lit('"u'), number, F.lit('"}')))
@@ -278,8 +280,19 @@ def event_log_stream(spark, sf_dir):
     folder = f"{shared_folder(spark).rstrip('/')}/log-{uuid.uuid4().hex}"
     for n in range(3):
         rows.filter(F.expr(_arrival(_DISORDER)) == n).select("value").repartition(_FILES).write.mode("append").text(folder)
-    out = jobs.run_available(documents.stream_event_log(spark, folder, files_per_trigger=_FILES), "log")
-    return out.select("event", "user_id", "rejected", "rescued")
+    return folder
+
+
+@query("event_log_stream", _LOG_SQL)
+def event_log_stream(spark, sf_dir):
+    """Log lines over three triggers."""
+    lines = documents.stream_event_log(spark, _log_folder(spark, sf_dir), files_per_trigger=_FILES)
+    return jobs.run_available(lines, "log").select(*_LOG_COLUMNS)
+
+
+@query("event_log_folder", _LOG_SQL)
+def event_log_folder(spark, sf_dir):
+    return documents.scan_event_log(spark, _log_folder(spark, sf_dir)).select(*_LOG_COLUMNS)
 
 
 # ---- folders of files: a small text document for each supplier --------------------------------------------------

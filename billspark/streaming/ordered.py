@@ -61,7 +61,8 @@ def fold_in_order(
                 group.setTimeoutTimestamp(max(-(-min(times) // 1000) - 1, until_ms + 1))
         elif group.exists:
             group.remove()
-        yield pd.DataFrame(out, columns=names)
+        if out:
+            yield pd.DataFrame(out, columns=names)
 
     timed = stream.filter(F.col(time).isNotNull()).withWatermark(time, watermark)
     kept = timed.select(key, time, F.unix_micros(time).alias("at"), *[c for c in columns[1:] if c != key])
